@@ -7,10 +7,10 @@ import re
 from pyspark.sql import Column, functions as F
 
 from corpusloom.functions import fixed
-from corpusloom.functions.text import SPACE, clean_text, strip
+from corpusloom.functions.text import SPACE, clean_text, let, strip
 
 _U = "(?U)"
-_SPLIT = "﷐"  # a Unicode noncharacter, never part of text
+_SPLIT, _NAME_END = "\ufdd0", "\ufdd1"  # Unicode noncharacters, never part of text
 
 
 def _contains_any(c: Column, parts) -> Column:
@@ -74,24 +74,42 @@ def after_body_mark(content: Column) -> Column:
 
 def after_revision(body: Column) -> Column:
     """Text behind the revision line; NULL when there is none."""
-    rest = F.regexp_replace(body, rf"(?sU)\A.*?{re.escape(fixed.REVISION_LEAD)}.*?v\d+_vi", "")
-    return F.when(F.length(rest) < F.length(body), rest)
+    pattern = rf"(?sU)\A.*?{re.escape(fixed.REVISION_LEAD)}.*?v\d+_vi"
+    return let(
+        body, lambda b: let(F.regexp_replace(b, pattern, ""), lambda rest: F.when(F.length(rest) < F.length(b), rest))
+    )
 
 
 def after_header_lines(body: Column) -> Column:
     """Lines from the first one without a header word on, joined by a space."""
-    lines = F.filter(F.transform(F.split(body, "\n"), strip), lambda x: x != "")
-    first = F.array_position(F.transform(lines, lambda x: _contains_any(x, fixed.HEADER_WORDS)), F.lit(False))
-    return F.when(first > 0, F.array_join(F.slice(lines, first.cast("int"), F.size(lines)), " ")).otherwise("")
+
+    def from_first(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: _contains_any(x, fixed.HEADER_WORDS)), F.lit(False))
+        return F.when(first > 0, F.array_join(F.slice(lines, first.cast("int"), F.size(lines)), " ")).otherwise("")
+
+    return let(F.filter(F.transform(F.split(body, "\n"), lambda x: strip(x)), lambda x: x != ""), from_first)
 
 
 def before_footer(body: Column) -> Column:
     """Cut at the first footer text, in list order, that occurs at all."""
-    cuts = [
-        F.when(F.instr(body, mark) > 0, F.substr(body, F.lit(1), F.instr(body, mark) - F.lit(1)))
-        for mark in fixed.FOOTERS
-    ]
-    return F.coalesce(*cuts, body)
+
+    def cut(b: Column) -> Column:
+        cuts = [
+            F.when(F.contains(b, F.lit(mark)), F.substr(b, F.lit(1), F.instr(b, mark) - F.lit(1))) for mark in fixed.FOOTERS
+        ]
+        return F.coalesce(*cuts, b)
+
+    return let(body, cut)
+
+
+def main_content(content: Column) -> Column:
+    """The cleaned body; a text without the body mark is passed on as it is."""
+
+    def body_text(body: Column) -> Column:
+        main = F.coalesce(after_revision(body), after_header_lines(body))
+        return F.when(body.isNotNull(), clean_text(before_footer(main)))
+
+    return F.coalesce(let(after_body_mark(content), body_text), content)
 
 
 def references(content: Column, limit: int = 10) -> Column:
@@ -104,35 +122,36 @@ def references(content: Column, limit: int = 10) -> Column:
         parts,
         lambda p: (F.length(p) > 20) & (F.length(p) < 150) & ~_contains_any(p, fixed.REFERENCE_STOPS),
     )
-    return F.slice(F.array_distinct(F.transform(kept, clean_text)), 1, limit)
+    return F.slice(F.array_distinct(F.transform(kept, lambda x: clean_text(x))), 1, limit)
 
 
-def _section_mark() -> tuple[str, str]:
-    """Two patterns: where a section's text starts, and which header the text
-    before such a place ends with."""
+def _section_start() -> str:
+    """Where a section's text starts: behind a header between pipes, or behind a
+    header, white space and before a capital, unless another header follows
+    within 50 characters. Every alternative has its header as a group."""
     heads = sorted(fixed.SECTION_HEADERS, key=len, reverse=True)
-    starts = []
-    for head in heads:
-        others = "".join(
-            f"(?!.{{0,{50 - len(other)}}}{re.escape(other)})" for other in heads if other != head
-        )
-        starts.append(f"{re.escape(head)}{SPACE}+(?=[{fixed.SECTION_CAPITALS}]){others}")
     names = "|".join(re.escape(head) for head in heads)
-    piped = rf"(?<=\|{SPACE}{{0,100}})(?:{names}){SPACE}*\|"
-    return f"(?sU)(?:{piped}|{'|'.join(starts)})", rf"(?sU)({names}){SPACE}*\|?\z"
+    starts = [rf"({names})(?<=\|{SPACE}{{0,100}}(?:{names})){SPACE}*\|"]
+    for head in heads:
+        others = "|".join(f".{{0,{50 - len(other)}}}{re.escape(other)}" for other in heads if other != head)
+        starts.append(f"({re.escape(head)}){SPACE}+(?=[{fixed.SECTION_CAPITALS}])(?!{others})")
+    initials = "".join(sorted({head[0] for head in heads}))  # a quick test before the alternatives
+    return f"(?sU)(?=[{initials}])(?:{'|'.join(starts)})"
 
 
-_START, _ENDS_WITH = _section_mark()
+_START = _section_start()
+_HEADER = "".join(f"${i}" for i in range(1, len(fixed.SECTION_HEADERS) + 2))  # one of them is set
 
 
 def section_entries(content: Column) -> Column:
     """All sections as (header, text), in text order, bad lengths left out."""
-    pieces = F.split(F.regexp_replace(content, _START, "$0" + _SPLIT), _SPLIT)
+    marked = F.regexp_replace(content, _START, f"$0{_SPLIT}{_HEADER}{_NAME_END}")
+    pieces = F.slice(F.split(marked, _SPLIT), 2, 1 << 30)
     entries = F.transform(
-        F.slice(pieces, 2, F.size(pieces)),
-        lambda piece, i: F.struct(
-            F.regexp_extract(F.get(pieces, i), _ENDS_WITH, 1).alias("header"),
-            F.regexp_replace(strip(piece), r"\A[| \n\t]+", "").alias("text"),
+        pieces,
+        lambda piece: F.struct(
+            F.substring_index(piece, _NAME_END, 1).alias("header"),
+            F.regexp_replace(strip(F.substring_index(piece, _NAME_END, -1)), r"\A[| \n\t]+", "").alias("text"),
         ),
     )
     kept = F.filter(entries, lambda e: (F.length(e["text"]) > 50) & (F.length(e["text"]) < 20000))
@@ -143,8 +162,12 @@ def section_entries(content: Column) -> Column:
 
 def section_map(entries: Column) -> Column:
     """Header -> text; a repeated header keeps its first place and last text."""
-    heads = F.array_distinct(F.transform(entries, lambda e: e["header"]))
-    texts = F.transform(
-        heads, lambda h: F.element_at(F.filter(entries, lambda e: e["header"] == h), -1)["text"]
-    )
-    return F.map_from_arrays(heads, texts)
+
+    def build(rows: Column) -> Column:
+        heads = F.array_distinct(F.transform(rows, lambda e: e["header"]))
+        texts = F.transform(
+            heads, lambda h: F.element_at(F.filter(rows, lambda e: e["header"] == h), -1)["text"]
+        )
+        return F.map_from_arrays(heads, texts)
+
+    return let(entries, build)

@@ -4,6 +4,7 @@ plus the one normalisation Spark has no built-in for."""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -19,6 +20,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` evaluated once, also where the optimizer merges
+    projections or moves a filter below one."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Remove Unicode white space at both ends."""
     return F.regexp_replace(_col(c), rf"(?U)\A{SPACE}+|{SPACE}+\z", "")

@@ -29,7 +29,7 @@ def turn_rows(answered: DataFrame) -> DataFrame:
     message; `turn` is the place of the question."""
     pair = F.array(
         F.struct(F.col("turn"), F.lit("user").alias("role"), F.col("question").alias("content")),
-        F.struct(F.col("turn") + 1, F.lit("assistant").alias("role"), F.col("answer").alias("content")),
+        F.struct((F.col("turn") + 1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("content")),
     )
     return answered.select("session_id", F.explode(pair).alias("m")).select("session_id", "m.*")
 
@@ -61,7 +61,7 @@ def qa_pairs(messages: DataFrame, buckets: int | None = None) -> DataFrame:
     def build(w):
         return {"_role": F.lead("role").over(w), "answer": F.lead("content").over(w)}
 
-    near = bounded_window(messages, ["session_id"], ["turn"], 1, build, buckets, forward=True)
+    near = bounded_window(messages, ["session_id"], ["turn"], 1, build, buckets, direction="ahead")
     pairs = near.filter((F.col("role") == "user") & (F.col("_role") == "assistant"))
     return pairs.select("session_id", "turn", F.col("content").alias("question"), "answer")
 

@@ -9,31 +9,20 @@ from corpusloom.functions.text import clean_text, document_id, ellipsis
 
 
 def parse_articles(files: DataFrame, source: str, language: str = "vi") -> DataFrame:
-    """(file_name, value) -> structured documents. Stages are separate
-    projections so that the costly parts are computed once."""
-    parts = files.select(
-        "file_name",
-        "value",
-        article.metadata(F.col("value"), source, language).alias("metadata"),
-        article.after_body_mark(F.col("value")).alias("_body"),
+    """(file_name, value) -> structured documents."""
+    text = F.col("value")
+    parts = files.withColumns(
+        {"metadata": article.metadata(text, source, language), "content": article.main_content(text)}
     )
-    parts = parts.withColumn("_rest", article.after_revision(F.col("_body")))
-    parts = parts.withColumn("_main", F.coalesce("_rest", article.after_header_lines(F.col("_body"))))
-    # a file without the body mark is passed on as it is
-    parts = parts.withColumn(
-        "content",
-        F.when(F.col("_body").isNull(), F.col("value")).otherwise(clean_text(article.before_footer(F.col("_main")))),
-    )
-    parts = parts.withColumn("_sections", article.section_entries(F.col("content")))
     return parts.select(
         document_id("file_name").alias("id"),
         F.col("metadata.title").alias("title"),
         F.col("metadata.url").alias("url"),
         "content",
-        article.authors(F.col("value")).alias("authors"),
-        article.reviewers(F.col("value")).alias("reviewers"),
-        article.references(F.col("value")).alias("references"),
-        article.section_map(F.col("_sections")).alias("sections"),
+        article.authors(text).alias("authors"),
+        article.reviewers(text).alias("reviewers"),
+        article.references(text).alias("references"),
+        article.section_map(article.section_entries(F.col("content"))).alias("sections"),
         "metadata",
     )
 

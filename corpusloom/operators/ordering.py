@@ -123,9 +123,9 @@ def bounded_window(
     reach: int,
     build: Callable[[Window], dict[str, Column]],
     buckets: int | None = None,
-    forward: bool = False,
+    direction: str = "back",
 ) -> DataFrame:
-    """Add window columns that look back (or, with `forward`, ahead) at most
+    """Add window columns that look "back", "ahead" or "both" ways, at most
     `reach` rows within the group. Each range gets a copy of the `reach` rows
     next to it, so results do not depend on where the limits fall. `build` gets
     the window in ascending order."""
@@ -134,10 +134,14 @@ def bounded_window(
     tagged = df.withColumn("_range", cut.column()).withColumn("_copy", F.lit(False))
     w = Window.partitionBy("_range", *group).orderBy(*order)
     if cut.limits:
-        tagged = tagged.unionByName(_edge_copies(tagged, group, order, reach, forward))
-    for name, column in build(w).items():
-        tagged = tagged.withColumn(name, column)
-    return tagged.filter(~F.col("_copy")).drop("_range", "_copy")
+        copies = [
+            _edge_copies(tagged, group, order, reach, way == "ahead")
+            for way in ("back", "ahead")
+            if direction in (way, "both")
+        ]
+        for more in copies:
+            tagged = tagged.unionByName(more)
+    return tagged.withColumns(build(w)).filter(~F.col("_copy")).drop("_range", "_copy")
 
 
 def _edge_copies(tagged: DataFrame, group: list[str], order: list[str], reach: int, forward: bool) -> DataFrame:

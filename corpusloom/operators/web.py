@@ -8,6 +8,7 @@ from corpusloom.functions import fixed
 from corpusloom.functions.html import page_article, page_links
 from corpusloom.functions.text import safe_stem
 from corpusloom.operators.ordering import rank_in_group
+from corpusloom.session import saved
 
 
 def articles(pages: DataFrame, selectors=None) -> DataFrame:
@@ -50,8 +51,9 @@ def file_names(arts: DataFrame, order: str, existing: DataFrame | None = None, b
     on. Numbers in use are skipped: those of `existing` (column file_stem), and
     those that are some article's own title. A title may be shared by any
     number of articles: they are ranked range by range, never in one task."""
-    stemmed = arts.withColumn("_stem", safe_stem("title"))
-    ranked = rank_in_group(stemmed, ["_stem"], [order], "_rank", buckets)
+    # keys and stems only, parsed once; the articles are joined at the end
+    stemmed = saved(arts.select(F.col(order).alias("_key"), safe_stem("title").alias("_stem")))
+    ranked = rank_in_group(stemmed, ["_stem"], ["_key"], "_rank", buckets)
     split = r"\A(.*)_([1-9][0-9]{0,8})\z"
 
     def numbered(names: DataFrame) -> DataFrame:
@@ -75,7 +77,8 @@ def file_names(arts: DataFrame, order: str, existing: DataFrame | None = None, b
     joined = ranked.join(free, (F.col("_stem") == F.col("_s")) & (F.col("_rank") == F.col("_r")), "left")
     number = F.coalesce("_k", F.col("_rank") - 1)
     name = F.when(number == 0, F.col("_stem")).otherwise(F.concat("_stem", F.lit("_"), number.cast("string")))
-    return joined.select(*arts.columns, name.alias("file_stem"))
+    named = joined.select("_key", name.alias("file_stem"))
+    return arts.join(named, F.col(order) == F.col("_key")).drop("_key")
 
 
 def article_text(title: Column, url: Column, content: Column, sections: Column) -> Column:

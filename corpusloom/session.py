@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +26,14 @@ def local_session(app: str = "corpusloom", cpus: str | int = "*") -> SparkSessio
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows of `df`, computed once and kept in the shared folder that
+    spark.checkpoint.dir names, so that lost executors cost nothing. Only where
+    that is unset, as in tests, a temporary folder is used."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+    return df.checkpoint()

@@ -44,7 +44,7 @@ def check_window(spark, forward):
         frame = w.rowsBetween(1, 4) if forward else w.rowsBetween(-4, -1)
         return {"near": F.collect_list("t").over(frame)}
 
-    got = ordering.bounded_window(df, ["g"], ["t"], 4, build, 64, forward).collect()
+    got = ordering.bounded_window(df, ["g"], ["t"], 4, build, 64, "ahead" if forward else "back").collect()
     assert len(got) == len(data)
     for x in got:
         turns = sorted(d[1] for d in data if d[0] == x.g)
