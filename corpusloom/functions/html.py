@@ -1,15 +1,17 @@
-"""Reading one HTML page: a small per-row helper behind a pandas UDF.
+"""Reading one HTML page: a small per-row helper, mapped over the page table.
 
 Spark has no HTML functions; everything around this (filters, joins, naming,
 rendering) is done with Column expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from corpusloom.functions import fixed
 
@@ -128,29 +130,33 @@ def read_page(html: str, selectors) -> tuple[str, str, list[dict]]:
     return title, page.text(box, "\n\n"), sections
 
 
-def page_article(html: Column | str, selectors=None) -> Column:
-    """Title, body and sections of a page."""
-    wanted = [tuple(s) for s in (selectors or fixed.BODY_SELECTORS)]
+def with_pages_read(df: DataFrame, html: str, schema: str, read) -> DataFrame:
+    """Replace column `html` by the fields that `read(html, row)` gives. An
+    operator of its own and not a UDF, so that a filter on the result does not
+    make Spark parse every page twice."""
+    rest = [f for f in df.schema.fields if f.name != html]
+    fields = StructType.fromDDL(schema)
 
-    def run(s: pd.Series) -> pd.DataFrame:
-        rows = [read_page(x or "", wanted) for x in s]
-        return pd.DataFrame(rows, columns=["title", "content", "sections"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parsed = [read(row[html] or "", row) for row in frame.to_dict("records")]
+            out = pd.DataFrame(parsed, columns=fields.names, index=frame.index)
+            yield pd.concat([frame.drop(columns=[html]), out], axis=1)
 
-    run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, PAGE_TYPE)(html)
+    return df.mapInPandas(run, StructType([*rest, *fields.fields]))
 
 
-def page_links(html: Column | str, base: Column, part: str) -> Column:
-    """Absolute targets of the page's links that contain `part`, in page order."""
+def read_articles(df: DataFrame, html: str = "html", selectors=None) -> DataFrame:
+    """Title, body and sections of every page."""
+    wanted = [tuple(s) for s in (selectors or fixed.BODY_SELECTORS)]
+    return with_pages_read(df, html, PAGE_TYPE, lambda text, row: read_page(text, wanted))
 
-    def run(s: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                [urljoin(u, e["href"]) for e in _parse(x or "").elements
-                 if e["name"] == "a" and e["href"] is not None and part in e["href"]]
-                for x, u in zip(s, b)
-            ]
-        )
 
-    run.__annotations__ = {"s": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<string>")(html, base)
+def read_links(df: DataFrame, part: str, base: str, html: str = "html") -> DataFrame:
+    """Absolute targets of every page's links that contain `part`, in page order."""
+
+    def read(text: str, row: dict) -> tuple[list[str]]:
+        hrefs = [e["href"] for e in _parse(text).elements if e["name"] == "a" and e["href"] is not None]
+        return ([urljoin(row[base] or "", h) for h in hrefs if part in h],)
+
+    return with_pages_read(df, html, "links array<string>", read)

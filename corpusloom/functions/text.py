@@ -38,7 +38,8 @@ def clean_text(c: Column | str, repairs=fixed.TEXT_REPAIRS) -> Column:
     for wrong, right in repairs:
         out = F.replace(out, F.lit(wrong), F.lit(right))
     out = F.replace(out, F.lit("|"), F.lit(" "))
-    out = F.regexp_replace(out, rf"(?U){SPACE}+", " ")
+    # runs that are not one plain space already
+    out = F.regexp_replace(out, rf"(?U)[\s\x1c-\x1f&&[^ ]]{SPACE}*| {SPACE}+", " ")
     return F.trim(F.regexp_replace(out, " ([.,;:!?])", "$1"))
 
 

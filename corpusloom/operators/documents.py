@@ -28,7 +28,9 @@ def parse_articles(files: DataFrame, source: str, language: str = "vi") -> DataF
 
 
 def instruction_rows(docs: DataFrame) -> DataFrame:
-    """One row that asks what the title is, and one per section."""
+    """One row that asks what the title is, and one per section. (The outer
+    explode only keeps Spark from testing the array for emptiness first, which
+    would parse every section twice.)"""
 
     def row(instruction, output, section):
         return F.struct(
@@ -48,7 +50,7 @@ def instruction_rows(docs: DataFrame) -> DataFrame:
             F.concat(F.lit(fixed.EXPLAIN), F.lower(e["key"]), F.lit(fixed.EXPLAIN_OF), F.col("title")), e["value"], e["key"]
         ),
     )
-    return docs.select(F.explode(F.concat(F.array(intro), more)).alias("r")).select("r.*")
+    return docs.select(F.explode_outer(F.concat(F.array(intro), more)).alias("r")).select("r.*")
 
 
 def statistics(docs: DataFrame) -> DataFrame:

@@ -159,11 +159,13 @@ def _edge_copies(tagged: DataFrame, group: list[str], order: list[str], reach: i
             by_range.rowsBetween(-reach, -1) if forward else by_range.rowsBetween(1, reach)
         ).alias("_targets"),
     ).filter(F.size("_targets") > 0)
-    # one row per limit and side at most, as in _offsets; `_targets` holds <= reach numbers
-    edge = tagged.withColumn("_near", F.row_number().over(near)).filter(F.col("_near") <= reach).drop("_near")
+    # At most one row per limit, as in _offsets, with at most `reach` numbers each.
+    # Joined first, so that only rows of groups that cross a limit go on.
     right, cond = _renamed(ranges, group, "_range", "_targets")
-    copies = edge.join(F.broadcast(right), cond).select(
-        *[c for c in edge.columns if c not in ("_range", "_copy")], F.explode("_targets").alias("_range")
+    edge = tagged.join(F.broadcast(right), cond).select(*tagged.columns, "_targets")
+    edge = edge.withColumn("_near", F.row_number().over(near)).filter(F.col("_near") <= reach)
+    copies = edge.select(
+        *[c for c in tagged.columns if c not in ("_range", "_copy")], F.explode("_targets").alias("_range")
     )
     closest = Window.partitionBy("_range", *group).orderBy(*[toward(c) for c in order])
     kept = copies.withColumn("_near", F.row_number().over(closest)).filter(F.col("_near") <= reach)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import fixed
+from corpusloom.functions.text import let
 from corpusloom.functions.tokens import keep_first, keep_last, masked_labels, truncate, with_begin, with_end
 
 
 def _shared_length(a: Column, b: Column) -> Column:
-    """Length of the common start of two strings, by bisection in 32 steps:
-    starts of any length agree or do not, so the last agreeing length is found
-    without looking at every place."""
+    """Length of the common start of two strings, by bisection: shorter
+    starts agree when a longer one does, so not every place is looked at."""
     top = F.least(F.length(a), F.length(b))
 
     def step(range_: Column, _: Column) -> Column:
@@ -24,30 +24,36 @@ def _shared_length(a: Column, b: Column) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("low"), top.alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step, lambda r: r["low"])
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(top + 1)).cast("int") + 1)
+    return F.aggregate(steps, start, step, lambda r: r["low"])
 
 
-def extract_prompt(df: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """Split off the shared start of both answers as the prompt. A space at its
-    end goes to the answers. When one answer is the start of the other, its
-    last character stays in the answers. Rows that have a prompt stay as they are."""
+def split_prompt(a: Column, b: Column) -> Column:
+    """(prompt, chosen, rejected) of two answers that start with the prompt. A
+    space at the prompt's end goes to the answers. When one answer is the start
+    of the other, its last character stays in the answers."""
+
+    def split(same: Column) -> Column:
+        whole = same == F.least(F.length(a), F.length(b))
+        spaced = (same > 0) & (F.substr(a, same, F.lit(1)) == " ")
+        n = F.when(whole, F.greatest(same - 1, F.lit(0))).when(spaced, same - 1).otherwise(same)
+        return F.struct(
+            F.substr(a, F.lit(1), n).alias("prompt"),
+            F.substr(a, n + 1, F.length(a)).alias("chosen"),
+            F.substr(b, n + 1, F.length(b)).alias("rejected"),
+        )
+
+    return let(_shared_length(a, b), split)
+
+
+def extract_prompt(df: DataFrame) -> DataFrame:
+    """Split off the shared start of chosen and rejected as the prompt. Rows
+    that have a prompt stay as they are."""
     if "prompt" in df.columns:
         return df
-    a, b = F.col(chosen), F.col(rejected)
-    staged = df.withColumn("_same", _shared_length(a, b))
-    whole = F.col("_same") == F.least(F.length(a), F.length(b))
-    ends_in_space = F.substr(a, F.col("_same"), F.lit(1)) == " "
-    n = F.when(whole, F.greatest(F.col("_same") - 1, F.lit(0))).when(
-        (F.col("_same") > 0) & ends_in_space, F.col("_same") - 1
-    ).otherwise(F.col("_same"))
-    staged = staged.withColumn("_n", n)
-    rest = [c for c in df.columns if c not in (chosen, rejected)]
-    return staged.select(
-        *rest,
-        F.substr(a, F.lit(1), F.col("_n")).alias("prompt"),
-        F.substr(a, F.col("_n") + 1, F.length(a)).alias(chosen),
-        F.substr(b, F.col("_n") + 1, F.length(b)).alias(rejected),
-    )
+    rest = [c for c in df.columns if c not in ("chosen", "rejected")]
+    parts = df.select(*rest, split_prompt(F.col("chosen"), F.col("rejected")).alias("_p"))
+    return parts.select(*rest, "_p.*")
 
 
 def extract_prompt_messages(chosen: Column, rejected: Column) -> Column:
@@ -102,9 +108,14 @@ def pair_tokens(
 
 def prompts_agree(a: Column, b: Column) -> Column:
     """Prompt tokens of the two sides may differ in one token and one in length."""
-    n = F.least(F.size(a), F.size(b))
-    apart = F.size(F.filter(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x != y), lambda v: v))
-    return (apart <= 1) & (F.abs(F.size(a) - F.size(b)) <= 1)
+
+    def check(sides: Column) -> Column:
+        a, b = sides["a"], sides["b"]
+        n = F.least(F.size(a), F.size(b))
+        apart = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x != y)
+        return (F.size(F.filter(apart, lambda v: v)) <= 1) & (F.abs(F.size(a) - F.size(b)) <= 1)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), check)
 
 
 def checked_prompts(df: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:

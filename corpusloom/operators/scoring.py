@@ -41,9 +41,10 @@ def with_group_stats(df: DataFrame, group: str, aggregates: dict[str, Column]) -
     return df.join(stats.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
-def _whole(df: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
-    """Add the whole table's statistics to every row, as scalar subqueries."""
-    stats = df.agg(F.struct(*[c.alias(n) for n, c in aggregates.items()])).scalar()
+def _whole(df: DataFrame, aggregates: dict[str, Column], source: DataFrame | None = None) -> DataFrame:
+    """Add statistics of the whole of `source` (default: the same rows) to every
+    row, as a scalar subquery."""
+    stats = (df if source is None else source).agg(F.struct(*[c.alias(n) for n, c in aggregates.items()])).scalar()
     return df.withColumn("_stats", stats).select(*df.columns, *[F.col("_stats")[n].alias(n) for n in aggregates])
 
 
@@ -55,7 +56,7 @@ def group_advantage(df: DataFrame, group: str, score: str, scale: str = "group",
     if scale == "group":
         out = out.withColumn("advantage", (s - F.col("_mean")) / (F.col("_std") + eps))
     elif scale == "batch":
-        out = _whole(out, {"_all": F.stddev_samp(s)})
+        out = _whole(out, {"_all": F.stddev_samp(s)}, df)
         out = out.withColumn("advantage", (s - F.col("_mean")) / (F.col("_all") + eps)).drop("_all")
     elif scale == "none":
         out = out.withColumn("advantage", s - F.col("_mean"))
@@ -87,7 +88,7 @@ def prompt_z(df: DataFrame, group: str, score: str, min_count: int = 16, eps: fl
     fewer than `min_count` scores."""
     s = F.col(score)
     out = with_group_stats(df, group, {"_n": F.count(s), "_m": F.avg(s), "_d": F.stddev_pop(s)})
-    out = _whole(out, {"_am": F.avg(s), "_ad": F.stddev_pop(s)})
+    out = _whole(out, {"_am": F.avg(s), "_ad": F.stddev_pop(s)}, df)
     few = F.col("_n") < min_count
     mean = F.when(few, F.col("_am")).otherwise(F.col("_m"))
     deviation = F.when(few, F.col("_ad")).otherwise(F.col("_d")) + eps

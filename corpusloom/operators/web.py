@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import fixed
-from corpusloom.functions.html import page_article, page_links
+from corpusloom.functions.html import read_articles, read_links
 from corpusloom.functions.text import safe_stem
 from corpusloom.operators.ordering import rank_in_group
 from corpusloom.session import saved
@@ -13,9 +13,7 @@ from corpusloom.session import saved
 
 def articles(pages: DataFrame, selectors=None) -> DataFrame:
     """Replace `html` by title, content and sections."""
-    rest = [c for c in pages.columns if c != "html"]
-    parsed = pages.select(*rest, page_article("html", selectors).alias("_a"))
-    return parsed.select(*rest, "_a.title", "_a.content", "_a.sections")
+    return read_articles(pages, "html", selectors)
 
 
 def complete(arts: DataFrame) -> DataFrame:
@@ -26,9 +24,9 @@ def complete(arts: DataFrame) -> DataFrame:
 def links(pages: DataFrame, part: str = fixed.LINK_PART, base: Column | None = None) -> DataFrame:
     """Distinct absolute link targets per page with their place. `base` is the
     site's address; by default the page's own url."""
-    base = F.col("url") if base is None else base
-    found = pages.select("page_id", F.array_distinct(page_links("html", base, part)).alias("_l"))
-    return found.select("page_id", F.posexplode("_l").alias("position", "link"))
+    rows = pages.select("page_id", (F.col("url") if base is None else base).alias("_base"), "html")
+    found = read_links(rows, part, "_base")
+    return found.select("page_id", F.posexplode(F.array_distinct("links")).alias("position", "link"))
 
 
 def unseen(urls: DataFrame, visited: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.functions.text import clean_text, safe_stem
 from corpusloom.functions.vectors import Encoder
 from corpusloom.operators import chunking, dialogue, documents, retrieval, web
+from corpusloom.session import saved
 
 
 def pages_to_documents(pages: DataFrame, source: str, order: str = "page_id") -> DataFrame:
@@ -45,7 +46,7 @@ def answers(
     """(query_id, question, search_text) and embedded chunks -> prompts. Chunk
     texts are only fetched for hits, k per question."""
     asked = chunking.encode(questions.select("query_id", "search_text"), "search_text", "embedding", encoder)
-    hits = retrieval.nearest(corpus, asked, k, cell_bits)
+    hits = saved(retrieval.nearest(corpus, asked, k, cell_bits))  # used twice; k rows per question
     rows = hits.join(corpus.select("id", "title", "content"), "id")
     gated = retrieval.gates(questions, hits)
     context = retrieval.document_context(rows)

@@ -17,7 +17,7 @@ def article_texts(spark, d):
     """documents -> (doc_id, file_name, value) in the article layout: German
     ones have no revision line, Spanish ones no body mark."""
     lines = F.split("text", "\n")
-    docs = table(spark, d, "documents").select(
+    docs = table(spark, d, "documents", spread=True).select(
         "doc_id", "lang", "source", "text",
         safe_stem(lines[0], 60).alias("title"), F.substring(lines[0], 1, 30).alias("who"), F.substring(lines[0], 31, 40).alias("by"),
         F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("l2"),
@@ -131,7 +131,7 @@ _KEPT = f"""list_transform(list_filter({_PIECES}, lambda x: length(x) > 20 AND l
 )
 def article_references(spark, d):
     refs = article_texts(spark, d).select("doc_id", article.references(F.col("value")).alias("r"))
-    return refs.select("doc_id", F.posexplode("r").alias("position", "reference"))
+    return refs.select("doc_id", F.posexplode_outer("r").alias("position", "reference")).filter("reference is not null")
 
 
 def _sections_sql() -> str:
@@ -158,7 +158,8 @@ def _sections_sql() -> str:
 )
 def article_sections(spark, d):
     parsed = documents.parse_articles(_with_id(article_texts(spark, d)), "site")
-    return parsed.select(_doc_number(), F.explode("sections").alias("header", "section_text"))
+    rows = parsed.select(_doc_number(), F.explode_outer("sections").alias("header", "section_text"))
+    return rows.filter("header is not null")
 
 
 @query(

@@ -7,7 +7,7 @@ from corpusloom.operators import dialogue
 from corpusloom.operators.chunking import encode
 from corpusloom.operators.ordering import bounded_window
 from corpusloom.queries import query, sqltext as S
-from corpusloom.session import table
+from corpusloom.session import saved, table
 
 M = S.MESSAGES
 
@@ -132,10 +132,13 @@ _RECENT = f"""recent AS (SELECT *, row_number() OVER (PARTITION BY session_id OR
 _HISTORY_OUT = """SELECT session_id, string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'model' END || ': ' || substring(content, 1, 250), chr(10) ORDER BY o) AS history"""
 
 
-def _open(spark, d):
+def _open(spark, d, keep=True):
+    """Open questions and the messages before them; the latter are read several
+    times, so they are joined once and kept."""
     rows = messages(spark, d)
     asked = dialogue.pending_questions(rows)
-    return asked, dialogue.earlier_messages(rows, asked)
+    log = dialogue.earlier_messages(rows, asked)
+    return asked, saved(log) if keep else log
 
 
 def _shown(history):
@@ -166,7 +169,7 @@ def _similar(asked, log):
 
 @query("similar_messages", f"WITH {M}, {_OPEN}, {_SIMILAR} SELECT session_id, turn, role, content, similarity, rank FROM hits")
 def similar_messages(spark, d):
-    return _similar(*_open(spark, d))
+    return _similar(*_open(spark, d, keep=False))
 
 
 _EXTRA = """firsts AS (SELECT session_id, role, content, min(turn) AS turn FROM log GROUP BY ALL),

@@ -70,11 +70,11 @@ def terminated_completions(spark, d):
     return scoring.terminated_only(completions(spark, d)).select("completion_id")
 
 
-def _advantage(name: str, expression: str, run, extra: str = ""):
-    sql = f"WITH {_W}{extra} SELECT completion_id, round({expression}, 9) AS advantage FROM w"
+def _advantage(name: str, expression: str, run, digits: int = 6):
+    sql = f"WITH {_W} SELECT completion_id, round({expression}, {digits}) AS advantage FROM w"
 
     def rows(spark, d):
-        return _rounded(run(weighted(spark, d)).select("completion_id", "advantage"), "advantage", digits=9)
+        return _rounded(run(weighted(spark, d)).select("completion_id", "advantage"), "advantage", digits=digits)
 
     query(name, sql)(rows)
 
@@ -89,7 +89,7 @@ _advantage(
 _advantage("group_advantage_unscaled", f"score - {_MEAN}", lambda w: scoring.group_advantage(w, "prompt_id", "score", "none"))
 _SUM, _N = "sum(score) OVER (PARTITION BY prompt_id)", "count(*) OVER (PARTITION BY prompt_id)"
 _LOO = f"CASE WHEN {_N} > 1 THEN score - ({_SUM} - score) / ({_N} - 1) END"
-_advantage("leave_one_out", _LOO, lambda w: scoring.leave_one_out(w, "prompt_id", "score"))
+_advantage("leave_one_out", _LOO, lambda w: scoring.leave_one_out(w, "prompt_id", "score"), 9)
 _advantage("score_z", "(score - avg(score) OVER ()) / (stddev_pop(score) OVER () + 1e-8)", lambda w: scoring.global_z(w, "score"))
 _advantage(
     "prompt_z",

@@ -41,7 +41,7 @@ def unit_vectors(spark, d):
     SELECT id AS doc_id, d AS place, round(w, 5) AS weight FROM enc_w""",
 )
 def encoded_documents(spark, d):
-    docs = corpus.document_rows(table(spark, d, "documents")).select("id", "content")
+    docs = corpus.document_rows(table(spark, d, "documents", spread=True)).select("id", "content")
     rows = chunking.encode(docs, "content").select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("place", "w"))
     return rows.filter("w <> 0").select("doc_id", "place", F.round(F.col("w").cast("double"), 5).alias("weight"))
 
@@ -102,7 +102,7 @@ def nearest_in_cells(spark, d):
 
 
 def chunks(spark, d):
-    docs = corpus.document_rows(table(spark, d, "documents"))
+    docs = corpus.document_rows(table(spark, d, "documents", spread=True))
     placed = chunking.with_position(docs, ["id"])
     return chunking.explode_chunks(placed, chunking.window_chunks(F.col("content"))).select("id", "title", "url", "content")
 

@@ -11,7 +11,7 @@ from corpusloom.session import table
 
 @query("clean_text", f"SELECT doc_id, {S.clean('text')} AS cleaned FROM documents")
 def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean_text("text").alias("cleaned"))
+    return table(spark, d, "documents", spread=True).select("doc_id", T.clean_text("text").alias("cleaned"))
 
 
 @query(
@@ -79,7 +79,7 @@ def plausible_lines(spark, d):
     SELECT doc_id || '_' || pos || '_chunk_' || i AS id, substring(t, i * 800 + 1, 1000) AS content FROM s""",
 )
 def window_chunks(spark, d):
-    docs = corpus.document_rows(table(spark, d, "documents"))
+    docs = corpus.document_rows(table(spark, d, "documents", spread=True))
     placed = chunking.with_position(docs, ["id"])
     return chunking.explode_chunks(placed, chunking.window_chunks(F.col("content"))).select("id", "content")
 
@@ -124,12 +124,12 @@ SELECT doc_id || '_' || pos || '_chunk_' || j AS id, content FROM num JOIN c USI
 
 @query("recursive_chunks", _recursive_chunks_sql())
 def recursive_chunks(spark, d):
-    return corpus.chunked(corpus.document_rows(table(spark, d, "documents"))).select("id", "content")
+    return corpus.chunked(corpus.document_rows(table(spark, d, "documents", spread=True))).select("id", "content")
 
 
 @query("embed_text", f"""SELECT doc_id AS id, 'Tiêu đề: ' || {S.stem("string_split(text, chr(10))[1]", 60)} || chr(10) || 'Nội dung: ' || {S.clean('text')} AS embed_text FROM documents""")
 def embed_text(spark, d):
-    docs = corpus.document_rows(table(spark, d, "documents"))
+    docs = corpus.document_rows(table(spark, d, "documents", spread=True))
     return docs.select("id", chunking.embed_text("title", "content").alias("embed_text"))
 
 

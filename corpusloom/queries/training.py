@@ -7,7 +7,7 @@ from corpusloom.functions.text import words
 from corpusloom.operators import batches, preferences
 from corpusloom.queries import query, sqltext as S
 from corpusloom.queries.conversations import M, _QA, qa_pairs
-from corpusloom.session import table
+from corpusloom.session import saved, table
 
 _KEY = "session_id || ':' || turn"
 # the wanted answer is the real one; the unwanted one lacks its first 40 characters
@@ -161,7 +161,7 @@ def pair_labels(spark, d):
 )
 def truncated_tokens(spark, d):
     w = F.col("w")
-    docs = table(spark, d, "documents").select("doc_id", words("text").alias("w"))
+    docs = table(spark, d, "documents", spread=True).select("doc_id", words("text").alias("w"))
     return docs.select(
         "doc_id",
         F.array_join(T.truncate(w, 32), " ").alias("keep_start"),
@@ -211,7 +211,7 @@ def last_step_rows(spark, d):
     SELECT k // 512 AS sequence, string_agg(x, ' ' ORDER BY k) AS input_ids FROM n GROUP BY 1""",
 )
 def packed_wrapped(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", words("text").alias("w"))
+    docs = table(spark, d, "documents", spread=True).select("doc_id", words("text").alias("w"))
     return _joined(batches.packed_wrapped(docs, ["doc_id"], "w", 512), "input_ids")
 
 
@@ -230,7 +230,7 @@ _BFD = f"""WITH RECURSIVE t AS (SELECT doc_id, ({_words('text')})[1:1024] AS w,
 
 @query("packed_best_fit", _BFD)
 def packed_best_fit(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", words("text").alias("w"))
+    docs = table(spark, d, "documents", spread=True).select("doc_id", words("text").alias("w"))
     out = batches.packed_best_fit(docs, "doc_id", "w", 1024)
     return _joined(out.withColumn("lengths", F.array_join("lengths", ",")), "input_ids")
 
@@ -244,7 +244,7 @@ _N = f"qn AS (SELECT *, (row_number() OVER (ORDER BY session_id, turn) - 1) // 4
     (PARTITION BY batch ORDER BY session_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other FROM qn WINDOW w AS (PARTITION BY batch ORDER BY session_id, turn)""",
 )
 def mismatched_pairs(spark, d):
-    return batches.mismatched(qa_pairs(spark, d), ["session_id", "turn"], "answer", "other", 4).drop("answer")
+    return batches.mismatched(saved(qa_pairs(spark, d)), ["session_id", "turn"], "answer", "other", 4).drop("answer")
 
 
 @query(
@@ -253,7 +253,7 @@ def mismatched_pairs(spark, d):
     SELECT a.session_id, a.turn, a.batch, a.question, b.answer AS other FROM r a JOIN r b ON a.batch = b.batch AND b.i = a.c - a.i + 1""",
 )
 def mirrored_pairs(spark, d):
-    return batches.mismatched(qa_pairs(spark, d), ["session_id", "turn"], "answer", "other", 4, "reverse").drop("answer")
+    return batches.mismatched(saved(qa_pairs(spark, d)), ["session_id", "turn"], "answer", "other", 4, "reverse").drop("answer")
 
 
 @query(

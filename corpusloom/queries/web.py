@@ -10,8 +10,9 @@ from corpusloom.session import table
 
 
 def _unescape(e: str) -> str:
-    for name, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        e = f"replace({e}, {S.lit(name)}, {S.lit(char)})"
+    # these names also count without the semicolon; the ampersand comes last
+    for name, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("middot", "·"), ("copy", "©"), ("amp", "&")):
+        e = f"regexp_replace({e}, '&{name};?', {S.lit(char)}, 'g')"
     return e
 
 
@@ -24,7 +25,7 @@ COMPLETE = "SELECT * FROM arts WHERE title <> '' AND content <> ''"
 
 
 def articles(spark, d):
-    return web.articles(table(spark, d, "pages"))
+    return web.articles(table(spark, d, "pages", spread=True))
 
 
 @query("page_articles", f"WITH {ARTICLES} SELECT page_id, title, content FROM arts")
@@ -79,7 +80,7 @@ _LINKS = f"""links AS (SELECT page_id, url, unnest(h) AS href, generate_subscrip
     SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS position, link FROM f""",
 )
 def page_links(spark, d):
-    return web.links(table(spark, d, "pages"), "/")
+    return web.links(table(spark, d, "pages", spread=True), "/")
 
 
 @query("site_pages", "SELECT page_id, url FROM pages WHERE contains(url, '/en/')")

@@ -24,8 +24,15 @@ def local_session(app: str = "corpusloom", cpus: str | int = "*") -> SparkSessio
     return spark
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A table. With `spread`, for work that is heavy per row, a table whose
+    files give fewer scan tasks than there are cores is dealt out to all of
+    them; one with many files is read as it is, without a shuffle."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def saved(df: DataFrame) -> DataFrame:
