@@ -86,7 +86,7 @@ _advantage(
     "group_advantage_whole", f"(score - {_MEAN}) / (stddev_samp(score) OVER () + 1e-4)",
     lambda w: scoring.group_advantage(w, "prompt_id", "score", "batch"),
 )
-_advantage("group_advantage_unscaled", f"score - {_MEAN}", lambda w: scoring.group_advantage(w, "prompt_id", "score", "none"))
+_advantage("group_advantage_unscaled", f"score - {_MEAN}", lambda w: scoring.group_advantage(w, "prompt_id", "score", "none"), 9)
 _SUM, _N = "sum(score) OVER (PARTITION BY prompt_id)", "count(*) OVER (PARTITION BY prompt_id)"
 _LOO = f"CASE WHEN {_N} > 1 THEN score - ({_SUM} - score) / ({_N} - 1) END"
 _advantage("leave_one_out", _LOO, lambda w: scoring.leave_one_out(w, "prompt_id", "score"), 9)
