@@ -46,13 +46,18 @@ def last_messages(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n).drop("_n")
 
 
-def preceding_messages(messages: DataFrame, n: int = 4, buckets: int | None = None) -> DataFrame:
-    """Add `before`: the up to n messages ahead of each one, in turn order."""
+def preceding_messages(
+    messages: DataFrame, n: int = 4, width: int | None = None, buckets: int | None = None
+) -> DataFrame:
+    """Add `before`: the up to n messages ahead of each one, in turn order, cut
+    to `width` before they are gathered."""
+    shown = F.col("content") if width is None else cut("content", width)
 
     def build(w):
-        return {"before": F.collect_list(F.struct("role", "content")).over(w.rowsBetween(-n, -1))}
+        return {"before": F.collect_list(F.struct("role", F.col("_shown").alias("content"))).over(w.rowsBetween(-n, -1))}
 
-    return bounded_window(messages, ["session_id"], ["turn"], n, build, buckets)
+    rows = messages.withColumn("_shown", shown)
+    return bounded_window(rows, ["session_id"], ["turn"], n, build, buckets).drop("_shown")
 
 
 def qa_pairs(messages: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -69,7 +74,7 @@ def qa_pairs(messages: DataFrame, buckets: int | None = None) -> DataFrame:
 def contextual_queries(messages: DataFrame, n: int = 4, width: int = 100, buckets: int | None = None) -> DataFrame:
     """Search text of every user message: the n messages before it, each cut
     and marked, and the question; the bare question when there are none."""
-    asked = preceding_messages(messages, n, buckets).filter(F.col("role") == "user")
+    asked = preceding_messages(messages, n, width, buckets).filter(F.col("role") == "user")
     return asked.select("session_id", "turn", contextual_query(F.col("content"), F.col("before"), width).alias("query"))
 
 
@@ -91,7 +96,8 @@ def _by_turn(part: Column) -> Column:
 def history_texts(messages: DataFrame, n: int = 6, width: int = 150) -> DataFrame:
     """Per session the last n messages as labelled lines."""
     line = F.concat(_role_name(F.col("role"), fixed.HISTORY_USER, fixed.HISTORY_BOT), F.lit(": "), ellipsis("content", width))
-    return last_messages(messages, n).groupBy("session_id").agg(F.array_join(_by_turn(line), "\n").alias("history"))
+    lines = messages.select("session_id", "turn", line.alias("line"))  # cut before anything moves
+    return last_messages(lines, n).groupBy("session_id").agg(F.array_join(_by_turn(F.col("line")), "\n").alias("history"))
 
 
 def sessions(messages: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -115,9 +121,10 @@ def history_listing(messages: DataFrame, limit: int = 10, width: int = 200) -> D
     """Two lines per message: number and role, and a preview."""
     text = F.concat(
         F.col("number").cast("string"), F.lit(". "), _role_name(F.col("role"), fixed.LISTING_USER, fixed.LISTING_BOT),
-        F.lit(":\n   "), ellipsis("content", width), F.lit("\n"),
+        F.lit(":\n   "), F.col("content"), F.lit("\n"),
     )
-    return _numbered_tail(messages, limit).select("session_id", "number", text.alias("line"))
+    shown = messages.withColumn("content", ellipsis("content", width))  # cut before anything moves
+    return _numbered_tail(shown, limit).select("session_id", "number", text.alias("line"))
 
 
 def history_export(messages: DataFrame, limit: int = 10) -> DataFrame:
@@ -184,18 +191,32 @@ def similar_messages(log: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _identity(content: Column | str) -> Column:
+    """Stands for a content where only equality matters, so that shuffles carry
+    32 bytes instead of the text."""
+    return F.unhex(F.sha2(content, 256))
+
+
+def _first_turns(log: DataFrame, *more: Column) -> DataFrame:
+    """First turn of every (session, role, content): one row each, reduced in
+    every task before the shuffle, however often a content is repeated."""
+    rows = log.withColumn("_c", _identity("content"))
+    return rows.groupBy("session_id", "role", "_c").agg(F.min("turn").alias("first_turn"), *more)
+
+
 def first_equal_messages(hits: DataFrame, log: DataFrame, selected: DataFrame) -> DataFrame:
     """Each hit -> the first message of its session with the same content whose
-    (role, content) is not selected yet. Messages are first reduced to one row
-    per (session, role, content), so repeats cost nothing in the join."""
-    firsts = log.groupBy("session_id", "role", "content").agg(F.min("turn").alias("turn"))
-    free = firsts.join(selected.select("session_id", "role", "content"), ["session_id", "role", "content"], "left_anti")
-    same = ["session_id", "content"]
-    wanted = hits.select(*same, "rank", F.row_number().over(Window.partitionBy(*same).orderBy("rank")).alias("_i"))
-    # only contents that were hit, then numbered: one row per role and content
-    free = free.join(wanted.select(*same).distinct(), same, "left_semi")
-    free = free.withColumn("_i", F.row_number().over(Window.partitionBy(*same).orderBy("turn")))
-    return wanted.join(free, [*same, "_i"]).select("session_id", "rank", "turn", "role", "content")
+    (role, content) is not selected yet."""
+    key, same = ["session_id", "role", "_c"], ["session_id", "_c"]
+    chosen = selected.select("session_id", "role", _identity("content").alias("_c"))
+    wanted = hits.select("session_id", "content", "rank", _identity("content").alias("_c"))
+    wanted = wanted.withColumn("_i", F.row_number().over(Window.partitionBy(*same).orderBy("rank")))
+    free = _first_turns(log).join(chosen, key, "left_anti").join(wanted.select(*same).distinct(), same, "left_semi")
+    # one row per role and content is left to number
+    free = free.withColumn("_i", F.row_number().over(Window.partitionBy(*same).orderBy("first_turn")))
+    return wanted.join(free, [*same, "_i"]).select(
+        "session_id", "rank", F.col("first_turn").alias("turn"), "role", "content"
+    )
 
 
 def _selected_history(rows: DataFrame, keep: int, width: int) -> DataFrame:
@@ -222,9 +243,10 @@ def _recent(log: DataFrame, n: int) -> DataFrame:
 
 
 def _with_first_turn(recent: DataFrame, log: DataFrame) -> DataFrame:
-    key = ["session_id", "role", "content"]
-    firsts = log.groupBy(*key).agg(F.min("turn").alias("first_turn"))
-    return recent.join(firsts, key).select(*key, "place", "first_turn")
+    rows = recent.withColumn("_c", _identity("content"))
+    return rows.join(_first_turns(log), ["session_id", "role", "_c"]).select(
+        "session_id", "role", "content", "place", "first_turn"
+    )
 
 
 def hybrid_history(
@@ -271,7 +293,8 @@ def keyword_history(log: DataFrame, recent: int = 3, keep: int = 8, width: int =
     newest = _recent(log, recent)
     older = log.join(newest.select("session_id", "turn"), ["session_id", "turn"], "left_anti")
     fits = older.filter(shares_keyword(F.col("question"), F.col("content")))
-    firsts = fits.groupBy(*key).agg(F.min("turn").alias("first_turn")).join(newest.select(*key), key, "left_anti")
+    chosen = newest.select("session_id", "role", _identity("content").alias("_c"))
+    firsts = _first_turns(fits, F.any_value("content").alias("content")).join(chosen, ["session_id", "role", "_c"], "left_anti")
     # the newest keep+1 decide both the choice and whether there are too many
     late = Window.partitionBy("session_id").orderBy(F.desc("first_turn"))
     few = firsts.withColumn("_n", F.row_number().over(late)).filter(F.col("_n") <= keep + 1)

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-MAX_SAMPLE = 16384
+MAX_RANGES = 8192
+PER_RANGE = 8  # sampled keys per range
 
 
 @dataclass
@@ -43,20 +44,30 @@ class Ranges:
 
 
 def key_ranges(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> Ranges:
-    """Cut points of `keys` into about equal ranges. Reads only the keys; brings
-    at most MAX_SAMPLE of them to the driver."""
+    """Cut points of `keys` into about equal ranges. Reads only the keys, twice:
+    to count them and to pick about PER_RANGE per range, which are all that
+    comes to the driver. Hash limits thin the rows out in the scan."""
     spark = df.sparkSession
     keys = list(keys)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(buckets, MAX_SAMPLE // 16))
-    size = 16 * buckets
+    buckets = max(1, min(buckets, MAX_RANGES))
+    size = PER_RANGE * buckets
     cols = df.select(*keys)
-    sample = cols.orderBy(F.xxhash64(*keys), *keys).limit(size).select(
+    schema = T.StructType([cols.schema[k] for k in keys])
+    count = cols.count()
+    if count < size or buckets == 1:
+        return Ranges(keys, schema, [])
+    hashed = cols.withColumn("_h", F.xxhash64(*keys))
+    share = min(1.0, 4.0 * size / count)
+    if share < 1.0:
+        hashed = hashed.filter(F.col("_h") < int(-(2**63) + share * 2**64))
+    sample = hashed.orderBy("_h", *keys).limit(size)
+    packed = sample.select(
         F.struct(*keys).alias("k"), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("j")
     )
-    rows = [r["j"] for r in sample.orderBy("k").collect()]
-    cuts = [] if len(rows) < size else [rows[i * 16] for i in range(1, buckets)]
-    return Ranges(keys, T.StructType([cols.schema[k] for k in keys]), list(dict.fromkeys(cuts)))
+    rows = [r["j"] for r in packed.orderBy("k").collect()]
+    cuts = [rows[i * len(rows) // buckets] for i in range(1, buckets)] if rows else []
+    return Ranges(keys, schema, list(dict.fromkeys(cuts)))
 
 
 def _offsets(df: DataFrame, group: list[str], bucket: str, total: Column) -> DataFrame:

@@ -17,8 +17,9 @@ from corpusloom.functions import fixed
 from corpusloom.functions.text import ellipsis, strip
 from corpusloom.functions.vectors import cells, sign_planes
 
-# Query rows that may be sent to every task: 4,096 x 1,024 doubles are 32 MiB.
+# What may be sent to every task: 4,096 queries of 1,024 doubles are 32 MiB.
 MAX_SENT_QUERIES = 4096
+MAX_SENT_BYTES = 256 << 20
 DIGITS = 6  # similarities are single precision; ties beyond that go by id
 
 
@@ -117,7 +118,7 @@ def nearest(
     planes_for = (lambda dim: sign_planes(cell_bits, dim)) if cell_bits else (lambda dim: None)
 
     head = asked.limit(max_sent + 1).toArrow()
-    if head.num_rows <= max_sent:
+    if head.num_rows <= max_sent and head.nbytes <= MAX_SENT_BYTES:
         query_ids = head.column("query_id").to_pylist()
         sent = corpus.sparkSession.sparkContext.broadcast(_matrix(head.column("query")))
 

@@ -60,7 +60,7 @@ _BEFORE = """b AS (SELECT session_id, turn, role, content,
     coalesce(array_to_string(list_transform(before, lambda m: m.role || ':' || m.content), chr(10)), '') AS before FROM b""",
 )
 def preceding_messages(spark, d):
-    near = dialogue.preceding_messages(messages(spark, d), 4)
+    near = dialogue.preceding_messages(messages(spark, d))
     lines = F.transform("before", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
     return near.select("session_id", "turn", F.size("before").alias("n"), F.array_join(lines, "\n").alias("before"))
 

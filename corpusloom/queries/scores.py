@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import preferences, scoring
 from corpusloom.queries import query
 from corpusloom.queries.conversations import messages, _QA, M, qa_pairs
-from corpusloom.session import table
+from corpusloom.session import saved, table
 
 
 def completions(spark, d):
@@ -246,11 +246,15 @@ def clamped_ratios(spark, d):
 
 @query("density_weights")
 def density_weights(spark, d):
-    """Weights of the unwanted documents, learnt on all labelled ones."""
+    """Weights of the unwanted documents, learnt on a sample with repeats of at
+    most 512 rows of each class."""
+    from corpusloom.operators.batches import sample_with_repeats
     from corpusloom.operators.chunking import encode
 
     docs = table(spark, d, "documents").select("doc_id", "text")
     rows = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
-    rows = encode(rows, "text").drop("text")
-    out = scoring.density_weights(rows, "embedding", "label")
-    return out.filter("label = 0").select("doc_id", F.round("weight", 4).alias("weight"))
+    rows = saved(encode(rows, "text").drop("text"))
+    good, bad = preferences.by_label(rows, F.col("label") == 1)
+    drawn = [sample_with_repeats(x.drop("label"), "doc_id", 512) for x in (good, bad)]
+    out = scoring.density_weights(bad, "embedding", "label", train=scoring.labelled_union(*drawn))
+    return out.select("doc_id", F.round("weight", 4).alias("weight"))
