@@ -6,9 +6,28 @@ all rows is then no larger in the shuffle than any other."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+# A scorer gets lists of prompts and completions, and the other columns as
+# keyword lists; it gives one score per completion, None for no score.
+Scorer = Callable[..., list[float | None]]
+
+
+def scored_by(df: DataFrame, scorers: Sequence[Scorer], prompt: str = "prompt", completion: str = "completion") -> DataFrame:
+    """Add `scores`, one per scorer, in Arrow batches. No score is NULL."""
+    schema = T.StructType([*df.schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lists = {c: frame[c].tolist() for c in frame.columns}
+            prompts, completions = lists.pop(prompt), lists.pop(completion)
+            got = [scorer(prompts=prompts, completions=completions, **lists) for scorer in scorers]
+            yield frame.assign(scores=[[None if x is None else float(x) for x in row] for row in zip(*got)])
+
+    return df.mapInPandas(run, schema)
 
 
 def weighted_score(scores: Column, weights: Sequence[float], clip: tuple[float, float] | None = None) -> Column:

@@ -41,13 +41,19 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 
 def answers(
-    questions: DataFrame, corpus: DataFrame, encoder: Encoder | None = None, k: int = 10, cell_bits: int | None = None
+    questions: DataFrame,
+    corpus: DataFrame,
+    texts: DataFrame | None = None,
+    encoder: Encoder | None = None,
+    k: int = 10,
+    cell_bits: int | None = None,
 ) -> DataFrame:
-    """(query_id, question, search_text) and embedded chunks -> prompts. Chunk
-    texts are only fetched for hits, k per question."""
+    """(query_id, question, search_text) and embedded chunks -> prompts. Texts
+    are only fetched for hits, k per question; `texts` (id, title, content) is
+    where from, when the chunks are not a stored table."""
     asked = chunking.encode(questions.select("query_id", "search_text"), "search_text", "embedding", encoder)
     hits = saved(retrieval.nearest(corpus, asked, k, cell_bits))  # used twice; k rows per question
-    rows = hits.join(corpus.select("id", "title", "content"), "id")
+    rows = hits.join((corpus if texts is None else texts).select("id", "title", "content"), "id")
     gated = retrieval.gates(questions, hits)
     context = retrieval.document_context(rows)
     joined = gated.join(context, "query_id", "left")

@@ -38,6 +38,26 @@ def _rounded(df, *names, digits=6):
     return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+def _brevity(prompts, completions, **rest):
+    """Short answers are better; none at all for answers without a full stop."""
+    return [1000.0 / (1 + len(c)) if "." in c else None for c in completions]
+
+
+def _echo(prompts, completions, turn, **rest):
+    return [float(len(p)) / 100 + t for p, t in zip(prompts, turn)]
+
+
+@query(
+    "scorer_functions",
+    f"""WITH {M}, {_QA} SELECT session_id, turn, round(CASE WHEN contains(answer, '.') THEN 1000.0::DOUBLE / (1 + length(answer)) END, 6) AS brevity,
+    round(length(question)::DOUBLE / 100 + turn, 6) AS echo FROM qa""",
+)
+def scorer_functions(spark, d):
+    rows = qa_pairs(spark, d).withColumnsRenamed({"question": "prompt", "answer": "completion"})
+    out = scoring.scored_by(rows, [_brevity, _echo])
+    return out.select("session_id", "turn", F.round(F.get("scores", F.lit(0)), 6).alias("brevity"), F.round(F.get("scores", F.lit(1)), 6).alias("echo"))
+
+
 @query(
     "weighted_scores",
     f"WITH {_W} SELECT completion_id, round(score, 6) AS score, round(greatest(least(score, 60.0::DOUBLE), 5.0::DOUBLE), 6) AS clipped FROM w",

@@ -7,8 +7,8 @@ from corpusloom.functions import fixed
 from corpusloom.functions.text import strip
 from corpusloom.functions.vectors import sign_planes
 from corpusloom.operators import chunking, dialogue, retrieval
-from corpusloom.plans import corpus
-from corpusloom.queries import query, sqltext as S
+from corpusloom.plans import corpus, requests
+from corpusloom.queries import conversations, query, sqltext as S
 from corpusloom.queries.conversations import messages
 from corpusloom.session import table
 
@@ -216,11 +216,33 @@ _USER = f"""CASE WHEN intent = 'medical_question' AND length({S.strip("c")}) > 5
     CASE WHEN intent = 'medical_question' THEN 2048 ELSE 150 END AS max_tokens FROM j""",
 )
 def question_prompts(spark, d):
-    found = corpus.embedded(chunks(spark, d))
-    out = corpus.answers(with_history(spark, d), found)
+    texts = chunks(spark, d)
+    out = corpus.answers(with_history(spark, d), corpus.embedded(texts), texts)
     return out.select("query_id", "system_text", "user_text", "settings.temperature", "settings.max_tokens")
 
 
+_REQUESTS = f"""{S.MESSAGES}, q AS (SELECT item_id AS session_id, text AS question FROM benchmark),
+    log AS (SELECT m.*, question FROM messages m JOIN q USING (session_id))"""
+
+
+@query(
+    "session_prompts",
+    f"""WITH {_search(_HISTORY)}, {_GATED.format(t=0.3, f=0.4)}, {_CTX.replace("{f}", "0.4")},
+    j AS (SELECT g.*, CASE WHEN use_documents THEN coalesce(context, '') ELSE '' END AS c FROM gated g LEFT JOIN ctx USING (query_id)),
+    hist_log AS (WITH {_REQUESTS}, {conversations._RECENT}, {conversations._SIMILAR}, {conversations._EXTRA},
+        both_ AS (SELECT session_id, role, content, place AS o FROM recent UNION ALL SELECT session_id, role, content, 3 + rank FROM extra)
+        {conversations._HISTORY_OUT} FROM both_ GROUP BY session_id)
+    SELECT query_id, {_USER} AS user_text, coalesce(history, '') AS history FROM j LEFT JOIN hist_log ON session_id = query_id""",
+)
+def session_prompts(spark, d):
+    """Benchmark questions as requests in the conversations of their number."""
+    texts = chunks(spark, d)
+    asked = questions(spark, d).withColumn("session_id", F.col("query_id"))
+    out = requests.session_prompts(asked, messages(spark, d), corpus.embedded(texts), texts)
+    lines = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return out.select("query_id", "user_text", F.array_join(lines, "\n").alias("history"))
+
+
 @query(
     "prompt_branches",
     f"""WITH q AS (SELECT doc_id, substring(text, 1, 80) AS question, CASE WHEN n_chars % 3 = 0 THEN 'chitchat' ELSE 'medical_question' END AS intent,

@@ -204,6 +204,12 @@ def last_step_rows(spark, d):
     return _step_rows(spark, d, True)
 
 
+def _token_rows(spark, d):
+    """Documents as tokens, made once: packing reads them several times."""
+    docs = table(spark, d, "documents", spread=True)
+    return saved(docs.select("doc_id", words("text").alias("w")))
+
+
 @query(
     "packed_wrapped",
     f"""WITH t AS (SELECT doc_id, {_words('text')} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
@@ -211,8 +217,7 @@ def last_step_rows(spark, d):
     SELECT k // 512 AS sequence, string_agg(x, ' ' ORDER BY k) AS input_ids FROM n GROUP BY 1""",
 )
 def packed_wrapped(spark, d):
-    docs = table(spark, d, "documents", spread=True).select("doc_id", words("text").alias("w"))
-    return _joined(batches.packed_wrapped(docs, ["doc_id"], "w", 512), "input_ids")
+    return _joined(batches.packed_wrapped(_token_rows(spark, d), ["doc_id"], "w", 512), "input_ids")
 
 
 _BFD = f"""WITH RECURSIVE t AS (SELECT doc_id, ({_words('text')})[1:1024] AS w, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE len({_words('text')}) > 0),
@@ -230,8 +235,7 @@ _BFD = f"""WITH RECURSIVE t AS (SELECT doc_id, ({_words('text')})[1:1024] AS w,
 
 @query("packed_best_fit", _BFD)
 def packed_best_fit(spark, d):
-    docs = table(spark, d, "documents", spread=True).select("doc_id", words("text").alias("w"))
-    out = batches.packed_best_fit(docs, "doc_id", "w", 1024)
+    out = batches.packed_best_fit(_token_rows(spark, d), "doc_id", "w", 1024)
     return _joined(out.withColumn("lengths", F.array_join("lengths", ",")), "input_ids")
 
 

@@ -60,3 +60,28 @@ def test_counts_equal_batch(spark, tmp_path):
     stream = sessions.session_counts(sessions.message_stream(spark, str(tmp_path / "m"), 1))
     assert sessions.start(stream, store, str(tmp_path / "c2")).awaitTermination(180)
     assert seen == {r.session_id: r.messages for r in dialogue.sessions(df).collect()}
+
+
+def test_requests(spark, tmp_path):
+    from corpusloom.plans import corpus
+    from corpusloom.streaming import requests
+
+    chunks = spark.createDataFrame(
+        [("c1", "Đau đầu", "u", "thuốc giảm đau đầu dùng mỗi ngày sau bữa ăn sáng và tối"), ("c2", "Khác", "v", "một chuyện hoàn toàn khác hẳn")],
+        "id string, title string, url string, content string",
+    )
+    log, store, source, out = (str(tmp_path / x) for x in ("log", "corpus", "in", "out"))
+    corpus.embedded(chunks).write.parquet(store)
+    answered = spark.createDataFrame([("s", 0, "chào", " ")], "session_id string, turn long, question string, answer string")
+    requests.append_turns(answered, log)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(
+        '{"query_id": 1, "session_id": "s", "question": "thuốc giảm đau đầu dùng mỗi ngày sau bữa ăn sáng và tối, đau đầu, đau đầu"}\n{"query_id": 2, "question": "zzz"}\n{"query_id": 3, "question": " "}\n'
+    )
+    q = requests.answer_requests(requests.request_stream(spark, source), log, store, out, str(tmp_path / "c"))
+    assert q.awaitTermination(180)
+    got = {r.query_id: r for r in spark.read.parquet(out).collect()}
+    assert set(got) == {1, 2} and got[2].session_id == "default_api_session"
+    assert got[1].user_text.startswith("Tài liệu y tế:\n[Đau đầu]: thuốc") and got[2].user_text == "zzz"
+    assert [(m.role, m.content) for m in got[1].history] == [("user", "chào"), ("model", "Xin lỗi, tôi không thể trả lời câu hỏi này lúc này.")]
+    assert got[2].history == [] and got[2].settings.max_tokens == 150
