@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import fixed
 from corpusloom.functions.html import read_articles, read_links
 from corpusloom.functions.text import safe_stem
-from corpusloom.operators.ordering import rank_in_group
+from corpusloom.operators.ordering import rank_in_group, running_sum
 from corpusloom.session import saved
 
 
@@ -51,7 +51,7 @@ def file_names(arts: DataFrame, order: str, existing: DataFrame | None = None, b
     number of articles: they are ranked range by range, never in one task."""
     # keys and stems only, parsed once; the articles are joined at the end
     stemmed = saved(arts.select(F.col(order).alias("_key"), safe_stem("title").alias("_stem")))
-    ranked = rank_in_group(stemmed, ["_stem"], ["_key"], "_rank", buckets)
+    ranked = saved(rank_in_group(stemmed, ["_stem"], ["_key"], "_rank", buckets))
     split = r"\A(.*)_([1-9][0-9]{0,8})\z"
 
     def numbered(names: DataFrame) -> DataFrame:
@@ -65,20 +65,31 @@ def file_names(arts: DataFrame, order: str, existing: DataFrame | None = None, b
     if existing is not None:
         old = existing.select(F.col("file_stem").alias("n"))
         taken = taken.unionByName(numbered(old)).unionByName(old.select(F.col("n").alias("_s"), F.lit(0).cast("long").alias("_k")))
-    taken = taken.distinct()
-    sizes = stemmed.groupBy("_stem").agg(F.count(F.lit(1)).alias("_n"))
-    blocked = taken.groupBy("_s").agg(F.count(F.lit(1)).alias("_t")).join(sizes, F.col("_s") == F.col("_stem"))
-    # numbers 0 .. n+t-1 are enough for n articles when t numbers are in use
-    numbers = blocked.select("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") + F.col("_t") - 1)).alias("_k"))
-    free = rank_in_group(numbers.join(taken, ["_s", "_k"], "left_anti"), ["_s"], ["_k"], "_r", buckets)
-    free = free.select(F.col("_s"), F.col("_r"), F.col("_k"))
-    joined = ranked.join(free, (F.col("_stem") == F.col("_s")) & (F.col("_rank") == F.col("_r")), "left")
-    number = F.coalesce("_k", F.col("_rank") - 1)
+    taken = saved(taken.distinct().join(stemmed.select(F.col("_stem").alias("_s")).distinct(), "_s", "left_semi"))
+    placed = ranked.select("_stem", (F.col("_rank") - 1).alias("_place"), "_key")
+    if taken.isEmpty():
+        moved, number = placed, F.col("_place")
+    else:
+        moved = _skip_taken(placed, taken, buckets)
+        number = F.col("_place") + F.col("_skip")
     name = F.when(number == 0, F.col("_stem")).otherwise(F.concat("_stem", F.lit("_"), number.cast("string")))
-    named = joined.select("_key", name.alias("file_stem"))
+    named = moved.select("_key", name.alias("file_stem"))
     return arts.join(named, F.col(order) == F.col("_key")).drop("_key")
 
 
+def _skip_taken(placed: DataFrame, taken: DataFrame, buckets: int | None) -> DataFrame:
+    """Add how many numbers in use lie before each place's number. The j-th
+    number k in use pushes on every place beyond the k - j + 1 free numbers below
+    it, so it is a running count over places and pushes."""
+    pushes = rank_in_group(taken, ["_s"], ["_k"], "_j", buckets)
+    pushes = pushes.groupBy(F.col("_s").alias("_stem"), (F.col("_k") - F.col("_j") + 1).alias("_place")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    places = placed.withColumns({"_n": F.lit(0).cast("long"), "_kind": F.lit(1)})
+    events = places.unionByName(pushes.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    return running_sum(events, ["_stem"], ["_place", "_kind"], F.col("_n"), "_skip", buckets).filter("_kind = 1")
+
+
 def article_text(title: Column, url: Column, content: Column, sections: Column) -> Column:
     """The text layout that articles are stored in."""
     head = F.concat(
