@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.operators.ordering import rank_in_group, running_sum
 
-HF_BATCH = 1000  # rows that are packed together
+PACK_BATCH = 1000  # rows that are packed together
 
 
 def with_batch(df: DataFrame, order: list[str], size: int, buckets: int | None = None) -> DataFrame:
@@ -72,7 +72,7 @@ def best_fit(lengths: list[int], room: int) -> list[int]:
     return bins
 
 
-def packed_best_fit(df: DataFrame, key: str, tokens: str, length: int, batch: int = HF_BATCH, buckets: int | None = None) -> DataFrame:
+def packed_best_fit(df: DataFrame, key: str, tokens: str, length: int, batch: int = PACK_BATCH, buckets: int | None = None) -> DataFrame:
     """Best-fit-decreasing packing within batches of `batch` rows. Only keys and
     lengths visit Python. Rows longer than `length` are cut to it first."""
     cut = df.select(key, F.slice(tokens, 1, length).alias("_t")).filter(F.size("_t") > 0)

@@ -67,12 +67,16 @@ def embed_text(title: Column | str, content: Column | str) -> Column:
     return F.concat(F.lit(fixed.EMBED_TITLE_LABEL), title, F.lit("\n" + fixed.EMBED_BODY_LABEL), content)
 
 
-def encode(df: DataFrame, text: str, out: str = "embedding", encoder: Encoder | None = None) -> DataFrame:
+def encode(
+    df: DataFrame, text: str, out: str = "embedding", encoder: Encoder | None = None, keep_text: bool = True
+) -> DataFrame:
     """Add the vector of column `text`; one encoder per Python worker, Arrow
-    batches in and out."""
+    batches in and out. Every column of `df` makes the trip, so select first."""
     encoder = encoder or WordHashEncoder()
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
     place = df.columns.index(text)
+    kept = [i for i in range(len(df.columns)) if keep_text or i != place]
+    names = [*(df.columns[i] for i in kept), out]
+    schema = T.StructType([*(df.schema[i] for i in kept), T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +84,7 @@ def encode(df: DataFrame, text: str, out: str = "embedding", encoder: Encoder |
             matrix = np.asarray(encoder(texts), dtype=np.float32)
             ends = np.arange(0, matrix.size + 1, matrix.shape[1] or 1, dtype=np.int32)[: len(texts) + 1]
             vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), vectors], names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -13,7 +13,6 @@ from corpusloom.functions import fixed
 from corpusloom.functions.text import always_ellipsis, cut, ellipsis, strip
 from corpusloom.operators.ordering import bounded_window, rank_in_group
 
-_KEY = ["session_id", "turn"]
 
 
 def _role_name(role: Column, user: str, other: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import article, fixed
-from corpusloom.functions.text import clean_text, document_id, ellipsis
+from corpusloom.functions.text import document_id, ellipsis
 
 
 def parse_articles(files: DataFrame, source: str, language: str = "vi") -> DataFrame:

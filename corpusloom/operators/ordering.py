@@ -7,7 +7,6 @@ key hashes), so they are the same however often a task is run again."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 

@@ -25,8 +25,15 @@ def chunked(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 
 def embedded(chunks: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """Chunks with the vectors of their labelled texts."""
     texts = chunks.withColumn("_text", chunking.embed_text("title", "content"))
-    return chunking.encode(texts, "_text", "embedding", encoder).drop("_text")
+    return chunking.encode(texts, "_text", "embedding", encoder, keep_text=False)
+
+
+def vectors(chunks: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """Only ids and vectors, for a search over chunks that are not stored."""
+    texts = chunks.select("id", chunking.embed_text("title", "content").alias("_text"))
+    return chunking.encode(texts, "_text", "embedding", encoder, keep_text=False)
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

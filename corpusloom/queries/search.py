@@ -122,7 +122,7 @@ def with_history(spark, d):
 
 
 def hits(spark, d, asked=None, text="question"):
-    found = corpus.embedded(chunks(spark, d))
+    found = corpus.vectors(chunks(spark, d))
     asked = chunking.encode(asked if asked is not None else questions(spark, d), text)
     return retrieval.nearest(found, asked, 10)
 
@@ -217,7 +217,7 @@ _USER = f"""CASE WHEN intent = 'medical_question' AND length({S.strip("c")}) > 5
 )
 def question_prompts(spark, d):
     texts = chunks(spark, d)
-    out = corpus.answers(with_history(spark, d), corpus.embedded(texts), texts)
+    out = corpus.answers(with_history(spark, d), corpus.vectors(texts), texts)
     return out.select("query_id", "system_text", "user_text", "settings.temperature", "settings.max_tokens")
 
 
@@ -238,7 +238,7 @@ def session_prompts(spark, d):
     """Benchmark questions as requests in the conversations of their number."""
     texts = chunks(spark, d)
     asked = questions(spark, d).withColumn("session_id", F.col("query_id"))
-    out = requests.session_prompts(asked, messages(spark, d), corpus.embedded(texts), texts)
+    out = requests.session_prompts(asked, messages(spark, d), corpus.vectors(texts), texts)
     lines = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
     return out.select("query_id", "user_text", F.array_join(lines, "\n").alias("history"))
 

@@ -88,7 +88,6 @@ def word_tokens(spark, d):
     return T.tokenize(docs, "text", limit=256, begin="the").select("doc_id", F.array_join("input_ids", " ").alias("input_ids"))
 
 
-_LAST = "CASE WHEN len({x}) > {n} THEN {x}[-{n}:] ELSE {x} END"
 
 
 def _last(x: str, n: int) -> str:

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import WordHashEncoder, cells, sign_planes
 from corpusloom.operators import chunking, retrieval
