@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -20,6 +21,7 @@ from corpusloom.functions.vectors import cells, sign_planes
 # What may be sent to every task: 4,096 queries of 1,024 doubles are 32 MiB.
 MAX_SENT_QUERIES = 4096
 MAX_SENT_BYTES = 256 << 20
+MAX_CELL_BITS = 12  # at most 4,096 cells are listed in a filter
 DIGITS = 6  # similarities are single precision; ties beyond that go by id
 
 
@@ -94,6 +96,26 @@ class _Best:
         )
 
 
+def with_cells(df: DataFrame, bits: int, vector: str = "embedding") -> DataFrame:
+    """Add `cell`, to write a table by: `write.partitionBy("cell")`. A search
+    over such a table then reads only the cells near its queries."""
+
+    def run(vectors: pd.Series) -> pd.Series:
+        matrix = np.vstack(vectors.to_list()).astype(np.float64)
+        return pd.Series(cells(_unit(matrix), sign_planes(bits, matrix.shape[1])))
+
+    run.__annotations__ = {"vectors": pd.Series, "return": pd.Series}
+    return df.withColumn("cell", F.pandas_udf(run, "long")(vector))
+
+
+def _near_cells(matrix: np.ndarray, planes: np.ndarray, bits: int, reach: int) -> list[int]:
+    """Cells at most `reach` bits from some query's: no more than 2 ** bits."""
+    every = np.arange(1 << bits, dtype=np.int64)
+    own = np.unique(cells(_unit(matrix), planes))
+    near = (np.bitwise_count(every[:, None] ^ own[None, :]) <= reach).any(axis=1)
+    return every[near].tolist()
+
+
 def nearest(
     corpus: DataFrame,
     queries: DataFrame,
@@ -106,7 +128,8 @@ def nearest(
     """(id, embedding) x (query_id, embedding) -> query_id, id, similarity, rank.
 
     With `cell_bits` only vectors in cells at most `cell_reach` bits away from
-    the query's cell are compared (approximate); without it all are (exact)."""
+    the query's cell are compared (approximate); without it all are (exact). A
+    column `cell` from `with_cells` with the same bits then limits what is read."""
     vectors = corpus.select("id", "embedding")
     asked = queries.select("query_id", F.col("embedding").alias("query"))
     id_field, query_field = vectors.schema["id"], asked.schema["query_id"]
@@ -120,7 +143,11 @@ def nearest(
     head = asked.limit(max_sent + 1).toArrow()
     if head.num_rows <= max_sent and head.nbytes <= MAX_SENT_BYTES:
         query_ids = head.column("query_id").to_pylist()
-        sent = corpus.sparkSession.sparkContext.broadcast(_matrix(head.column("query")))
+        asked_for = _matrix(head.column("query"))
+        sent = corpus.sparkSession.sparkContext.broadcast(asked_for)
+        if cell_bits and cell_bits <= MAX_CELL_BITS and "cell" in corpus.columns and len(asked_for):
+            wanted = _near_cells(asked_for, planes_for(asked_for.shape[1]), cell_bits, cell_reach)
+            vectors = corpus.filter(F.col("cell").isin(wanted)).select("id", "embedding")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matrix, best = sent.value, None

@@ -39,58 +39,74 @@ TEXTS = {
 }
 
 
-def brute(name, text):
-    lines = text.split("\n")[:5]
+def one_name(block, organisations):
+    """Names are lines of 6 to 49 characters with a letter that are neither a
+    degree nor an organisation; the first one counts."""
+    plausible = [
+        x for x in map(str.strip, block.splitlines())
+        if 6 <= len(x) <= 49 and x not in fixed.DEGREES and re.search(r"[^\W\d_]", x) and not re.search("|".join(organisations), x)
+    ]
+    return [n.rstrip(",").strip() for n in plausible[:1]]
+
+
+def between(text, lead, *ends):
+    """What stands between a lead and the nearest of the ends behind it."""
+    for start in (m.end() for m in re.finditer(lead + r"\s+", text)):
+        stops = [text.index(e, start) for e in ends if e in text[start:]]
+        if stops:
+            return text[start : min(stops)]
+    return ""
+
+
+def sections_of(content):
+    starts = {}
+    for head in fixed.SECTION_HEADERS:
+        for m in re.finditer(re.escape(head), content):
+            rest = content[m.end():]
+            gap = len(rest) - len(rest.lstrip())
+            near = rest[gap : gap + 50]
+            if content[: m.start()].rstrip().endswith("|") and near.startswith("|"):
+                starts[m.end() + gap + 1] = head
+            elif gap and re.match(f"[{fixed.SECTION_CAPITALS}]", near) and sum(h in near for h in fixed.SECTION_HEADERS if h != head) == 0:
+                starts[m.end() + gap] = head
+    places = sorted(starts) + [len(content)]
+    found = {}
+    for here, there in zip(places, places[1:]):
+        part = content[here:there].strip().lstrip("| \n\t")
+        if 51 <= len(part) <= 19999:
+            found[starts[here]] = clean(part)
+    return list(found.items())
+
+
+def body_of(text):
+    _, mark, body = text.partition(fixed.BODY_MARK)
+    if not mark:
+        return text
+    with_revision = re.split(r"(?s)Đã xem xét/Đã chỉnh sửa.*?v\d+_vi", body, maxsplit=1)
+    if len(with_revision) == 2:
+        body = with_revision[1]
+    else:
+        lines = [x.strip() for x in body.splitlines() if x.strip()]
+        plain = [i for i, x in enumerate(lines) if not re.search("|".join(fixed.HEADER_WORDS), x)]
+        body = " ".join(lines[plain[0]:]) if plain else ""
+    present = [f for f in fixed.FOOTERS if f in body]
+    return clean(body.partition(present[0])[0] if present else body)
+
 
+def brute(name, text):
     def value(mark):
-        hits = [x for x in lines if x.startswith(mark)]
-        return hits[-1].replace(mark, "").strip() if hits else ""
-
-    def person(match, bad):
-        for line in (x.strip() for x in (match.group(1) if match else "").split("\n")):
-            if line in fixed.DEGREES or any(b in line for b in bad):
-                continue
-            if 5 < len(line) < 50 and any(c.isalpha() for c in line):
-                return [line.rstrip(",").strip()]
-        return []
-
-    author = person(re.search(r"(?s)Theo\s+(.*?)(?=Xem xét bởi|Đã xem xét)", text), fixed.AUTHOR_ORGANISATIONS)
-    reviewer = person(re.search(r"(?s)Xem xét bởi\s+(.*?)(?=Đã xem xét)", text), fixed.REVIEWER_ORGANISATIONS)
-    if fixed.BODY_MARK not in text:
-        content = text
-    else:
-        body = text.split(fixed.BODY_MARK, 1)[1]
-        found = re.search(r"(?s)Đã xem xét/Đã chỉnh sửa.*?v\d+_vi", body)
-        if found:
-            body = body[found.end():]
-        else:
-            kept = [x.strip() for x in body.split("\n") if x.strip()]
-            while kept and any(w in kept[0] for w in fixed.HEADER_WORDS):
-                kept.pop(0)
-            body = " ".join(kept)
-        first = next((f for f in fixed.FOOTERS if f in body), None)
-        content = clean(body.split(first)[0] if first else body)
-    parts = []
-    for group in re.findall(r"\(Xem thêm\s+([^)]+)\)", text):
-        for p in re.split(r"\s+và\s+(?:xem\s+)?", group):
-            p = p.strip(". ")
-            if 20 < len(p) < 150 and not any(s in p for s in fixed.REFERENCE_STOPS) and clean(p) not in parts:
-                parts.append(clean(p))
-    spots = []
-    for h in fixed.SECTION_HEADERS:
-        spots += [(m.end(), h) for m in re.finditer(rf"\|\s*{h}\s*\|", content)]
-        for m in re.finditer(rf"{h}\s+(?=[{fixed.SECTION_CAPITALS}])", content):
-            near = content[m.end() : m.end() + 50]
-            if not any(o in near for o in fixed.SECTION_HEADERS if o != h):
-                spots.append((m.end(), h))
-    spots.sort()
-    sections = {}
-    for (at, h), end in zip(spots, [s for s, _ in spots[1:]] + [len(content)]):
-        t = content[at:end].strip().lstrip("| \n\t")
-        if 50 < len(t) < 20000:
-            sections[h] = clean(t)
-    doc_id = name[:-4].lower().replace(" ", "_").replace(",", "")
-    return (doc_id, value(fixed.TITLE_MARK), value(fixed.URL_MARK), content, author, reviewer, parts[:10], list(sections.items()))
+        return ([""] + [x.replace(mark, "").strip() for x in text.split("\n")[:5] if x.startswith(mark)])[-1]
+
+    groups = re.findall(r"\(Xem thêm\s+([^)]+)\)", text)
+    pieces = [p.strip(". ") for g in groups for p in re.split(r"\s+và\s+(?:xem\s+)?", g)]
+    refs = [clean(p) for p in pieces if 21 <= len(p) <= 149 and not re.search("|".join(fixed.REFERENCE_STOPS), p)]
+    content = body_of(text)
+    return (
+        name[:-4].lower().translate({ord(" "): "_", ord(","): None}), value(fixed.TITLE_MARK), value(fixed.URL_MARK), content,
+        one_name(between(text, fixed.AUTHOR_LEAD, fixed.REVIEWER_LEAD, fixed.REVIEWED), fixed.AUTHOR_ORGANISATIONS),
+        one_name(between(text, fixed.REVIEWER_LEAD, fixed.REVIEWED), fixed.REVIEWER_ORGANISATIONS),
+        sorted(set(refs), key=refs.index)[:10], sections_of(content),
+    )
 
 
 def test_documents(spark, tmp_path):

@@ -1,5 +1,6 @@
 """Splitter against a direct reading of its rules, and its properties."""
 
+import itertools
 import re
 
 from hypothesis import given, settings, strategies as st
@@ -11,36 +12,37 @@ from corpusloom.operators import chunking
 SEPS = ["\n\n", "\n", ". ", ", ", " "]
 
 
+def windows(pieces, size, overlap):
+    """Chunks of a row of short pieces, by the ranges they cover: a chunk ends
+    before the first piece that does not fit; the next one starts as early as the
+    overlap and that piece allow."""
+    ends = [0]
+    for p in pieces:
+        ends.append(ends[-1] + len(p))
+    first, last = 0, 0
+    while last < len(pieces):
+        last = max((i for i in range(first, len(pieces) + 1) if ends[i] - ends[first] <= size), default=last + 1)
+        last = max(last, first + 1)
+        yield "".join(pieces[first:last]).strip()
+        if last < len(pieces):
+            first = next(
+                i for i in range(first, last + 1)
+                if i == last or (ends[last] - ends[i] <= overlap and ends[last + 1] - ends[i] <= size)
+            )
+
+
 def direct(text, size, overlap, seps):
-    sep, rest = seps[-1], []
-    for i, s in enumerate(seps):
-        if re.search(re.escape(s), text):
-            sep, rest = s, seps[i + 1 :]
-            break
-    parts = re.split(f"({re.escape(sep)})", text)
-    pieces = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts), 2)]
-    out, good = [], []
-
-    def merge():
-        current, total, docs = [], 0, []
-        for p in good:
-            if total + len(p) > size and current:
-                docs.append("".join(current).strip())
-                while total > overlap or (total + len(p) > size and total > 0):
-                    total -= len(current.pop(0))
-            current.append(p)
-            total += len(p)
-        docs.append("".join(current).strip())
-        good.clear()
-        return [d for d in docs if d]
-
-    for p in (p for p in pieces if p):
-        if len(p) < size:
-            good.append(p)
-        else:
-            out.extend(merge())
-            out.extend(direct(p, size, overlap, rest) if rest else [p])
-    return out + merge()
+    at = min((i for i, s in enumerate(seps) if s in text), default=None)
+    if at is None:
+        pieces, finer = [text], []
+    else:
+        pieces, finer = re.findall(rf"(?s)(?:{re.escape(seps[at])}|^).*?(?={re.escape(seps[at])}|$(?!\n))", text), seps[at + 1 :]
+        assert "".join(pieces) == text
+    out = []
+    for short, row in itertools.groupby(filter(None, pieces), key=lambda p: len(p) < size):
+        for p in [list(row)] if short else row:
+            out += windows(p, size, overlap) if short else direct(p, size, overlap, finer) if finer else [p]
+    return [c for c in out if c]
 
 
 TEXT = st.lists(st.sampled_from(["a", "bb", "ccc", "dddddd", " ", ". ", ", ", "\n", "\n\n", "\n\n\n", ".", "  "]), max_size=80).map("".join)

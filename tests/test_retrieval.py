@@ -93,3 +93,14 @@ def test_small_side_only_is_sent(tables):
     _, _, corpus, queries = tables
     plan = retrieval.nearest(corpus, queries, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
+
+
+def test_stored_cells_limit_the_scan(spark, tables, tmp_path):
+    _, _, corpus, queries = tables
+    path = str(tmp_path / "cells")
+    retrieval.with_cells(corpus.filter("id <> 5"), 6).write.partitionBy("cell").parquet(path)
+    stored, one = spark.read.parquet(path), queries.filter("query_id = 3")
+    search = retrieval.nearest(stored, one, 10, 6, 1)
+    assert found(search) == found(retrieval.nearest(corpus.filter("id <> 5"), one, 10, 6, 1))
+    plan = search._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
