@@ -1,13 +1,13 @@
 """SQL that checks the queries."""
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-SPLIT = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+SPLIT = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 NEAR_DEDUP = f"""
 WITH RECURSIVE words AS (SELECT doc_id, {SPLIT.format(text=LOWER)} AS w FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
-    ELSE list_transform(range(1, greatest(len(w) - 3, 1) + 1), i -> array_to_string(w[i:i + 3], ' ')) END) AS s
+    ELSE list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
   FROM words
 ),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
