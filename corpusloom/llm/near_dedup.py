@@ -74,7 +74,7 @@ def _digested(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", digest.alias("digest"), text.cast("binary").alias("text"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `size` bytes of text, of one row at least."""
     for batch in batches:
         column = batch.column("text")
@@ -98,7 +98,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     )
 
     def sign(batches):
-        for batch in _batches(batches):
+        for batch in text_batches(batches):
             sets = _shingles(batch, words)
             yield pa.record_batch(
                 {
@@ -166,7 +166,7 @@ def _sets(docs: DataFrame, words: int, shared: DataFrame) -> DataFrame:
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # copies are reduced before they move
 
     def hashed(batches):
-        for batch in _batches(batches):
+        for batch in text_batches(batches):
             sets = pa.array([s.tobytes() for s in _shingles(batch, words)], pa.binary())
             yield pa.record_batch({"node": batch.column("node"), "shingles": sets})
 

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import public_tokenizers
+
 from corpusloom.llm import sqltext
+from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.near_dedup import near_duplicates
+from corpusloom.llm.packing import pack
+from corpusloom.llm.substring_dedup import without_repeats
 from corpusloom.queries import Query
 
 
@@ -18,6 +23,23 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), payload="ids_crc32")
+
+
+def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": Query(op1_minhash_near_dedup, sqltext.NEAR_DEDUP),
+    "op2_packing": Query(op2_packing, None),
+    "op5_exact_dedup": Query(op5_exact_dedup, sqltext.EXACT_DEDUP),
+    "op8_substring_dedup": Query(op8_substring_dedup, sqltext.SUBSTRING_DEDUP),
 }

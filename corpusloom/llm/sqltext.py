@@ -27,3 +27,30 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id, d.doc_id =
 FROM documents d LEFT JOIN sizes s USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) r USING (doc_id)
 """
+
+EXACT_DEDUP = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+  doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
+FROM n WINDOW w AS (PARTITION BY h ORDER BY chars DESC, doc_id)
+"""
+
+SUBSTRING_DEDUP = f"""
+WITH words AS (SELECT doc_id, {SPLIT.format(text="coalesce(text, '')")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)
+),
+late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS f FROM windows) WHERE f < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS i FROM late),
+kept AS (
+  SELECT x.doc_id, count(*) AS n, string_agg(x.word, ' ' ORDER BY x.i) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words) x
+  ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
