@@ -8,12 +8,18 @@
     in the rarest COORDINATES - MATCHES + 1 of either, hence a node with s shared
     values has to be looked up under its rarest s - MATCHES + 1 ones only (prefix),
     and one with fewer than MATCHES shared values not at all (skip).
-3.  Each node is first compared with one leader: the smallest node of a posting
-    list that most of its lists share. A list of n copies gives n links, not n^2.
-4.  Lists that still span several components give the missing pairs: nodes outside
-    the list's largest component against the whole list. Their collisions are
+3.  The full sets of the nodes that are left tell how many shingles each has to
+    itself. These can be in no intersection, which bounds the similarity of a node, or
+    of a pair, from above; nodes and pairs whose bound is too low are out.
+4.  Each node is first compared with one leader: the node with the least to itself of a
+    posting list, of those that most of its lists have. A list of n copies gives n
+    links, not n^2.
+5.  Lists that still span several components give the missing pairs: nodes outside
+    the list's largest component against the whole list. A parity sketch (the parities
+    of the hashes' counts in PARITIES cells, which differ in no more cells than the
+    sets in shingles) drops pairs that differ too much for certain. Collisions are
     counted over all coordinates, and only pairs above the match threshold go on.
-5.  All links are confirmed on the full shingle sets.
+6.  All links are confirmed on the full shingle sets.
 
 Two sets with similarity 0.8 have each coordinate equal with probability 0.8; of 32
 fewer than 16 are equal with probability 3.3e-5, which is the chance to miss such a
@@ -33,6 +39,7 @@ from corpusloom.llm.words import Words, run_hashes
 
 COORDINATES, MATCHES = 32, 16
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PARITIES = 2048
 BLOCK = 1 << 15  # hashes per step of the signature
 
 
@@ -57,10 +64,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, folder:
     nodes = stored(nodes.dropDuplicates(["node"]), folder, "nodes")
     shared = stored(_shared_postings(nodes), folder, "shared")
     sets = stored(_sets(docs, words, shared), folder, "sets")
-    lists = _posting_lists(shared)
+    lists = stored(_posting_lists(shared, _common(sets, percent)), folder, "lists")
     led = stored(_confirmed(_leaders(lists, percent), sets, percent), folder, "led")
     found = components(led, "a", "b", folder, "first")
-    rest = _enough_matches(_missing_pairs(lists, found, percent), shared)
+    rest = _enough_matches(_missing_pairs(lists, found, sets, percent), shared)
     rest = stored(_confirmed(rest, sets, percent), folder, "rest")
     found = components(led.union(rest), "a", "b", folder, "second")
     return _result(signed, found, folder)
@@ -153,33 +160,54 @@ def _shared_postings(nodes: DataFrame) -> DataFrame:
     return enough.join(nodes, "node")
 
 
-def _posting_lists(shared: DataFrame) -> DataFrame:
+def _common(sets: DataFrame, percent: int) -> DataFrame:
+    """node, n_shingles and common, the number of its shingles that other nodes have
+    too, of the nodes that can be similar enough to another by it."""
+    every = sets.select("node", F.explode("shingles").alias("shingle"))
+    alone = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    size = F.size("shingles").cast("long")
+    sized = sets.select("node", size.alias("n_shingles")).join(alone, "node", "left")
+    sized = sized.select("node", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
+    return sized.filter(F.col("common") * 100 >= F.col("n_shingles") * percent)
+
+
+def _posting_lists(shared: DataFrame, common: DataFrame) -> DataFrame:
     prefix = F.slice("postings", 1, F.size("postings") - MATCHES + 1)
-    return shared.select("node", "n_shingles", F.explode(F.col("postings.key")).alias("key"), F.transform(prefix, lambda p: p["key"]).alias("prefix")).select(
-        "node", "n_shingles", "key", F.array_contains("prefix", F.col("key")).alias("in_prefix")
-    )
+    rows = shared.select("node", "postings", F.transform(prefix, lambda p: p["key"]).alias("prefix")).join(common, "node")
+    rows = rows.select("node", "n_shingles", "common", F.explode(F.col("postings.key")).alias("key"), "prefix")
+    return rows.select("node", "n_shingles", "common", "key", F.array_contains("prefix", F.col("key")).alias("in_prefix"))
 
 
 def _sets(docs: DataFrame, words: int, shared: DataFrame) -> DataFrame:
-    """node, sorted shingle hashes as bytes, of the nodes that have a chance of a link."""
+    """node and sorted shingle hashes of the nodes that have a chance of a link."""
     texts = _digested(docs).select(F.col("digest").alias("node"), "text").join(shared.select("node"), "node", "left_semi")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # copies are reduced before they move
 
     def hashed(batches):
         for batch in text_batches(batches):
-            sets = pa.array([s.tobytes() for s in _shingles(batch, words)], pa.binary())
-            yield pa.record_batch({"node": batch.column("node"), "shingles": sets})
+            sets = _shingles(batch, words)
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))), pa.int32())
+            flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.record_batch({"node": batch.column("node"), "shingles": pa.ListArray.from_arrays(ends, pa.array(flat)), "parities": _parities(sets)})
+
+    return texts.mapInArrow(hashed, "node binary, shingles array<bigint>, parities array<bigint>")
+
 
-    return texts.mapInArrow(hashed, "node binary, shingles binary")
+def _parities(sets: list[np.ndarray]) -> pa.ListArray:
+    odd = [np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1 for s in sets]
+    bits = np.packbits(np.asarray(odd, np.uint8).reshape(len(sets), PARITIES), axis=1).view(np.int64)
+    return pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), PARITIES // 64).cast(pa.list_(pa.int64()))
 
 
 def _leaders(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b): each node b with the leader a of most of its lists."""
-    leaders = lists.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("leader"))
+    alone = (F.col("n_shingles") - F.col("common")) / F.col("n_shingles")
+    leaders = lists.groupBy("key").agg(F.min(F.struct(alone.alias("alone"), "node", "n_shingles", "common")).alias("leader"))
+    fit = _can_be_similar(F.col("leader.n_shingles"), F.col("leader.common"), F.col("n_shingles"), F.col("common"), percent)
     pairs = (
         lists.join(leaders, "key")
-        .filter(F.col("leader.node") < F.col("node"))
-        .filter(_sizes_fit(F.col("leader.n_shingles"), F.col("n_shingles"), percent))
+        .filter((F.col("leader.node") != F.col("node")) & fit)
         .groupBy("node", F.col("leader.node").alias("a"))
         .agg(F.count(F.lit(1)).alias("hits"))
     )
@@ -187,24 +215,30 @@ def _leaders(lists: DataFrame, percent: int) -> DataFrame:
     return best.select("a", F.col("node").alias("b"))
 
 
-def _sizes_fit(a, b, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _can_be_similar(n, common, m, shared, percent: int):
+    """Whether the sizes, and what either set has in common with any other, allow it:
+    |intersection| >= percent / (100 + percent) * (n + m)."""
+    most = F.least(common, shared)
+    return most * (100 + percent) >= (n + m) * percent
 
 
-def _missing_pairs(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _missing_pairs(lists: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of nodes of different components that share a list which is in
     the prefix of both."""
     tagged = lists.filter("in_prefix").join(found.withColumnRenamed("component", "c"), "node", "left")
-    tagged = tagged.select("node", "n_shingles", "key", F.coalesce("c", "node").alias("c"))
+    tagged = tagged.select("node", "n_shingles", "common", "key", F.coalesce("c", "node").alias("c"))
     sizes = tagged.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    spanning = tagged.join(top.filter("parts > 1").select("key", "top"), "key")
-    outer = spanning.filter("c != top").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n_shingles").alias("nx"))
-    whole = spanning.select("key", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n_shingles").alias("ny"), "top")
-    once = (F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))
-    other = (F.col("cx") != F.col("cy")) & once & _sizes_fit(F.col("nx"), F.col("ny"), percent)
-    met = outer.join(whole, (outer["key"] == whole["key"]) & other)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    spanning = tagged.join(top.filter("parts > 1").select("key", "top"), "key").join(sets.select("node", "parities"), "node")
+    x = spanning.filter("c != top").select(F.col("key").alias("k"), *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "n_shingles", "common", "parities")])
+    y = spanning.select("key", "top", *[F.col(c).alias(f"y_{c}") for c in ("node", "c", "n_shingles", "common", "parities")])
+    once = (F.col("y_c") == F.col("top")) | (F.col("x_node") < F.col("y_node"))
+    fit = _can_be_similar(F.col("x_n_shingles"), F.col("x_common"), F.col("y_n_shingles"), F.col("y_common"), percent)
+    differ = F.zip_with("x_parities", "y_parities", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    differ = F.aggregate(differ, F.lit(0), lambda total, n: total + n)
+    close = differ * (100 + percent) <= (F.col("x_n_shingles") + F.col("y_n_shingles")) * (100 - percent)
+    met = x.join(y, (F.col("k") == F.col("key")) & (F.col("x_c") != F.col("y_c")) & once & fit & close)
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def _enough_matches(pairs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -222,9 +256,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
+            sides = [(np.asarray(c.values), np.asarray(c.offsets)) for c in (batch.column("x"), batch.column("y"))]
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for i in range(len(batch)):
+                x, y = (flat[at[i] : at[i + 1]] for flat, at in sides)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
