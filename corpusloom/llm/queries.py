@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import sqltext
+from corpusloom.llm import pii, secrets, sqltext, toxicity
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
@@ -27,19 +27,44 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), payload="ids_crc32")
 
 
+def _digested(found: DataFrame, base: list[str], as_text) -> DataFrame:
+    """Counts of the base kinds, digest of their spans, and all spans."""
+    of = lambda names: F.filter("spans", lambda s: s["kind"].isin(names))
+    counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(as_text(of(base)), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    return _digested(found, [k.name for k in pii.KINDS if k.base], pii.as_text)
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    return _digested(found, ["assign", "access", "hex"], secrets.as_text)
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = without_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": Query(op1_minhash_near_dedup, sqltext.NEAR_DEDUP),
     "op2_packing": Query(op2_packing, None),
+    "op4_pii": Query(op4_pii, None),
     "op5_exact_dedup": Query(op5_exact_dedup, sqltext.EXACT_DEDUP),
+    "op7_secrets": Query(op7_secrets, None),
     "op8_substring_dedup": Query(op8_substring_dedup, sqltext.SUBSTRING_DEDUP),
+    "op9_toxicity": Query(op9_toxicity, None),
 }
