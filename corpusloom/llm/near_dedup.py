@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from corpusloom.llm.components import components
-from corpusloom.llm.shared import shared_folder, stored
+from corpusloom.llm.shared import map_batches, shared_folder, stored
 from corpusloom.llm.words import Words, run_hashes
 
 COORDINATES, MATCHES = 32, 16
@@ -116,7 +116,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                 }
             )
 
-    return _digested(docs).mapInArrow(sign, schema)
+    return map_batches(_digested(docs), sign, schema)
 
 
 def _shingles(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
@@ -191,7 +191,7 @@ def _sets(docs: DataFrame, words: int, shared: DataFrame) -> DataFrame:
             flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
             yield pa.record_batch({"node": batch.column("node"), "shingles": pa.ListArray.from_arrays(ends, pa.array(flat)), "parities": _parities(sets)})
 
-    return texts.mapInArrow(hashed, "node binary, shingles array<bigint>, parities array<bigint>")
+    return map_batches(texts, hashed, "node binary, shingles array<bigint>, parities array<bigint>")
 
 
 def _parities(sets: list[np.ndarray]) -> pa.ListArray:
@@ -264,7 +264,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+    return map_batches(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y"), compare, "a binary, b binary")
 
 
 def _result(signed: DataFrame, found: DataFrame, folder: str) -> DataFrame:

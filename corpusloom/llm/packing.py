@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from corpusloom.llm.near_dedup import text_batches
-from corpusloom.llm.shared import shared_folder, stored
+from corpusloom.llm.shared import map_batches, shared_folder, stored
 
 LENGTH = 2048
 RANKED = 200_000  # rows ranked by one task, about
@@ -192,7 +192,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int
                 }
             )
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(cut, schema)
+    return map_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")), cut, schema)
 
 
 def _slots(spark, patterns: list[Pattern], counts: dict[int, int]) -> DataFrame:

@@ -25,3 +25,16 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 256  # in an Arrow batch; texts can be long
+
+
+def map_batches(df: DataFrame, work, schema) -> DataFrame:
+    """df.mapInArrow(work, schema) with batches small enough for rows of long texts.
+    The limit on batches belongs to the session, which keeps it."""
+    conf = df.sparkSession.conf
+    if int(conf.get(LIMIT)) > ROWS:
+        conf.set(LIMIT, str(ROWS))
+    return df.mapInArrow(work, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusloom.llm.near_dedup import text_batches
-from corpusloom.llm.shared import shared_folder, stored
+from corpusloom.llm.shared import map_batches, shared_folder, stored
 from corpusloom.llm.words import Words, mix, powers, run_hashes
 
 WINDOW, RUN = 50, 6
@@ -129,7 +129,7 @@ def _blocks(docs: DataFrame, window: int) -> DataFrame:
                 }
             )
 
-    return _versions(docs.filter("doc_id IS NOT NULL")).mapInArrow(parse, schema)
+    return map_batches(_versions(docs.filter("doc_id IS NOT NULL")), parse, schema)
 
 
 def _windows(docs: DataFrame, edges: DataFrame, window: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _windows(docs: DataFrame, edges: DataFrame, window: int) -> DataFrame:
             )
 
     texts = _versions(docs).join(wanted, ["doc_id", "version"])
-    return texts.dropDuplicates(["doc_id", "version"]).mapInArrow(unfold, schema)
+    return map_batches(texts.dropDuplicates(["doc_id", "version"]), unfold, schema)
 
 
 def _rewritten(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
@@ -199,4 +199,4 @@ def _rewritten(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
     found = found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "found")
     texts = _versions(docs)
     texts = texts.join(found, (texts["doc_id"] == F.col("_id")) & (texts["version"] == F.col("_version")), "left")
-    return texts.select("doc_id", "text", "found").mapInArrow(rewrite, schema)
+    return map_batches(texts.select("doc_id", "text", "found"), rewrite, schema)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusloom.llm.near_dedup import text_batches
+from corpusloom.llm.shared import map_batches
 
 BUCKETS = 1 << 18
 POSITIVES, UNLABELLED = 4_000, 12_000  # texts fitted on, at most
@@ -145,7 +146,7 @@ def _texts(df: DataFrame, count: int) -> list[np.ndarray]:
             rows = [features((t or b"").decode()) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"f": pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32()))})
 
-    found = df.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(extract, "f array<int>")
+    found = map_batches(df.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")), extract, "f array<int>")
     rows = []
     for part in found.limit(count).toArrow().column("f").chunks:
         flat, offsets = np.asarray(part.values), np.asarray(part.offsets)
@@ -167,7 +168,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(found, pa.float64())})
 
     rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return map_batches(rows, score, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,4 +181,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
             keep = [model.score(t or "") < 0.5 for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_batches(docs, clean, docs.schema)
