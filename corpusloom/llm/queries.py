@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from corpusloom.llm import pii, secrets, sqltext, toxicity
+from corpusloom.llm.decontaminate import benchmark_passages
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
@@ -59,6 +60,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": Query(op1_minhash_near_dedup, sqltext.NEAR_DEDUP),
     "op2_packing": Query(op2_packing, None),
@@ -67,4 +72,5 @@ QUERIES = {
     "op7_secrets": Query(op7_secrets, None),
     "op8_substring_dedup": Query(op8_substring_dedup, sqltext.SUBSTRING_DEDUP),
     "op9_toxicity": Query(op9_toxicity, None),
+    "op10_decontamination": Query(op10_decontamination, None),
 }
