@@ -7,13 +7,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from corpusloom.llm import pii, secrets, sqltext, toxicity
+from corpusloom.llm.chat_collapse import collapsed
 from corpusloom.llm.decontaminate import benchmark_passages
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
 from corpusloom.llm.substring_dedup import without_repeats
+from corpusloom.llm.url_filter import Rule, judged
 from corpusloom.queries import Query
 
+RULES = [
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -28,6 +38,10 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), payload="ids_crc32")
 
 
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(table(spark, folder, "pages"), RULES)
+
+
 def _digested(found: DataFrame, base: list[str], as_text) -> DataFrame:
     """Counts of the base kinds, digest of their spans, and all spans."""
     of = lambda names: F.filter("spans", lambda s: s["kind"].isin(names))
@@ -45,6 +59,10 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return collapsed(table(spark, folder, "conversations"))
+
+
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents"))
     return _digested(found, ["assign", "access", "hex"], secrets.as_text)
@@ -67,8 +85,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": Query(op1_minhash_near_dedup, sqltext.NEAR_DEDUP),
     "op2_packing": Query(op2_packing, None),
+    "op3_url_filter": Query(op3_url_filter, sqltext.URL_FILTER),
     "op4_pii": Query(op4_pii, None),
     "op5_exact_dedup": Query(op5_exact_dedup, sqltext.EXACT_DEDUP),
+    "op6_chat_format": Query(op6_chat_format, sqltext.CHAT_FORMAT),
     "op7_secrets": Query(op7_secrets, None),
     "op8_substring_dedup": Query(op8_substring_dedup, sqltext.SUBSTRING_DEDUP),
     "op9_toxicity": Query(op9_toxicity, None),

@@ -54,3 +54,62 @@ kept AS (
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
 """
+
+URL_FILTER = r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*[^?#]*([^#]*)', 1, 's') AS query,
+    coalesce(html, '') AS html
+  FROM pages
+),
+pages_at AS (SELECT *, host || path || query AS address FROM parts),
+targets AS (
+  SELECT host, address, unnest([
+    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
+    regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>;]+)', 1, 'is')]) AS t
+  FROM pages_at
+),
+full_targets AS (
+  SELECT address AS a, CASE WHEN t LIKE '/%' AND t NOT LIKE '//%' THEN 'http://' || host || t ELSE t END AS t FROM targets WHERE t <> '' AND address <> ''
+),
+edges AS (
+  SELECT a, translate(regexp_extract(t, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || regexp_extract(t, '^.*?://[^/?#]*([^#]*)', 1, 's') AS b FROM full_targets
+),
+both_ways AS (SELECT a, b FROM edges WHERE b <> '' UNION SELECT b, a FROM edges WHERE b <> ''),
+reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+nodes AS (SELECT DISTINCT b AS address, regexp_extract(b, '^([^/?#]*)', 1) AS host, regexp_extract(b, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+rules(host, path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+),
+judged AS (
+  SELECT x.host, x.path, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM (SELECT host, path FROM pages_at UNION SELECT host, path FROM nodes) x
+  JOIN rules r ON (x.host = r.host OR ends_with(x.host, '.' || r.host)) AND starts_with(x.path, r.path)
+  GROUP BY 1, 2
+),
+tainted AS (
+  SELECT DISTINCT r.a AS address FROM reach r JOIN nodes n ON n.address = r.b JOIN judged j ON j.host = n.host AND j.path = n.path WHERE j.verdict = 'block'
+)
+SELECT p.page_id, p.host, p.path, j.rule, coalesce(j.verdict, CASE WHEN t.address IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM pages_at p LEFT JOIN judged j ON j.host = p.host AND j.path = p.path LEFT JOIN tainted t ON t.address = p.address
+"""
+
+CHAT_FORMAT = r"""
+WITH turns AS (
+  SELECT *, row_number() OVER w AS position, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+    md5(string_agg(coalesce('+' || role, '-') || chr(1) || coalesce('+' || text, '-'), chr(2)) OVER (w ROWS UNBOUNDED PRECEDING)) AS h
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+),
+whole AS (SELECT conv_id, n_turns, h FROM turns WHERE position = n_turns),
+kept AS (
+  SELECT conv_id FROM whole w WHERE NOT EXISTS (
+    SELECT 1 FROM turns t WHERE t.h = w.h AND t.position = w.n_turns
+      AND (t.n_turns > w.n_turns OR (t.n_turns = w.n_turns AND t.conv_id < w.conv_id)))
+)
+SELECT conv_id, position, n_turns, role, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+FROM turns JOIN kept USING (conv_id)
+"""
