@@ -9,8 +9,10 @@ length alone say which pattern, sequence and offset a piece has."""
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,25 +25,28 @@ from corpusloom.llm.shared import map_batches, shared_folder, stored
 
 LENGTH = 2048
 RANKED = 200_000  # rows ranked by one task, about
-KNOWN = 500_000  # pieces of text a Python worker remembers the ids of
+KNOWN = 800_000  # pieces of text a Python worker remembers the ids of
 
 # A token never has white space after anything else, so a text can be cut before any
 # white space that follows something else, and the parts tokenised on their own.
 _PARTS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit numbers, through a
-    bounded memory of the ids of words."""
+    bounded memory of the ids of words. Words that are new in a batch of texts are
+    tokenised together."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first = _Known(self, "")  # by the word
-        self.next = _Known(self, " ")  # by the word after a space
-        self.newline = self.ids("\n")
+        self.known: dict[str, bytes | None] = {}  # words with the space before them, and line ends
+        self.ends: dict[str, bytes] = {"": b""}  # marks at a word's end
+        self.parts: dict[str, bytes] = {}  # white space and what follows it
 
     @staticmethod
     def at(path: str) -> Encoder:
@@ -49,42 +54,54 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def ids(self, part: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
+    def ids(self, parts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        split = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
+        new = set().union(*[set(words).difference(self.known) for words in split])
+        self._learn(new)
+        return [self._joined(text, words) for text, words in zip(texts, split)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Marks after a letter start a token, so they are looked up on their own."""
+        self.known.update(dict.fromkeys(new))
+        plain = [w for w in new if w == "\n" or _core(w)]
+        stems = [w.rstrip(MARKS) for w in plain]
+        stems = [s if s[-1:].isalpha() else w for w, s in zip(plain, stems)]
+        ends = [w[len(s) :] for w, s in zip(plain, stems)]
+        self._add(self.ends, set(ends))
+        self._add(self.known, {s for s in stems if self.known.get(s) is None})
+        for w, s, end in zip(plain, stems, ends):
+            if end:
+                self.known[w] = self.known[s] + self.ends[end]
+
+    def _add(self, known: dict, parts: set[str]) -> None:
+        parts = list(parts if known is self.known else parts.difference(known))
+        known.update(zip(parts, self.ids(parts)))
+
+    def _joined(self, text: str, words: list[str]) -> bytes:
         if not text:
             return b""
         try:
-            lines = []
-            for line in text.split("\n"):
-                words = line.split(" ")
-                lines.append(self.first[words[0]] + b"".join(map(self.next.__getitem__, words[1:])))
-            return self.newline.join(lines)
-        except TypeError:  # some word is None: white space beyond single spaces and line ends
-            return b"".join(map(self.first.part, _PARTS.findall(text)))
-
-
-class _Known(dict):
-    """None for a word that is empty or has white space at an end, as such texts
-    have to be cut with more care."""
-
-    def __init__(self, encoder: Encoder, before: str):
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, word: str) -> bytes | None:
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        return self._learn(word, self.before + word)
+            if "\0" not in text:
+                return b"".join(map(self.known.__getitem__, words))
+        except TypeError:  # a word is None: white space beyond single spaces and line ends
+            pass
+        if len(self.parts) > KNOWN // 4:
+            self.parts.clear()
+        parts = _PARTS.findall(text)
+        self._add(self.parts, set(parts))
+        return b"".join(map(self.parts.__getitem__, parts))
 
-    def part(self, part: str) -> bytes:
-        return self.get(part) or self._learn(part, part)
 
-    def _learn(self, key: str, part: str) -> bytes:
-        if len(self) >= KNOWN:
-            self.clear()
-        self[key] = ids = self.encoder.ids(part)
-        return ids
+def _core(word: str) -> bool:
+    """Whether there is something, without white space at an end, after one space."""
+    core = word[1:] if word[:1] == " " else word
+    return core != "" and core == core.strip()
 
 
 @dataclass
@@ -169,8 +186,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int
         encoder = Encoder.at(tokenizer)
         for batch in text_batches(batches):
             rows, starts, parts, totals = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encoder.encode(text.decode()) + last
+            texts = [t.decode() for t in batch.column("text").to_pylist()]
+            for i, ids in enumerate(encoder.encode(texts)):
+                ids += last
                 for start in range(0, len(ids), 4 * length):
                     rows.append(i)
                     starts.append(start // 4)
