@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.llm.shared import stored
 
 
-def components(links: DataFrame, a: str, b: str, folder: str, name: str = "cc") -> DataFrame:
+def components(links: DataFrame, a: str, b: str, folder: str, name: str = "cc", rounds: int | None = None) -> DataFrame:
     """(node, component) of every node in the links `a`, `b`; component is the
-    smallest node reachable. Links with a null end and loops are ignored.
+    smallest node reachable. Links with a null end and loops are ignored. With `rounds`
+    it stops early: nodes of one component are connected still, but not all that are
+    connected need be of one component.
 
     Large-star and small-star steps in turn (Kiveris and others, 2014): each step
     ties a node's neighbours to the smallest node around it, until nothing
@@ -21,17 +23,16 @@ def components(links: DataFrame, a: str, b: str, folder: str, name: str = "cc")
     edges = links.filter(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct()
     edges = stored(edges, folder, f"{name}-0")
     state, step = _state(edges), 0
-    while state[0]:
+    while state[0] and step != rounds:
         step += 1
         edges = stored(_small_star(_large_star(edges)), folder, f"{name}-{step}")
         new = _state(edges)
         if new == state:
             break
         state = new
-    # every node now has one link, to the smallest of its component
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        edges.select("v", "v").distinct()
-    )
+    # at the end every node has one link, to the smallest of its component
+    labels = edges.select("u", "v").union(edges.select("v", "v"))
+    return labels.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -66,10 +66,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, folder:
     sets = stored(_sets(docs, words, shared), folder, "sets")
     lists = stored(_posting_lists(shared, _common(sets, percent)), folder, "lists")
     led = stored(_confirmed(_leaders(lists, percent), sets, percent), folder, "led")
-    found = components(led, "a", "b", folder, "first")
+    found = stored(components(led, "a", "b", folder, "first", rounds=1), folder, "found")
     rest = _enough_matches(_missing_pairs(lists, found, sets, percent), shared)
     rest = stored(_confirmed(rest, sets, percent), folder, "rest")
-    found = components(led.union(rest), "a", "b", folder, "second")
+    found = components(led.union(found.select("component", "node")).union(rest), "a", "b", folder, "second")
     return _result(signed, found, folder)
 
 
