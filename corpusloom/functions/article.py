@@ -139,13 +139,21 @@ def _section_start() -> str:
     return f"(?sU)(?=[{initials}])(?:{'|'.join(starts)})"
 
 
+def _wide_gap() -> str:
+    """A left pipe and more white space before a header than a look-behind can span."""
+    names = "|".join(re.escape(head) for head in sorted(fixed.SECTION_HEADERS, key=len, reverse=True))
+    return rf"(?U)\|{SPACE}{{100,}}+(?=(?:{names}))"
+
+
 _START = _section_start()
+_WIDE_GAP = _wide_gap()
 _HEADER = "".join(f"${i}" for i in range(1, len(fixed.SECTION_HEADERS) + 2))  # one of them is set
 
 
 def section_entries(content: Column) -> Column:
     """All sections as (header, text), in text order, bad lengths left out."""
-    marked = F.regexp_replace(content, _START, f"$0{_SPLIT}{_HEADER}{_NAME_END}")
+    close = F.regexp_replace(content, _WIDE_GAP, "| ")
+    marked = F.regexp_replace(close, _START, f"$0{_SPLIT}{_HEADER}{_NAME_END}")
     pieces = F.slice(F.split(marked, _SPLIT), 2, 1 << 30)
     entries = F.transform(
         pieces,

@@ -73,23 +73,26 @@ def best_fit(lengths: list[int], room: int) -> list[int]:
 
 
 def packed_best_fit(df: DataFrame, key: str, tokens: str, length: int, batch: int = PACK_BATCH, buckets: int | None = None) -> DataFrame:
-    """Best-fit-decreasing packing within batches of `batch` rows. Only keys and
-    lengths visit Python. Rows longer than `length` are cut to it first."""
-    cut = df.select(key, F.slice(tokens, 1, length).alias("_t")).filter(F.size("_t") > 0)
-    sizes = with_batch(cut.select(key, F.size("_t").alias("_size")), [key], batch, buckets)
+    """Best-fit-decreasing packing within batches of `batch` pieces. Rows longer than
+    `length` are cut into pieces of that many tokens, and every token lies in one piece.
+    Only keys and lengths visit Python."""
+    numbers = F.sequence(F.lit(0), F.expr(f"(_size - 1) div {length}").cast("int"))
+    sized = df.select(key, F.col(tokens).alias("_t"), F.size(tokens).alias("_size")).filter(F.col("_size") > 0)
+    cut = sized.select(key, "_t", F.explode(numbers).alias("_piece"))
+    cut = cut.select(key, "_piece", F.slice("_t", F.col("_piece") * length + 1, F.lit(length)).alias("_t"))
+    sizes = with_batch(cut.select(key, "_piece", F.size("_t").alias("_size")), [key, "_piece"], batch, buckets)
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        return pd.DataFrame(
-            {key: pdf[key], "batch": pdf["batch"], "bin": best_fit(pdf["_size"].tolist(), length), "_size": pdf["_size"]}
-        )
+        pdf = pdf.sort_values([key, "_piece"])
+        return pdf[[key, "_piece", "batch", "_size"]].assign(bin=best_fit(pdf["_size"].tolist(), length))
 
     kind = df.schema[key].dataType.simpleString()
-    bins = sizes.groupBy("batch").applyInPandas(place, f"`{key}` {kind}, batch long, bin long, _size int")
+    bins = sizes.groupBy("batch").applyInPandas(place, f"`{key}` {kind}, _piece int, batch long, _size int, bin long")
     # at most `length` tokens per bin; longest first, as they were placed
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("_size")).alias("n"), F.col(key).alias("k"), F.col("_t").alias("t"))))
+    placed = F.struct((-F.col("_size")).alias("n"), F.col(key).alias("k"), F.col("_piece").alias("p"), F.col("_t").alias("t"))
+    ordered = F.sort_array(F.collect_list(placed))
     return (
-        bins.join(cut, key)
+        bins.join(cut, [key, "_piece"])
         .groupBy("batch", "bin")
         .agg(
             F.flatten(F.transform(ordered, lambda x: x["t"])).alias("input_ids"),

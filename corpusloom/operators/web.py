@@ -52,7 +52,8 @@ def file_names(arts: DataFrame, order: str, existing: DataFrame | None = None, b
     # keys and stems only, parsed once; the articles are joined at the end
     stemmed = saved(arts.select(F.col(order).alias("_key"), safe_stem("title").alias("_stem")))
     ranked = saved(rank_in_group(stemmed, ["_stem"], ["_key"], "_rank", buckets))
-    split = r"\A(.*)_([1-9][0-9]{0,8})\z"
+    # a number that is given is at most the number of rows, so longer ones clash with none
+    split = r"\A(.*)_([1-9][0-9]{0,17})\z"
 
     def numbered(names: DataFrame) -> DataFrame:
         return names.filter(F.rlike("n", F.lit(rf"(?s){split}"))).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.functions.text import clean_text, safe_stem
+from corpusloom.functions.text import clean_text
 from corpusloom.functions.vectors import Encoder
 from corpusloom.operators import chunking, dialogue, documents, retrieval, web
 from corpusloom.session import saved
@@ -37,11 +37,11 @@ def vectors(chunks: DataFrame, encoder: Encoder | None = None) -> DataFrame:
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Rows of a plain (doc_id, text) table as documents: the first line's words
-    are the title, the cleaned text is the content."""
+    """Rows of a plain (doc_id, text) table as documents: the cleaned first line is
+    the title, the cleaned text is the content."""
     return docs.select(
         F.col("doc_id").alias("id"),
-        safe_stem(F.substring_index("text", "\n", 1), 60).alias("title"),
+        clean_text(F.substring_index("text", "\n", 1)).alias("title"),
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),
         clean_text("text").alias("content"),
     )

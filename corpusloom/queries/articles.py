@@ -5,7 +5,7 @@ parser runs over all rows."""
 from pyspark.sql import functions as F
 
 from corpusloom.functions import article, fixed
-from corpusloom.functions.text import document_id, safe_stem
+from corpusloom.functions.text import clean_text, document_id
 from corpusloom.operators import documents
 from corpusloom.queries import query, sqltext as S
 from corpusloom.session import table
@@ -19,7 +19,7 @@ def article_texts(spark, d):
     lines = F.split("text", "\n")
     docs = table(spark, d, "documents", spread=True).select(
         "doc_id", "lang", "source", "text",
-        safe_stem(lines[0], 60).alias("title"), F.substring(lines[0], 1, 30).alias("who"), F.substring(lines[0], 31, 40).alias("by"),
+        clean_text(lines[0]).alias("title"), lines[0].alias("who"),
         F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("l2"),
         F.coalesce(F.get(lines, F.lit(2)), F.lit("")).alias("l3"),
     )
@@ -31,8 +31,8 @@ def article_texts(spark, d):
     text = F.concat(
         F.lit("TIÊU ĐỀ: "), "title", F.lit("\nURL: doc:"), number, F.lit("\n" + fixed.RULE + _NL), body_mark,
         "title", F.lit("\n\nTheo\n\n"), "who", F.lit("\n\n,\n\nMD\n\n,\n\n"), "source", F.lit(" University\n\nXem xét bởi\n\n"),
-        "by", F.lit(",\n\nMD\n\n"), revision, F.substring("text", 1, 90), F.lit("\n\n(Xem thêm\n\n"), F.substring("l2", 1, 60),
-        F.lit(" và xem "), F.substring("l3", 1, 60), F.lit(".)\n\nCăn nguyên\n\n"), "l2", F.lit("\n\nChẩn đoán | Điều trị\n\n"), "l3",
+        "l2", F.lit(",\n\nMD\n\n"), revision, "who", F.lit("\n\n(Xem thêm\n\n"), "l2",
+        F.lit(" và xem "), "l3", F.lit(".)\n\nCăn nguyên\n\n"), "l2", F.lit("\n\nChẩn đoán | Điều trị\n\n"), "l3",
         F.lit("\n\n| Tiên lượng |\n\nTriệu chứng Các biến chứng Phân loại "), "text", F.lit("\n\nCăn nguyên\n\n"), "l3",
         F.lit("\n\nTest your Knowledge\n\nTake a Quiz!\n\nBản quyền\n"),
     )
@@ -40,15 +40,15 @@ def article_texts(spark, d):
 
 
 _N = "chr(10) || chr(10)"
-_SQL_ARTICLES = f"""src AS (SELECT doc_id, lang, source, text, {S.stem("string_split(text, chr(10))[1]", 60)} AS title,
-  substring(string_split(text, chr(10))[1], 1, 30) AS who, substring(string_split(text, chr(10))[1], 31, 40) AS "by",
+_SQL_ARTICLES = f"""src AS (SELECT doc_id, lang, source, text, {S.clean("string_split(text, chr(10))[1]")} AS title,
+  string_split(text, chr(10))[1] AS who,
   coalesce(string_split(text, chr(10))[2], '') AS l2, coalesce(string_split(text, chr(10))[3], '') AS l3 FROM documents),
 files AS (SELECT doc_id, source || ', ' || title || '.txt' AS file_name,
   'TIÊU ĐỀ: ' || title || chr(10) || 'URL: doc:' || doc_id || chr(10) || repeat('=', 80) || {_N}
   || CASE WHEN lang <> 'es' THEN 'NỘI DUNG:' || {_N} ELSE '' END || title || {_N} || 'Theo' || {_N} || who || {_N} || ',' || {_N} || 'MD' || {_N} || ',' || {_N}
-  || source || ' University' || {_N} || 'Xem xét bởi' || {_N} || "by" || ',' || {_N} || 'MD' || {_N}
+  || source || ' University' || {_N} || 'Xem xét bởi' || {_N} || l2 || ',' || {_N} || 'MD' || {_N}
   || CASE WHEN lang <> 'de' THEN 'Đã xem xét/Đã chỉnh sửa' || {_N} || 'Thg 7 2024' || {_N} || '|' || {_N} || 'v' || doc_id || '_vi' || {_N} ELSE '' END
-  || substring(text, 1, 90) || {_N} || '(Xem thêm' || {_N} || substring(l2, 1, 60) || ' và xem ' || substring(l3, 1, 60) || '.)' || {_N}
+  || who || {_N} || '(Xem thêm' || {_N} || l2 || ' và xem ' || l3 || '.)' || {_N}
   || 'Căn nguyên' || {_N} || l2 || {_N} || 'Chẩn đoán | Điều trị' || {_N} || l3 || {_N} || '| Tiên lượng |' || {_N}
   || 'Triệu chứng Các biến chứng Phân loại ' || text || {_N} || 'Căn nguyên' || {_N} || l3 || {_N}
   || 'Test your Knowledge' || {_N} || 'Take a Quiz!' || {_N} || 'Bản quyền' || chr(10) AS value FROM src)"""

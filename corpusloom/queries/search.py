@@ -127,7 +127,7 @@ def hits(spark, d, asked=None, text="question"):
     return retrieval.nearest(found, asked, 10)
 
 
-_CHUNKS = f"""dc AS (SELECT doc_id, {S.clean('text')} AS t, {S.stem("string_split(text, chr(10))[1]", 60)} AS title,
+_CHUNKS = f"""dc AS (SELECT doc_id, {S.clean('text')} AS t, {S.clean("string_split(text, chr(10))[1]")} AS title,
     row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
     ds AS (SELECT *, unnest(range(0, greatest(1, ceil((length(t) - 200) / 800.0))::BIGINT)) AS i FROM dc WHERE length(t) > 0),
     chunks AS (SELECT doc_id || '_' || pos || '_chunk_' || i AS id, title, 'doc:' || doc_id AS url, substring(t, i * 800 + 1, 1000) AS content FROM ds),
@@ -245,15 +245,15 @@ def session_prompts(spark, d):
 
 @query(
     "prompt_branches",
-    f"""WITH q AS (SELECT doc_id, substring(text, 1, 80) AS question, CASE WHEN n_chars % 3 = 0 THEN 'chitchat' ELSE 'medical_question' END AS intent,
-    substring(text, 1, (n_chars % 100)::INT) AS c FROM documents) SELECT doc_id, {_USER} AS user_text FROM q""",
+    f"""WITH q AS (SELECT doc_id, text AS question, CASE WHEN n_chars % 3 = 0 THEN 'chitchat' ELSE 'medical_question' END AS intent,
+    CASE WHEN n_chars % 5 = 0 THEN '' ELSE text END AS c FROM documents) SELECT doc_id, {_USER} AS user_text FROM q""",
 )
 def prompt_branches(spark, d):
     """Prompt assembly over all documents, so that every branch is taken."""
     rows = table(spark, d, "documents").select(
         "doc_id",
-        F.substring("text", 1, 80).alias("question"),
+        F.col("text").alias("question"),
         F.when(F.col("n_chars") % 3 == 0, fixed.INTENT_CHAT).otherwise(fixed.INTENT_DOMAIN).alias("intent"),
-        F.substr("text", F.lit(1), (F.col("n_chars") % 100).cast("int")).alias("context"),
+        F.when(F.col("n_chars") % 5 == 0, "").otherwise(F.col("text")).alias("context"),
     )
     return dialogue.prompts(rows).select("doc_id", "user_text")

@@ -127,7 +127,7 @@ def recursive_chunks(spark, d):
     return corpus.chunked(corpus.document_rows(table(spark, d, "documents", spread=True))).select("id", "content")
 
 
-@query("embed_text", f"""SELECT doc_id AS id, 'Tiêu đề: ' || {S.stem("string_split(text, chr(10))[1]", 60)} || chr(10) || 'Nội dung: ' || {S.clean('text')} AS embed_text FROM documents""")
+@query("embed_text", f"""SELECT doc_id AS id, 'Tiêu đề: ' || {S.clean("string_split(text, chr(10))[1]")} || chr(10) || 'Nội dung: ' || {S.clean('text')} AS embed_text FROM documents""")
 def embed_text(spark, d):
     docs = corpus.document_rows(table(spark, d, "documents", spread=True))
     return docs.select("id", chunking.embed_text("title", "content").alias("embed_text"))

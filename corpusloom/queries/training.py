@@ -219,8 +219,10 @@ def packed_wrapped(spark, d):
     return _joined(batches.packed_wrapped(_token_rows(spark, d), ["doc_id"], "w", 512), "input_ids")
 
 
-_BFD = f"""WITH RECURSIVE t AS (SELECT doc_id, ({_words('text')})[1:1024] AS w, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE len({_words('text')}) > 0),
-    items AS (SELECT doc_id, w, len(w) AS n, (rn - 1) // 1000 AS batch, row_number() OVER (PARTITION BY (rn - 1) // 1000 ORDER BY len(w) DESC, doc_id) AS k FROM t),
+_BFD = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+    c AS (SELECT doc_id, w, unnest(range(0, (len(w) + 1023) // 1024)) AS p FROM d),
+    t AS (SELECT doc_id, p, w[p * 1024 + 1:(p + 1) * 1024] AS w, row_number() OVER (ORDER BY doc_id, p) AS rn FROM c),
+    items AS (SELECT doc_id, w, len(w) AS n, (rn - 1) // 1000 AS batch, row_number() OVER (PARTITION BY (rn - 1) // 1000 ORDER BY len(w) DESC, doc_id, p) AS k FROM t),
     fit AS (
       SELECT DISTINCT batch, 0::BIGINT AS k, []::BIGINT[] AS room, 0::BIGINT AS bin FROM items
       UNION ALL
