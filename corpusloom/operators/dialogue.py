@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.functions import fixed
 from corpusloom.functions.text import always_ellipsis, cut, ellipsis, strip
 from corpusloom.operators.ordering import bounded_window, rank_in_group
+from corpusloom.session import saved
 
 
 
@@ -102,7 +103,7 @@ def history_texts(messages: DataFrame, n: int = 6, width: int = 150) -> DataFram
 def sessions(messages: DataFrame, buckets: int | None = None) -> DataFrame:
     """All sessions with their number of messages, numbered in id order."""
     counts = messages.filter(F.length(F.col("session_id").cast("string")) > 0)
-    counts = counts.groupBy("session_id").agg(F.count(F.lit(1)).alias("messages"))
+    counts = saved(counts.groupBy("session_id").agg(F.count(F.lit(1)).alias("messages")))  # ranked in several jobs
     return rank_in_group(counts, [], ["session_id"], "position", buckets)
 
 

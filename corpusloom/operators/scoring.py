@@ -157,8 +157,8 @@ def class_margin(df: DataFrame, label: Column, value: str) -> DataFrame:
 def unique_prompts(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row per key. An aggregation, so repeats of a hot key are
     dropped in each task before the shuffle."""
-    first = df.groupBy(key).agg(F.min(F.col(order)).alias(order))
-    return df.join(first, [key, order], "left_semi")
+    first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def scored_pairs(df: DataFrame, prompt: str = "prompt_id", completion: str = "completion_id", score: str = "score", judged: str | None = None) -> DataFrame:
