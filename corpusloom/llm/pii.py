@@ -73,20 +73,29 @@ LEAST = 0.5  # score of a span of the added kinds
 MORE = 0.3  # what a context word adds
 
 
-def _sums(sizes: Column) -> Column:
-    """Running sums of an array, block by block, so that no array grows item by item
-    beyond BLOCK."""
-    add = lambda done, x: F.concat(done, F.array(F.coalesce(F.element_at(done, F.greatest(F.size(done), F.lit(1))), F.lit(0)) + x))
+def _running(xs: Column) -> Column:
+    """Running sums of a short array."""
+    add = lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))
     empty = F.array().cast("array<bigint>")
-    running = lambda xs: F.when(F.size(xs) == 0, empty).otherwise(
-        F.aggregate(F.slice(xs, 2, F.size(xs)), F.slice(xs, 1, 1), add)
-    )
+    return F.when(F.size(xs) == 0, empty).otherwise(F.aggregate(F.slice(xs, 2, F.size(xs)), F.slice(xs, 1, 1), add))
+
+
+def _blocks(sizes: Column) -> Column:
+    """Running sums within blocks of BLOCK numbers, so that no array grows item by item
+    beyond that."""
     starts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))
-    blocks = F.transform(starts, lambda i: running(F.slice(sizes, i * BLOCK + 1, F.lit(BLOCK))))
+    blocks = F.transform(starts, lambda i: _running(F.slice(sizes, i * BLOCK + 1, F.lit(BLOCK))))
+    return F.when(F.size(sizes) == 0, F.array().cast("array<array<bigint>>")).otherwise(blocks)
+
+
+def _joined(blocks: Column, ahead: Column) -> Column:
+    """The blocks' sums with what lies ahead of each block added."""
+    return F.flatten(F.zip_with(blocks, ahead, lambda b, base: F.transform(b, lambda x: x + base)))
+
+
+def _ahead(blocks: Column) -> Column:
     totals = F.transform(blocks, lambda b: F.element_at(b, -1))
-    before = running(F.concat(F.array(F.lit(0).cast("bigint")), totals))
-    joined = F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, base: F.transform(b, lambda x: x + base)))
-    return F.when(F.size(sizes) == 0, empty).otherwise(joined)
+    return F.slice(_running(F.concat(F.array(F.lit(0).cast("bigint")), totals)), 1, F.size(blocks))
 
 
 def _found(kind: Kind) -> str:
@@ -110,18 +119,24 @@ def personal_data(docs: DataFrame) -> DataFrame:
         m = F.col(f"{_found(kind)}_m")
         pieces = F.when(F.size(m) > 0, F.split("_text", kind.pattern, -1)).otherwise(none)
         rows = rows.withColumn(f"{_found(kind)}_p", pieces)
-    for kind in KINDS:
-        rows = rows.withColumn(f"{_found(kind)}_s", _starts(F.col(f"{_found(kind)}_m"), F.col(f"{_found(kind)}_p")))
+    # one column for each step: what is used more than once is computed once
+    for out, step in (
+        ("d", lambda of: _distances(of("m"), of("p"))),
+        ("b", lambda of: _blocks(of("d"))),
+        ("a", lambda of: _ahead(of("b"))),
+        ("s", lambda of: _joined(of("b"), of("a"))),
+    ):
+        rows = rows.withColumns({f"{_found(k)}_{out}": step(lambda c, k=k: F.col(f"{_found(k)}_{c}")) for k in KINDS})
     for kind in KINDS:
         rows = rows.withColumn(_found(kind), _spans(kind))
     spans = F.concat(*[F.col(_found(k)) for k in KINDS])
     return rows.select("doc_id", F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["end"], s["score"])).alias("spans"))
 
 
-def _starts(m: Column, p: Column) -> Column:
-    """Before match j lie the pieces up to j and the matches before j."""
-    step = F.transform(m, lambda x, j: (F.length(F.get(p, j)) + F.coalesce(F.length(F.get(m, j - 1)), F.lit(0))).cast("bigint"))
-    return _sums(step)
+def _distances(m: Column, p: Column) -> Column:
+    """From the start of each match back to that of the one before: between them lie the
+    match and a piece."""
+    return F.transform(m, lambda x, j: (F.length(F.get(p, j)) + F.coalesce(F.length(F.get(m, j - 1)), F.lit(0))).cast("bigint"))
 
 
 def _spans(kind: Kind) -> Column:
