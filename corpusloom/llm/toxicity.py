@@ -67,8 +67,8 @@ class Rows:
     def __init__(self, rows: list[np.ndarray], number: np.ndarray):
         kept = [number[r][number[r] >= 0] for r in rows]
         self.n = len(kept)
-        self.columns = np.concatenate([*kept, np.empty(0, np.int64)]).astype(np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(k) for k in kept]) if kept else np.empty(0, np.int64)
+        self.columns = np.concatenate([*kept, np.empty(0, np.int32)])
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(k) for k in kept])
 
     def margins(self, w: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(self.row, w[self.columns], self.n) + bias
@@ -84,7 +84,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return Model(np.zeros(BUCKETS), -10.0)
     seen = np.bincount(np.concatenate(positive), minlength=BUCKETS)
     used = np.flatnonzero(seen >= min(LEAST_TEXTS, len(positive)))
-    number = np.full(BUCKETS, -1)
+    number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(len(used))
     p, u = Rows(positive, number), Rows(unlabelled, number)
     x = np.append(np.zeros(len(used)), np.log(prior / (1 - prior)))
@@ -150,7 +150,7 @@ def _texts(df: DataFrame, count: int) -> list[np.ndarray]:
     rows = []
     for part in found.limit(count).toArrow().column("f").chunks:
         flat, offsets = np.asarray(part.values), np.asarray(part.offsets)
-        rows += [flat[a:b].astype(np.int64) for a, b in zip(offsets, offsets[1:])]
+        rows += [flat[a:b] for a, b in zip(offsets, offsets[1:])]
     return rows
 
 
