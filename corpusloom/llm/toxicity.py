@@ -25,6 +25,7 @@ POSITIVES, UNLABELLED = 4_000, 12_000  # texts fitted on, at most
 BEGINNINGS = (3, 4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
 LEAST_TEXTS = 3  # positive texts that a feature must occur in
+DEVIATIONS = 3.0  # by which it must be more frequent there than among the unlabelled
 _hashes: dict[str, np.ndarray] = {}
 
 
@@ -77,13 +78,19 @@ class Rows:
         return np.append(np.bincount(self.columns, slopes[self.row], size), slopes.sum())
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, decay: float = 2e-4) -> Model:
+def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """Features that positive texts have more often than chance would give them."""
+    seen, among = (np.bincount(np.concatenate(rows), minlength=BUCKETS) for rows in (positive, unlabelled))
+    expected = among * (len(positive) / len(unlabelled))
+    return np.flatnonzero((seen >= min(LEAST_TEXTS, len(positive))) & (seen - expected >= DEVIATIONS * np.sqrt(expected + 1)))
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, decay: float = 3e-4) -> Model:
     """Minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)), with logistic loss, by
     Adam over all rows. Without positive texts every score is next to 0."""
     if not positive or not unlabelled:
         return Model(np.zeros(BUCKETS), -10.0)
-    seen = np.bincount(np.concatenate(positive), minlength=BUCKETS)
-    used = np.flatnonzero(seen >= min(LEAST_TEXTS, len(positive)))
+    used = _telling(positive, unlabelled)
     number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(len(used))
     p, u = Rows(positive, number), Rows(unlabelled, number)
