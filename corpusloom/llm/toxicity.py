@@ -142,23 +142,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = few(marks.filter("toxic = 1").select("doc_id"), POSITIVES, toxic)
     positive = _texts(docs.join(F.broadcast(known), "doc_id"), POSITIVES)  # at most POSITIVES ids
     pool = docs.filter(~held_out()).filter("text != ''").select("doc_id", "text")
-    return fit(positive, _texts(few(pool, UNLABELLED, total), UNLABELLED), prior)
+    # ids first, so that texts are read where they are and not gathered in one task
+    others = few(pool.select("doc_id"), UNLABELLED, total).distinct()  # at most UNLABELLED ids
+    return fit(positive, _texts(pool.join(F.broadcast(others), "doc_id"), UNLABELLED), prior)
 
 
 def _texts(df: DataFrame, count: int) -> list[np.ndarray]:
-    """Features of the texts, made where the texts are; only they come to the driver."""
+    """Features of the texts, made where the texts are; only they come to the driver, in
+    an order that the rows alone decide."""
 
     def extract(batches):
         for batch in text_batches(batches):
             rows = [features((t or b"").decode()) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"f": pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32()))})
+            found = pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32()))
+            yield pa.record_batch({"place": batch.column("place"), "f": found})
 
-    found = map_batches(df.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")), extract, "f array<int>")
+    text = F.coalesce("text", F.lit(""))
+    placed = df.select(F.xxhash64("doc_id", text).alias("place"), text.cast("binary").alias("text"))
+    found = map_batches(placed, extract, "place long, f array<int>").limit(count).toArrow()
     rows = []
-    for part in found.limit(count).toArrow().column("f").chunks:
+    for part in found.column("f").chunks:
         flat, offsets = np.asarray(part.values), np.asarray(part.offsets)
         rows += [flat[a:b] for a, b in zip(offsets, offsets[1:])]
-    return rows
+    return [rows[i] for i in np.argsort(found.column("place").to_numpy())]
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
