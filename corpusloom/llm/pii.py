@@ -20,7 +20,22 @@ EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# Length of an account number by country: the registry, and the countries that use such
+# numbers without being in it. The length tells where a number ends.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+LISTED = "|".join(code for codes in LENGTHS.values() for code in codes.split())
+NUMBERS = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in LENGTHS.items())
+# Only the two letters are used up, so that one that is none hides nothing that begins
+# within it. A country that is not listed has its number in one piece.
+ACCOUNT = (
+    r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})"
+    rf"(?=({NUMBERS}|(?!{LISTED})[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}+)(?![A-Za-z0-9]))[A-Z]{{2}}"
+)
 NUMBER = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CONTEXT = 40  # characters before a span that are looked at
 BLOCK = 256  # numbers summed in one go
@@ -35,6 +50,7 @@ class Kind:
     words: str  # that make it likelier
     score: float
     base: bool = True  # is reported whatever its score
+    head: int | None = None  # characters the pattern uses up, if less than its group 1, the span
 
 
 def _digits(span: Column) -> Column:
@@ -66,7 +82,7 @@ KINDS = [
     Kind("ip", IP, _ip, lambda t: F.lit(True), r"\bip\b|address|host|server", 0.6),
     Kind("card", CARD, _card, lambda t: F.lit(True), "card|visa|credit|pay", 0.8),
     Kind("phone", PHONE, lambda s: F.length(_digits(s)).between(8, 15), lambda t: F.contains(t, F.lit("+")), "phone|call|tel|mobile|fax", 0.7),
-    Kind("iban", ACCOUNT, _account, lambda t: F.lit(True), "iban|account|bank|transfer", 0.7, base=False),
+    Kind("iban", ACCOUNT, _account, lambda t: F.lit(True), "iban|account|bank|transfer", 0.7, base=False, head=2),
     Kind("ssn", NUMBER, lambda s: ~s.rlike("^(000|666|9)|-00-|-0000$"), lambda t: F.contains(t, F.lit("-")), "ssn|social|security|tax", 0.3, base=False),
 ]
 LEAST = 0.5  # score of a span of the added kinds
@@ -113,7 +129,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("_text"))
     none = F.array().cast("array<string>")
     for kind in KINDS:
-        matches = F.regexp_extract_all("_text", F.lit(kind.pattern), F.lit(0))
+        matches = F.regexp_extract_all("_text", F.lit(kind.pattern), F.lit(0 if kind.head is None else 1))
         rows = rows.withColumn(f"{_found(kind)}_m", F.when(kind.may_have(F.col("_text")), matches).otherwise(none))
     for kind in KINDS:
         m = F.col(f"{_found(kind)}_m")
@@ -121,22 +137,33 @@ def personal_data(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"{_found(kind)}_p", pieces)
     # one column for each step: what is used more than once is computed once
     for out, step in (
-        ("d", lambda of: _distances(of("m"), of("p"))),
-        ("b", lambda of: _blocks(of("d"))),
-        ("a", lambda of: _ahead(of("b"))),
-        ("s", lambda of: _joined(of("b"), of("a"))),
+        ("d", lambda of, k: _distances(of("m"), of("p"), k.head)),
+        ("b", lambda of, k: _blocks(of("d"))),
+        ("a", lambda of, k: _ahead(of("b"))),
+        ("s", lambda of, k: _joined(of("b"), of("a"))),
     ):
-        rows = rows.withColumns({f"{_found(k)}_{out}": step(lambda c, k=k: F.col(f"{_found(k)}_{c}")) for k in KINDS})
+        rows = rows.withColumns({f"{_found(k)}_{out}": step(lambda c, k=k: F.col(f"{_found(k)}_{c}"), k) for k in KINDS})
     for kind in KINDS:
         rows = rows.withColumn(_found(kind), _spans(kind))
+        if kind.head is not None:
+            rows = rows.withColumn(_found(kind), _apart(F.col(_found(kind))))
     spans = F.concat(*[F.col(_found(k)) for k in KINDS])
     return rows.select("doc_id", F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["end"], s["score"])).alias("spans"))
 
 
-def _distances(m: Column, p: Column) -> Column:
-    """From the start of each match back to that of the one before: between them lie the
-    match and a piece."""
-    return F.transform(m, lambda x, j: (F.length(F.get(p, j)) + F.coalesce(F.length(F.get(m, j - 1)), F.lit(0))).cast("bigint"))
+def _distances(m: Column, p: Column, head: int | None) -> Column:
+    """From the start of each match back to that of the one before: between them lie
+    what that one used up and a piece."""
+    used = lambda j: F.coalesce(F.length(F.get(m, j - 1)), F.lit(0)) if head is None else F.when(j > 0, head).otherwise(0)
+    return F.transform(m, lambda x, j: (F.length(F.get(p, j)) + used(j)).cast("bigint"))
+
+
+def _apart(spans: Column) -> Column:
+    """The spans without those that begin within an earlier one that stays."""
+    clash = lambda s, j: (j > 0) & (s["start"] < F.get(spans, j - 1)["end"])
+    empty = F.slice(spans, 1, 0)
+    stays = lambda done, s: F.when(s["start"] < F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)), done).otherwise(F.concat(done, F.array(s)))
+    return F.when(F.exists(F.transform(spans, clash), lambda c: c), F.aggregate(spans, empty, stays)).otherwise(spans)
 
 
 def _spans(kind: Kind) -> Column:

@@ -159,6 +159,22 @@ def test_validators_and_context(spark):
     assert got == {1: [("iban", 5, 32, 1.0)], 2: [], 3: [("iban", 0, 22, 0.7)], 4: [], 5: [("ssn", 16, 27, 0.6)], 6: [], 7: [("email", 7, 13, 1.0)]}
 
 
+def test_account_numbers_by_country(spark):
+    de, gb = "DE89370400440532013000", "GB82WEST12345698765432"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    texts = [
+        f"IBAN: {de} BIC: COBADEFF", f"{de} EUR 50", f"{spaced} BIC COBADEFFXXX", f"{spaced} 2024", f"{de} {gb}", f"{spaced} {spaced}",
+        f"BE16 {spaced}", f"x{de}", f"{de}X", f"{de[:-1]}", "NO9386011117947 A1", "MT84MALT011000012345MTLCAST001S 2024",
+    ]
+    want = [
+        [(6, 28)], [(0, 22)], [(0, 27)], [(0, 27)], [(0, 22), (23, 45)], [(0, 27), (28, 55)],
+        [(5, 32)], [], [], [], [(0, 15)], [(0, 31)],
+    ]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in pii.personal_data(table(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(want))
+    assert len(set(pii.LISTED.split("|"))) == len(pii.LISTED.split("|"))
+
+
 def base_secrets(text):
     kinds = [
         ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
