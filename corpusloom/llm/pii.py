@@ -2,8 +2,8 @@
 
 A regular expression proposes spans of each kind, a validator confirms them (Luhn for
 cards, mod 97 for account numbers, ranges of parts and counts of digits for the rest),
-and words just before a span raise or lower its score. Positions come from the pieces
-that the same expression splits a text into, so a text is never walked in Python."""
+and words around a span raise its score. Positions come from the pieces that the same
+expression splits a text into, so a text is never walked in Python."""
 
 from __future__ import annotations
 
@@ -37,7 +37,8 @@ ACCOUNT = (
     rf"(?=({NUMBERS}|(?!{LISTED})[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}+)(?![A-Za-z0-9]))[A-Z]{{2}}"
 )
 NUMBER = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CONTEXT = 40  # characters before a span that are looked at
+CONTEXT = 40  # characters before and after a span that are looked at
+PART = 64  # characters of the parts that a text is cut into for that
 BLOCK = 256  # numbers summed in one go
 
 
@@ -114,6 +115,15 @@ def _ahead(blocks: Column) -> Column:
     return F.slice(_running(F.concat(F.array(F.lit(0).cast("bigint")), totals)), 1, F.size(blocks))
 
 
+def _between(parts: Column, start: Column, stop: Column) -> Column:
+    """Characters start to stop, at most CONTEXT, of the text cut into `parts`. A place
+    in a long text is counted out anew each time, one in the parts is not."""
+    start = F.greatest(start, F.lit(0))
+    first = F.floor(start / PART).cast("int")
+    few = F.array_join(F.slice(parts, first + 1, F.lit(CONTEXT // PART + 2)), "")
+    return F.substring(few, (start - first * PART + 1).cast("int"), (stop - start).cast("int"))
+
+
 def _found(kind: Kind) -> str:
     return f"_{kind.name}"
 
@@ -141,8 +151,17 @@ def personal_data(docs: DataFrame) -> DataFrame:
         ("b", lambda of, k: _blocks(of("d"))),
         ("a", lambda of, k: _ahead(of("b"))),
         ("s", lambda of, k: _joined(of("b"), of("a"))),
+        # the lists that the matches stand in: breaks before them, and the first of each
+        ("q", lambda of, k: _gaps(of("m"), of("p"), k.head)),
+        ("f", lambda of, k: _breaks(of("m"), of("q"))),
+        ("n", lambda of, k: _blocks(of("f"))),
+        ("o", lambda of, k: _ahead(of("n"))),
+        ("g", lambda of, k: _joined(of("n"), of("o"))),
+        ("i", lambda of, k: _firsts(of("f"))),
     ):
         rows = rows.withColumns({f"{_found(k)}_{out}": step(lambda c, k=k: F.col(f"{_found(k)}_{c}"), k) for k in KINDS})
+    some = F.greatest(*[F.size(f"{_found(k)}_m") for k in KINDS]) > 0
+    rows = rows.withColumn("_parts", F.when(some, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))).otherwise(none))
     for kind in KINDS:
         rows = rows.withColumn(_found(kind), _spans(kind))
         if kind.head is not None:
@@ -166,19 +185,50 @@ def _apart(spans: Column) -> Column:
     return F.when(F.exists(F.transform(spans, clash), lambda c: c), F.aggregate(spans, empty, stays)).otherwise(spans)
 
 
+def _gaps(m: Column, p: Column, head: int | None) -> Column:
+    """What lies before each match, back to the end of the one before, and after the last."""
+    if head is None:
+        return p
+    body = lambda j: F.coalesce(F.length(F.get(m, j - 1)) - head, F.lit(0))
+    return F.transform(p, lambda x, j: F.when(j > 0, F.substring(x, body(j) + 1, F.length(x))).otherwise(x))
+
+
+def _breaks(m: Column, q: Column) -> Column:
+    """1 for each match that does not continue a list: there is more than marks and
+    digits, or more than CONTEXT characters, between it and the one before."""
+    apart = lambda j: (j == 0) | (F.length(F.get(q, j)) > CONTEXT) | F.get(q, j).rlike(r"\p{L}")
+    return F.transform(m, lambda x, j: F.when(apart(j), 1).otherwise(0).cast("bigint"))
+
+
+def _firsts(f: Column) -> Column:
+    return F.filter(F.transform(f, lambda x, j: F.when(x == 1, j)), lambda j: j.isNotNull())
+
+
 def _spans(kind: Kind) -> Column:
-    """The valid spans of a kind, scored by the text just before them."""
-    m, p, start = (F.col(f"{_found(kind)}_{c}") for c in "mps")
+    """The valid spans of a kind, scored by the text around them and around the list
+    they stand in. What leads up to the next match, after the last mark before it,
+    belongs to that one."""
+    m, start, gap, group, firsts = (F.col(f"{_found(kind)}_{c}") for c in "msqgi")
+    parts = F.col("_parts")
+    before = lambda at: _between(parts, at - CONTEXT, at)
+
+    def near(j: Column) -> Column:
+        first = F.get(firsts, (F.get(group, j) - 1).cast("int"))
+        following = F.coalesce(F.get(firsts, F.get(group, j).cast("int")), F.size(m))
+        rest = F.get(gap, following)
+        leads = (following < F.size(m)) & (F.length(rest) <= CONTEXT)
+        after = F.when(leads, F.regexp_replace(rest, r"[,;.|\t\r\n][^,;.|\t\r\n]*\z", "")).otherwise(F.substring(rest, 1, CONTEXT))
+        return F.lower(F.concat_ws("\n", before(F.get(start, first)), before(F.get(start, j)), after))
 
     def span(x: Column, j: Column) -> Column:
-        before = F.lower(F.substring(F.get(p, j), -CONTEXT, CONTEXT))
-        score = F.least(F.lit(kind.score) + F.when(before.rlike(kind.words), MORE).otherwise(0.0), F.lit(1.0))
+        valid = kind.valid(x)
+        score = F.least(F.lit(kind.score) + F.when(valid & near(j).rlike(kind.words), MORE).otherwise(0.0), F.lit(1.0))
         return F.struct(
             F.lit(kind.name).alias("kind"),
             F.get(start, j).alias("start"),
             (F.get(start, j) + F.length(x)).alias("end"),
             F.round(score, 2).alias("score"),
-            kind.valid(x).alias("valid"),
+            valid.alias("valid"),
         )
 
     keep = (lambda s: s["valid"]) if kind.base else (lambda s: s["valid"] & (s["score"] >= LEAST))

@@ -175,6 +175,20 @@ def test_account_numbers_by_country(spark):
     assert len(set(pii.LISTED.split("|"))) == len(pii.LISTED.split("|"))
 
 
+def test_context_of_lists_and_after(spark):
+    numbers = [f"{100 + i}-45-6789" for i in range(40)]
+    texts = [
+        "SSN: 123-45-6789, 234-56-7891", "Social security\n" + "\n".join(numbers), "123-45-6789 (SSN)", ", ".join(numbers) + " (SSN)",
+        "ssn é😀 123-45-6789 und 234-56-7891", "ssn " + "x" * 40 + " 123-45-6789", "123-45-6789 " + "x" * 40 + " ssn", "é😀" * 300 + " tax 123-45-6789",
+        "123-45-6789, no. 234-56-7891", "123-45-6789, SSN of A; 234-56-7891, SSN of B", "part 123-45-6789. SSN 234-56-7891",
+        "IBAN BE16 DE89 3704 0044 0532 0130 00, GB82WEST12345698765432", "SSN 000-45-6789, 234-56-7891",
+    ]
+    want = [2, 40, 1, 40, 2, 0, 0, 1, 0, 2, 1, 2, 1]
+    rows = {r.doc_id: r.spans for r in pii.personal_data(table(spark, list(enumerate(texts)))).collect()}
+    assert {i: len(s) for i, s in rows.items()} == dict(enumerate(want))
+    assert {s.score for i, s in [(i, s) for i in rows for s in rows[i]] if i != 11} == {0.6} and {s.score for s in rows[11]} == {1.0}
+
+
 def base_secrets(text):
     kinds = [
         ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
