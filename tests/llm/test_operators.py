@@ -199,6 +199,28 @@ def base_secrets(text):
     return [(kinds[k][0], a, b) for a, k, b in sorted(found)]
 
 
+@pytest.mark.parametrize("alphabet", ["hex", "HEX", "lower", "upper", "base32", "letters", "letters and digits", "base64", "base64url"])
+def test_random_keys_are_found(alphabet):
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    of = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "lower": low + digits, "upper": low.upper() + digits, "base32": low.upper() + "234567",
+          "letters": low + low.upper(), "letters and digits": low + low.upper() + digits}
+    chars = of.get(alphabet) or of["letters and digits"] + {"base64": "+/", "base64url": "-_"}[alphabet]
+    rng = random.Random(8)
+    for size, least in ((20, 0.95), (24, 0.98), (32, 0.99), (40, 0.995)):
+        assert sum(secrets.suspicious("".join(rng.choice(chars) for _ in range(size))) for _ in range(1000)) >= 1000 * least
+
+
+def test_allowed_parts_hide_no_key():
+    key = "q7ZpTx2LmV9aKc4RfWb8"
+    for run in (key, f"2024-03-01_{key}", f"{key}_2024-03-01", f"{key}0123456789", f"abcdefghijklmnopqrstuvwxyz{key}", f"2024-03-01-{key}-0123456789"):
+        assert secrets.suspicious(run)
+    for run in ("2024-03-01_0123456789", "2024-03-01/2024-03-02/2024-03-03", "0123456789abcdefghijklmnopqrstuvwxyz", "some/path/with-many-words/and/2024",
+                "getUserAccountInformation", "parseHTTPResponseHeaders", "DONAUDAMPFSCHIFFFAHRT", "550e8400-e29b-41d4-a716-446655440000", "=" * 60, "12345678901234567890123",
+                "sha256_digest_of_all_v2_keys", "2024-03-01_report-of-the-year"):
+        assert not secrets.suspicious(run)
+    assert [(a, b) for a, k, b in secrets.secrets(f"x 2024-03-01_{key} y") if k == 3] == [(2, 33)]
+
+
 def test_secrets(spark):
     rng = random.Random(7)
     parts = ["password", "PassWd", "api_key", "APIKEY", "ſecret", "Token", '"', "'", ":", "=", " ", "AKIA", "ABCDEFGH12345678", "0a1b2c3d4e5f", "deadbeef", "xyz", "é", "x.y", "q7Zp+/"]
