@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from corpusloom.llm import pii, secrets, sqltext, toxicity
+from corpusloom.llm import pii, piece_coding, secrets, source_audit, sqltext, toxicity, vector_codes
 from corpusloom.llm.chat_collapse import collapsed
 from corpusloom.llm.decontaminate import benchmark_passages
 from corpusloom.llm.exact_dedup import exact_duplicates
@@ -82,6 +82,31 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a null text or id stay; see `piece_coding.encoded`."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_coding.decoded(piece_coding.encoded(table(spark, folder, "documents"), model), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors that are null or not finite are left out; see `vector_codes.compressed`."""
+    coded, book = vector_codes.compressed(table(spark, folder, "embeddings"))
+    hexed = F.array_join(F.transform("code", lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")), "")
+    found = vector_codes.with_label_error(coded).withColumn("codebooks_sha256", F.lit(vector_codes.codebook_digest(book)))
+    return found.select("vec_id", hexed.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Nulls are empty strings; see `source_audit.divergence`."""
+    return source_audit.divergence(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": Query(op1_minhash_near_dedup, sqltext.NEAR_DEDUP),
     "op2_packing": Query(op2_packing, None),
@@ -93,4 +118,7 @@ QUERIES = {
     "op8_substring_dedup": Query(op8_substring_dedup, sqltext.SUBSTRING_DEDUP),
     "op9_toxicity": Query(op9_toxicity, None),
     "op10_decontamination": Query(op10_decontamination, None),
+    "op11_pieces": Query(op11_pieces, None),
+    "op12_vector_codes": Query(op12_vector_codes, sqltext.VECTOR_CODES),
+    "op13_source_audit": Query(op13_source_audit, sqltext.SOURCE_AUDIT),
 }

@@ -113,3 +113,91 @@ kept AS (
 SELECT conv_id, position, n_turns, role, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
 FROM turns JOIN kept USING (conv_id)
 """
+
+
+def _vector_codes() -> str:
+    """Each round assigns all parts and moves the entries; the last one only assigns."""
+
+    def near(r: int) -> str:
+        return f"""
+near{r} AS (
+  SELECT vec_id, part, any_value(label) AS label, any_value(x) AS x, min(apart * 64 + entry) % 64 AS entry, min(apart) AS apart
+  FROM (
+    SELECT p.*, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS apart
+    FROM parts p JOIN book{r} b ON p.part = b.part
+  ) GROUP BY vec_id, part
+)"""
+
+    def moved(r: int) -> str:
+        return f"""
+book{r + 1} AS (
+  SELECT part, entry, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN (
+    SELECT part, entry, list(mean ORDER BY i) AS x FROM (
+      SELECT part, entry, i, (sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) AS mean
+      FROM (SELECT part, entry, unnest(x) AS c, unnest(range(len(x))) AS i FROM near{r}) GROUP BY part, entry, i
+    ) GROUP BY part, entry
+  ) m USING (part, entry)
+)"""
+
+    steps = ",".join([near(0), moved(0), near(1), moved(1), near(2)])
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS (
+  SELECT vec_id, label, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS x FROM kept, (SELECT unnest(range(16)) AS part)
+),
+book0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)
+),{steps},
+rows AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, sum(apart) AS error
+  FROM near2 GROUP BY vec_id
+)
+SELECT vec_id, lower(code) AS code, error::BIGINT AS error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM rows
+"""
+
+
+VECTOR_CODES = _vector_codes()
+
+SOURCE_AUDIT = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+found AS (SELECT d, lang, source, unnest(w) AS term FROM texts),
+kept AS (SELECT lang, term, count(*) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sources AS (
+  SELECT s.lang, s.source, coalesce(any_value(l.v), 0) AS v, coalesce(any_value(l.total), 0) AS lang_total, coalesce(sum(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM texts) s LEFT JOIN langs l USING (lang) LEFT JOIN counts c USING (lang, source) GROUP BY s.lang, s.source
+),
+shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.total + 2 * s.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 2)) // (s.lang_total + 2 * s.v) AS q
+  FROM sources s JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source AS one, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS f
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) z ON z.lang = a.lang AND z.one = a.source AND z.other = b.source
+),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE n > 0 AND p > q
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
