@@ -14,10 +14,8 @@ no key is hot. Numbers and chunks go through one exchange, which both steps read
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusloom.llm.near_dedup import text_batches
 from corpusloom.llm.shared import map_batches
 
-BLOCK = 32 << 20  # bytes of text that share one numbering
+BLOCK = 16 << 20  # bytes of text that share one numbering
 _EXCHANGED = "key long, seen long, rows binary, sizes binary, numbers binary, counts binary, chunks binary"
 _REPLY = "key long, seen long, bucket long, sizes binary, values binary"
 
@@ -47,19 +45,18 @@ def unpack_ints(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def pack_texts(texts: list[str]) -> bytes:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    sizes, body = pack_ints(np.fromiter(map(len, raw), np.int64, len(raw))), b"".join(raw)
+def pack_texts(texts: list[bytes]) -> bytes:
+    sizes, body = pack_ints(np.fromiter(map(len, texts), np.int64, len(texts))), b"".join(texts)
     parts = [sizes, len(body).to_bytes(8, "little"), pa.compress(body, codec="zstd", asbytes=True) if body else b""]
     return len(sizes).to_bytes(8, "little") + b"".join(parts)
 
 
-def unpack_texts(data: bytes) -> list[str]:
+def unpack_texts(data: bytes) -> list[bytes]:
     cut = 8 + int.from_bytes(data[:8], "little")
     size = int.from_bytes(data[cut : cut + 8], "little")
     body = pa.decompress(data[cut + 8 :], size, codec="zstd", asbytes=True) if size else b""
     ends = np.cumsum(unpack_ints(data[8:cut]))
-    return [body[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    return [body[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def _rows_out(columns: pa.RecordBatch) -> bytes:
@@ -75,19 +72,21 @@ class _Block:
 
     def __init__(self, key: int, buckets: int):
         self.key, self.buckets, self.size = key, buckets, 0
-        self.known: dict[str, int] = {}
-        self.lists: list[list[str]] = [[] for _ in range(buckets)]
+        self.known: dict[bytes, int] = {}
+        self.lists: list[list[bytes]] = [[] for _ in range(buckets)]
 
-    def numbers(self, documents: list[list[str]]) -> np.ndarray:
+    def numbers(self, chunks: pa.Array) -> np.ndarray:
+        """Numbers of chunks (large or plain binary), in order."""
         known, lists, buckets = self.known, self.lists, self.buckets
-        for words in documents:
-            for w in dict.fromkeys(words):
-                if w not in known:
-                    b = zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets
-                    known[w] = len(lists[b]) * buckets + b
-                    lists[b].append(w)
-        count = sum(map(len, documents))
-        return np.fromiter(map(known.__getitem__, chain.from_iterable(documents)), np.int64, count)
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        for w in distinct:
+            if w not in known:
+                b = zlib.crc32(w) % buckets
+                known[w] = len(lists[b]) * buckets + b
+                lists[b].append(w)
+        own = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        return own[np.asarray(coded.indices)]
 
     def ended(self) -> list[dict]:
         """A row that ends the block, and its distinct chunks for each bucket."""
@@ -131,8 +130,8 @@ class Placed:
 def by_chunk(
     docs: DataFrame,
     keep: list[str],
-    cut: Callable[[str], list[str]],
-    work: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray | list[str]]]],
+    cut: Callable[[pa.Array], pa.ListArray],
+    work: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray | list[bytes]]]],
     place: Callable[[Iterable[Placed]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
     texts: bool = False,
@@ -140,8 +139,8 @@ def by_chunk(
     block: int = BLOCK,
     buckets: int | None = None,
 ) -> DataFrame:
-    """`place` over all documents. `cut` gives a text's chunks, and with `counted` each
-    is kept once per document with its count. `work()` is made once per task; called
+    """`place` over all documents. `cut` gives the chunks of each of the texts given, all as
+    UTF-8, and with `counted` each is kept once per document with its count. `work()` is made once per task; called
     with distinct chunks it gives how many values each has and all values, numbers below
     2^32 or, with `texts`, texts. A null text is empty; other columns than `keep` are ignored.
 
@@ -160,15 +159,15 @@ def by_chunk(
         now = None
         for batch in text_batches(batches):
             now = now or _Block(key, buckets)
-            documents = [cut(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
-            counts = None
+            documents = cut(batch.column("text"))
+            sizes, numbers = np.asarray(documents.value_lengths()), now.numbers(documents.flatten())
+            row = {"key": now.key, "rows": _rows_out(batch.select(keep))}
             if counted:
-                found = [Counter(words) for words in documents]
-                documents = [list(c) for c in found]
-                counts = pack_ints(np.fromiter((x for c in found for x in c.values()), np.int64, sum(map(len, found))))
-            row = {"key": now.key, "rows": _rows_out(batch.select(keep)), "counts": counts}
-            row["sizes"] = pack_ints(np.fromiter(map(len, documents), np.int64, len(documents)))
-            row["numbers"] = pack_ints(now.numbers(documents))
+                width = int(numbers.max(initial=0)) + 1
+                pairs, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + numbers, return_counts=True)
+                sizes, numbers = np.bincount(pairs // width, minlength=len(sizes)), pairs % width
+                row["counts"] = pack_ints(counts)
+            row |= {"sizes": pack_ints(sizes), "numbers": pack_ints(numbers)}
             yield pa.RecordBatch.from_pylist([row], arrow)
             now.size += batch.column("text").nbytes
             if now.size >= block:

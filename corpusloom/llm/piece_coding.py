@@ -18,7 +18,7 @@ from corpusloom.llm.chunk_table import BLOCK, Placed, by_chunk
 from corpusloom.llm.shared import map_batches
 
 MARK = "▁"
-_CHUNK = re.compile(r"\x20+[^\x20]*")
+_CHUNK = re.compile(rb"\x20+[^\x20]*")
 _models: dict[str, object] = {}
 
 
@@ -42,15 +42,28 @@ def can_cut(path: str) -> bool:
     return kept and MARK in pieces and any(map(model.is_byte, ids)) and all(MARK not in p.lstrip(MARK) for p in pieces)
 
 
-def chunks(text: str) -> list[str]:
-    """Chunks of a text in order, each without its first marker; spaces and markers are
-    the same to a model. A space is added ahead of the text, as the model does."""
-    if not text:
-        return []
-    text = text.replace(MARK, " ")
-    if "  " not in text and text[0] != " " and text[-1] != " ":
-        return text.split(" ")
-    return [c[1:] for c in _CHUNK.findall(" " + text)]
+def chunks(texts: pa.Array) -> pa.ListArray:
+    """Chunks of each text in order, each without its first marker; spaces and markers are
+    the same to a model. A space is added ahead of a text, as the model does."""
+    texts = pa.compute.replace_substring(texts, MARK.encode(), b" ")
+    simple = pa.compute.split_pattern(texts, b" ")
+    sizes, found = np.asarray(simple.value_lengths()).copy(), simple.flatten()
+    # an empty chunk tells of an empty text or of spaces side by side or at an end
+    odd = np.unique(np.repeat(np.arange(len(sizes)), sizes)[np.asarray(pa.compute.binary_length(found)) == 0])
+    if not len(odd):
+        return simple
+    ends, parts, last = np.cumsum(sizes), [], 0
+    for i, text in zip(odd.tolist(), texts.take(pa.array(odd)).to_pylist()):
+        own = [c[1:] for c in _CHUNK.findall(b" " + text)] if text else []
+        parts += [found.slice(last, ends[i] - sizes[i] - last), pa.array(own, pa.binary())]
+        last, sizes[i] = ends[i], len(own)
+    joined = pa.concat_arrays([*parts, found.slice(last)])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), joined)
+
+
+def _whole(texts: pa.Array) -> pa.ListArray:
+    some = np.asarray(pa.compute.binary_length(texts)) > 0
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some))), pa.int32()), texts.filter(pa.array(some)))
 
 
 def encoded(
@@ -63,13 +76,13 @@ def encoded(
     `docs`, so null or repeated doc_id are kept. Other columns are ignored, whatever
     their names. An empty table gives no rows."""
     keep = keep or ["doc_id"]
-    cut = chunks if can_cut(model) else (lambda text: [text] if text else [])
+    cut = chunks if can_cut(model) else _whole
 
     def work():
         found = model_at(model)
 
-        def segment(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = found.encode(new, num_threads=1)
+        def segment(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids = found.encode([c.decode("utf-8", "replace") for c in new], num_threads=1)
             ids = [i if c else [found.piece_to_id(MARK)] for c, i in zip(new, ids)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             return sizes, np.fromiter((x for i in ids for x in i), np.int64, int(sizes.sum()))
@@ -100,8 +113,11 @@ def decoded(coded: DataFrame, model: str, ids: str = "ids", name: str = "decoded
         found = model_at(model)
         size = found.get_piece_size()
         for batch in batches:
-            lists = batch.column(ids).to_pylist()
-            known = [[x for x in i if x is not None and 0 <= x < size] for i in lists if i is not None]
+            lists, flat = batch.column(ids).to_pylist(), batch.column(ids).flatten()
+            known = [i for i in lists if i is not None]
+            least, most = pa.compute.min_max(flat).values()
+            if flat.null_count or len(flat) and not 0 <= least.as_py() <= most.as_py() < size:
+                known = [[x for x in i if x is not None and 0 <= x < size] for i in known]
             texts = iter(found.decode(known, num_threads=1) if known else [])
             column = pa.array([None if i is None else next(texts) for i in lists], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, name])

@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.llm.chunk_table import BLOCK, Placed, by_chunk
 from corpusloom.llm.shared import shared_folder, stored
 
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
-_TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 DOCUMENTS = 10  # a term is kept for a language if so many of its documents have it
 TOP = 10  # terms listed for a source
 SCALE = 1_000_000_000  # shares are counted in parts of it
@@ -34,13 +33,18 @@ def term_counts(docs: DataFrame, block: int = BLOCK, buckets: int | None = None)
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")]
 
     def work():
-        def terms(chunks: list[str]) -> tuple[np.ndarray, list[str]]:
-            found = [_TERM.findall(c.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) for c in chunks]
+        def terms(chunks: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+            found = [_TERM.findall(c.decode("utf-8", "replace").encode().lower()) for c in chunks]  # bytes: only A-Z change
             return np.fromiter(map(len, found), np.int64, len(found)), [t for f in found for t in f]
 
         return terms
 
-    return by_chunk(docs.select(*named), ["lang", "source"], _CHUNK.findall, work, _added, _COUNTS, True, True, block, buckets)
+    return by_chunk(docs.select(*named), ["lang", "source"], _chunks, work, _added, _COUNTS, True, True, block, buckets)
+
+
+def _chunks(texts: pa.Array) -> pa.ListArray:
+    found = pa.compute.ascii_split_whitespace(texts.view(pa.string()))  # spaces and x09 to x0D only
+    return pa.ListArray.from_arrays(found.offsets, found.values.view(pa.binary()))
 
 
 def _added(blocks: Iterable[Placed]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +54,7 @@ def _added(blocks: Iterable[Placed]) -> Iterator[pa.RecordBatch]:
     keys, occurrences, documents = [], [], []
     for b in blocks:
         if names is None:
-            coded = pa.array(b.values, pa.string()).dictionary_encode()
+            coded = pa.array(b.values, pa.binary()).cast(pa.string()).dictionary_encode()
             names, codes = coded.dictionary, np.asarray(coded.indices, np.int64)
         width = max(1, len(names))
         pairs = zip(b.rows.column("lang").to_pylist(), b.rows.column("source").to_pylist())

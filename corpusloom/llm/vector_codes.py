@@ -224,7 +224,7 @@ def compressed(
     book = first_codebook(kept, size, parts, entries)
     for _ in range(rounds):
         book = moved_codebook(kept, book)
-    return encoded(kept, book).select("vec_id", "label", "code", "error"), book
+    return stored(encoded(kept, book).select("vec_id", "label", "code", "error"), folder, "codes"), book
 
 
 def with_label_error(coded: DataFrame) -> DataFrame:

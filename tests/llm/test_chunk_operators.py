@@ -22,7 +22,7 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 FOLDER = "/root/testdata/sf0.001"
 
 
-@given(st.lists(st.text(max_size=20), max_size=40), st.lists(st.integers(0, 2**32 - 1), max_size=40))
+@given(st.lists(st.binary(max_size=20), max_size=40), st.lists(st.integers(0, 2**32 - 1), max_size=40))
 def test_packed_and_back(texts, numbers):
     assert chunk_table.unpack_texts(chunk_table.pack_texts(texts)) == texts
     assert chunk_table.unpack_ints(chunk_table.pack_ints(np.array(numbers, np.int64))).tolist() == numbers
@@ -54,6 +54,15 @@ def test_pieces_equal_the_library(spark, monkeypatch, cut):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@given(st.lists(st.text("ab ▁\n\x00é", max_size=12), max_size=8))
+def test_chunks_of_texts(texts):
+    import pyarrow as pa
+
+    got = piece_coding.chunks(pa.array([t.encode() for t in texts], pa.binary())).to_pylist()
+    want = [re.findall(" +[^ ]*", " " + t.replace("▁", " ")) if t else [] for t in texts]
+    assert got == [[c[1:].encode() for c in w] for w in want]
+
+
 def test_model_can_be_cut_and_each_chunk_is_segmented_once(spark):
     assert piece_coding.can_cut(MODEL)
     calls = spark.sparkContext.accumulator(0)
@@ -67,9 +76,9 @@ def test_model_can_be_cut_and_each_chunk_is_segmented_once(spark):
 
     docs = spark.createDataFrame([(i, "a b c " + "d " * i) for i in range(40)], "doc_id long, text string").repartition(4)
     place = lambda blocks: (b.rows for b in blocks)
-    out = chunk_table.by_chunk(docs, ["doc_id"], str.split, work, place, "doc_id long", block=50, buckets=3)
+    out = chunk_table.by_chunk(docs, ["doc_id"], source_audit._chunks, work, place, "doc_id long", block=50, buckets=3)
     assert sorted(r.doc_id for r in out.collect()) == list(range(40))
-    assert calls.value == 4
+    assert calls.value == 5  # and the empty one at a text's end
 
 
 def test_pieces_of_an_empty_table_and_decoding_of_odd_ids(spark):
