@@ -98,6 +98,28 @@ def nearest_in_cells(spark, d):
     return retrieval.nearest(_vectors(spark, d), _centroids(spark, d), 10, _BITS, _REACH)
 
 
+_PIVOTS, _PROBES = 128, 48
+
+
+@query(
+    "nearest_in_probes",
+    f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    pivots AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, v AS p FROM v ORDER BY vec_id LIMIT {_PIVOTS}),
+    near AS (SELECT vec_id, v, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, p), 6) DESC, cell) AS n FROM v, pivots),
+    sims AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.v, c.v), 6) AS similarity
+        FROM near q JOIN near c ON q.cell = c.cell WHERE q.vec_id % 100 = 0 AND q.n <= {_PROBES} AND c.n = 1)
+    SELECT query_id, id, similarity, rank FROM {_TOP.format(where='')}""",
+)
+def nearest_in_probes(spark, d):
+    """Every hundredth vector against all, over the cells nearest to it. The pivots are the
+    vectors with the smallest ids, so that SQL can repeat them."""
+    vectors = _vectors(spark, d)
+    first = vectors.orderBy("id").limit(_PIVOTS).toArrow()  # so many rows
+    by = retrieval.PivotCells(retrieval._matrix(first.column("embedding")))
+    asked = vectors.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return retrieval.nearest(vectors, asked, 10, by=by, probes=_PROBES)
+
+
 # --- questions against the chunked documents -------------------------------------
 
 

@@ -37,7 +37,8 @@ def test_exact(tables):
 def test_blockwise_is_the_same(tables):
     data, asked, corpus, queries = tables
     assert found(retrieval.nearest(corpus, queries, 10, max_sent=4, block=100)) == brute(data, asked, 10)
-    cellwise = [found(retrieval.nearest(corpus, queries, 5, 6, 1, max_sent=m)) for m in (4, 4096)]
+    assert found(retrieval.nearest(corpus, queries, 10, max_sent=4, block=7)) == brute(data, asked, 10)  # lists are merged by level
+    cellwise = [found(retrieval.nearest(corpus, queries, 5, 6, 1, max_sent=m, block=b)) for m, b in ((4, 10), (4096, 50_000))]
     assert cellwise[0] == cellwise[1]
 
 
@@ -55,6 +56,60 @@ def test_recall_of_cells(tables):
     assert all(0 <= c < 64 for c in cells(data, sign_planes(6, 16)))
 
 
+def test_sign_cells_are_compared_by_brute_force(tables):
+    data, asked, corpus, queries = tables
+    own, near = (cells(m, sign_planes(6, 16)) for m in (data, asked))
+    unit = lambda m: m / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-12)
+    sims = np.round(unit(asked) @ unit(data).T, 6)
+    want = set()
+    for q, row in enumerate(sims):
+        ids = [i for i in range(len(data)) if bin(own[i] ^ near[q]).count("1") <= 2]
+        want |= {(q, i, r) for r, i in enumerate(sorted(ids, key=lambda i: (-row[i], i))[:5], 1)}
+    assert found(retrieval.nearest(corpus, queries, 5, 6, 2)) == want
+
+
+def test_probes_go_by_the_nearest_planes():
+    by, m = retrieval.SignCells(4, 2), np.random.default_rng(1).normal(size=(20, 16))
+    got = by.near(m)
+    margins = m @ sign_planes(4, 16).T
+    for row, margin in zip(got, margins):
+        cost = lambda c: sum(abs(x) for i, x in enumerate(margin) if (c >> i & 1) != (x > 0))
+        assert [cost(c) for c in row] == sorted(cost(c) for c in row) and len(row) == 11
+        assert cost(row[0]) == 0 and (by.near(m, 3) == got[:, :3]).all()
+
+
+def test_recall_of_fitted_pivots(spark):
+    """Every hundredth of the given vectors against all: recall 0.9 from less than half of the products."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS id", "embedding")
+    asked = rows.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    by = retrieval.fit_pivots(rows, 256, 8)
+    exact, near = (
+        {(r.query_id, r.id) for r in retrieval.nearest(rows, asked, 10, **kw).collect()} for kw in ({}, {"by": by, "probes": 100})
+    )
+    assert len(exact & near) >= 0.9 * len(exact)
+    sizes = {r.cell: r["count"] for r in retrieval.with_cells(rows, by).groupBy("cell").count().collect()}
+    products = sum(sizes.get(r.cell, 0) for r in retrieval.routed(asked, by, 100).collect())
+    assert products < 0.45 * 2000 * 20
+
+
+def test_groups_meet_only_their_own_queries(spark):
+    rows = spark.createDataFrame([("ab"[i % 2], i, [1.0, float(i)]) for i in range(40)], "g string, id long, embedding array<float>")
+    asked = spark.createDataFrame([("a", 1, [0.0, 1.0]), ("a", 2, [1.0, 0.0]), ("c", 3, [1.0, 0.0])], "g string, query_id long, query array<float>")
+    hits = retrieval.nearest_in_groups(rows, asked, "g", 2, block=6, query_block=1)
+    assert found(retrieval.best_hits(hits, 2)) == {(1, 38, 1), (1, 36, 2), (2, 0, 1), (2, 2, 2)}
+
+
+def test_vectors_that_are_null_or_ragged(spark):
+    rows = spark.createDataFrame([(1, None), (2, [1.0]), (3, [1.0, 0.0]), (4, [])], "id long, embedding array<float>")
+    assert retrieval.with_cells(rows, 3).count() == 4
+    assert retrieval.with_cells(rows.filter("id = 1"), 3).first().cell == 0
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    got = retrieval.nearest(rows, asked, 4, by=retrieval.PivotCells(np.eye(2)), probes=2)
+    assert [r.similarity for r in got.orderBy("rank").collect()] == [1.0, 1.0, 0.0, 0.0]
+    with pytest.raises(ValueError):
+        retrieval.with_cells(rows, 20)
+
+
 def test_gates_and_contexts(spark):
     hits = spark.createDataFrame(
         [(1, "a", 0.9, 1), (1, "b", 0.5, 2), (1, "c", 0.45, 3), (2, "a", 0.39, 1), (3, "s", 0.4, 1), (5, "a", 0.3, 1)],
