@@ -204,29 +204,28 @@ def _first_turns(log: DataFrame, *more: Column) -> DataFrame:
     return rows.groupBy("session_id", "role", "_c").agg(F.min("turn").alias("first_turn"), *more)
 
 
-def first_equal_messages(hits: DataFrame, log: DataFrame, selected: DataFrame) -> DataFrame:
+def first_equal_messages(hits: DataFrame, log: DataFrame, selected: DataFrame, by: str = "session_id") -> DataFrame:
     """Each hit -> the first message of its session with the same content whose
-    (role, content) is not selected yet."""
+    (role, content) is not selected yet. `by` names what hits belong to: a session, or one
+    of the requests in it, all of which share the session's log."""
     key, same = ["session_id", "role", "_c"], ["session_id", "_c"]
     chosen = selected.select("session_id", "role", _identity("content").alias("_c"))
-    wanted = hits.select("session_id", "content", "rank", _identity("content").alias("_c"))
-    wanted = wanted.withColumn("_i", F.row_number().over(Window.partitionBy(*same).orderBy("rank")))
+    wanted = hits.select(*{by, "session_id"}, "content", "rank", _identity("content").alias("_c"))
+    wanted = wanted.withColumn("_i", F.row_number().over(Window.partitionBy(by, "_c").orderBy("rank")))
     free = _first_turns(log).join(chosen, key, "left_anti").join(wanted.select(*same).distinct(), same, "left_semi")
     # one row per role and content is left to number
     free = free.withColumn("_i", F.row_number().over(Window.partitionBy(*same).orderBy("first_turn")))
-    return wanted.join(free, [*same, "_i"]).select(
-        "session_id", "rank", F.col("first_turn").alias("turn"), "role", "content"
-    )
+    return wanted.join(free, [*same, "_i"]).select(by, "rank", F.col("first_turn").alias("turn"), "role", "content")
 
 
-def _selected_history(rows: DataFrame, keep: int, width: int) -> DataFrame:
+def _selected_history(rows: DataFrame, keep: int, width: int, by: str = "session_id") -> DataFrame:
     """(session_id, place, first_turn, role, content), few rows per session ->
     history. In place order; when there are more than `keep`, by first
     occurrence and only the last `keep`."""
     message = F.struct(
         _role_name(F.col("role"), "user", "model").alias("role"), cut("content", width).alias("content")
     )
-    got = rows.groupBy("session_id").agg(
+    got = rows.groupBy(by).agg(
         F.sort_array(F.collect_list(F.struct("place", "first_turn", message.alias("m")))).alias("_all")
     )
     moved = F.sort_array(
@@ -234,7 +233,7 @@ def _selected_history(rows: DataFrame, keep: int, width: int) -> DataFrame:
     )
     in_place = F.transform("_all", lambda x: x["m"])
     newest = F.transform(F.slice(moved, -keep, keep), lambda x: x["m"])
-    return got.select("session_id", F.when(F.size("_all") > keep, newest).otherwise(in_place).alias("history"))
+    return got.select(by, F.when(F.size("_all") > keep, newest).otherwise(in_place).alias("history"))
 
 
 def _recent(log: DataFrame, n: int) -> DataFrame:
@@ -250,21 +249,25 @@ def _with_first_turn(recent: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def hybrid_history(
-    log: DataFrame, hits: DataFrame, recent: int = 3, k: int = 5, keep: int = 8, width: int = 250
+    log: DataFrame, hits: DataFrame, recent: int = 3, k: int = 5, keep: int = 8, width: int = 250, requests: DataFrame | None = None
 ) -> DataFrame:
     """Per session: the last messages before its question, then those most
     similar to the question that are not among them. `log` comes from
-    `earlier_messages`, `hits` from `similar_messages` with the same k."""
+    `earlier_messages`, `hits` from `similar_messages` with the same k.
+
+    With `requests` (query_id, session_id) a history for each of these, of which a session
+    may have many: they share its log, and `hits` has query_id as well."""
+    by = "session_id" if requests is None else "query_id"
     newest = _recent(log, recent)
-    extra = first_equal_messages(hits, log, newest)
-    extra = extra.select(
-        "session_id", "role", "content", (F.col("rank") + recent).alias("place"), F.col("turn").alias("first_turn")
-    )
+    extra = first_equal_messages(hits, log, newest, by)
+    extra = extra.select(by, "role", "content", (F.col("rank") + recent).alias("place"), F.col("turn").alias("first_turn"))
     if recent + k > keep:
         newest = _with_first_turn(newest, log)
     else:
         newest = newest.select("session_id", "role", "content", "place", F.col("turn").alias("first_turn"))
-    return _selected_history(newest.unionByName(extra), keep, width)
+    if requests is not None:
+        newest = newest.join(requests.select("query_id", "session_id"), "session_id").drop("session_id")
+    return _selected_history(newest.unionByName(extra), keep, width, by)
 
 
 def question_keywords(question: Column) -> Column:

@@ -54,12 +54,14 @@ def answers(
     encoder: Encoder | None = None,
     k: int = 10,
     cell_bits: int | None = None,
+    **search,
 ) -> DataFrame:
     """(query_id, question, search_text) and embedded chunks -> prompts. Texts
     are only fetched for hits, k per question; `texts` (id, title, content) is
-    where from, when the chunks are not a stored table."""
+    where from, when the chunks are not a stored table. `cell_bits` and `search` (see
+    `retrieval.nearest`) choose cells."""
     asked = chunking.encode(questions.select("query_id", "search_text"), "search_text", "embedding", encoder)
-    hits = saved(retrieval.nearest(corpus, asked, k, cell_bits))  # used twice; k rows per question
+    hits = saved(retrieval.nearest(corpus, asked, k, cell_bits, **search))  # used twice; k rows per question
     rows = hits.join((corpus if texts is None else texts).select("id", "title", "content"), "id")
     gated = retrieval.gates(questions, hits)
     context = retrieval.document_context(rows)

@@ -6,8 +6,10 @@ from corpusloom.functions import chat, fixed
 from corpusloom.operators import dialogue
 from corpusloom.operators.chunking import encode
 from corpusloom.operators.ordering import bounded_window
+from corpusloom.plans.requests import similar_by_request
 from corpusloom.queries import query, sqltext as S
-from corpusloom.session import saved, table
+from corpusloom.session import new_folder, saved, table
+from corpusloom.streaming.store import SessionStore
 
 M = S.MESSAGES
 
@@ -244,6 +246,44 @@ def checked_answers(spark, d):
     return messages(spark, d).select("session_id", "turn", dialogue.checked_answer(rest).alias("answer"))
 
 
+# --- conversations that grow ------------------------------------------------------
+
+
+@query(
+    "stored_turns",
+    f"""WITH {M}, {_QA}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn % 3, turn) - 1 AS i FROM qa)
+    SELECT session_id::VARCHAR AS session_id, 2 * i AS turn, 'user' AS role, question AS content FROM n
+    UNION ALL SELECT session_id::VARCHAR, 2 * i + 1, 'assistant', CASE WHEN {S.strip('answer')} = '' THEN {S.lit(fixed.EMPTY_ANSWER)} ELSE answer END FROM n""",
+)
+def stored_turns(spark, d):
+    """All questions and answers, appended in three batches to a store that numbers them."""
+    answered = saved(qa_pairs(spark, d).select(F.col("session_id").cast("string").alias("session_id"), F.col("turn").alias("order"), "question", "answer"))
+    store = SessionStore(spark, new_folder(spark), buckets=8, fan_in=2)
+    for batch in range(3):
+        store.append(answered.filter(F.col("order") % 3 == batch), batch)
+    return store.messages.rows().select("session_id", "turn", "role", "content")
+
+
+@query(
+    "request_matches",
+    f"""WITH {M}, r AS (SELECT item_id AS query_id, item_id % 9 AS session_id, text FROM benchmark),
+    lt AS (SELECT session_id || ':' || turn AS id, content AS text FROM messages), qt AS (SELECT query_id AS id, text FROM r),
+    {S.word_hash('lt', 'le').strip()}, {S.word_hash('qt', 'qe').strip()},
+    dots AS (SELECT r.query_id, m.turn, sum(a.w * b.w) AS s FROM r JOIN messages m USING (session_id)
+        JOIN le_w a ON a.id = m.session_id || ':' || m.turn JOIN qe_w b ON b.id = r.query_id AND b.d = a.d GROUP BY ALL),
+    sims AS (SELECT r.query_id, m.*, round(coalesce(s / (a.l * b.l), 0), 6) AS similarity FROM r JOIN messages m USING (session_id) LEFT JOIN dots USING (query_id, turn)
+        LEFT JOIN le_l a ON a.id = m.session_id || ':' || m.turn LEFT JOIN qe_l b ON b.id = r.query_id)
+    SELECT query_id, session_id, turn, role, content, similarity, rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, turn) AS rank FROM sims) WHERE rank <= 5""",
+)
+def request_matches(spark, d):
+    """Benchmark questions, many to a conversation, and the messages closest to each."""
+    asked = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"), (F.col("item_id") % 9).alias("session_id"), F.col("text").alias("question")
+    )
+    return similar_by_request(asked, saved(encode(messages(spark, d), "content")), block=3, query_block=2)
+
+
 # --- chat rows and templates ----------------------------------------------------
 
 

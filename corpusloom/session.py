@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,17 @@ def table(spark: SparkSession, folder: str, name: str, spread: bool = False) ->
     return df
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the one that spark.checkpoint.dir names and all executors share. Only
+    where that is unset and the session is local, as in tests, a temporary folder is used."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="corpusloom-")
+    return f"{base}/tables-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once and kept in the shared folder that
     spark.checkpoint.dir names, so that lost executors cost nothing. Only where
