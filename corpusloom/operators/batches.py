@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.operators.ordering import rank_in_group, running_sum
+from corpusloom.session import saved
 
 PACK_BATCH = 1000  # rows that are packed together
 
@@ -20,19 +21,19 @@ def with_batch(df: DataFrame, order: list[str], size: int, buckets: int | None =
 
 def mismatched(df: DataFrame, order: list[str], column: str, out: str, size: int, mode: str = "rotate", buckets: int | None = None) -> DataFrame:
     """Pair every row with another row's `column` of its batch: the one before
-    it, with the first taking the last ("rotate"), or the mirrored one ("reverse")."""
-    batched = with_batch(df, order, size, buckets)
-    w = Window.partitionBy("batch").orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    if mode == "rotate":
-        first = F.row_number().over(w) == 1
-        taken = F.when(first, F.last(column).over(whole)).otherwise(F.lag(column).over(w))
-    elif mode == "reverse":
-        mirrored = F.count(F.lit(1)).over(whole) - F.row_number().over(w)
-        taken = F.get(F.collect_list(F.struct(column)).over(whole), mirrored)[column]
-    else:
+    it, with the first taking the last ("rotate"), or the mirrored one ("reverse").
+    Rows meet their partners in a join on (batch, place), so no batch is gathered."""
+    if mode not in ("rotate", "reverse"):
         raise ValueError(f"unknown mode: {mode}")
-    return batched.withColumn(out, taken)
+    placed = rank_in_group(df, [], order, "_row", buckets)
+    placed = saved(placed.withColumns({"batch": F.expr(f"(_row - 1) div {size}"), "_place": F.expr(f"(_row - 1) % {size}")}).drop("_row"))
+    # only the last batch can be short
+    rows = F.least(F.lit(size), placed.agg(F.count(F.lit(1))).scalar() - F.col("batch") * size)
+    partner = rows - 1 - F.col("_place") if mode == "reverse" else (F.col("_place") + rows - 1) % rows
+    others = placed.select(F.col("batch").alias("_b"), F.col("_place").alias("_p"), F.col(column).alias(out))
+    asked = placed.withColumn("_partner", partner).drop(*({out} & set(df.columns)))
+    joined = asked.join(others, (F.col("batch") == F.col("_b")) & (F.col("_partner") == F.col("_p")))
+    return joined.drop("_b", "_p", "_place", "_partner")
 
 
 def zip_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -121,17 +122,29 @@ def sample_rows(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     return df.orderBy(_hash(seed, F.col(key)), key).limit(k)
 
 
-def sample_with_repeats(df: DataFrame, key: str, n: int = 512, seed: int = 0, buckets: int | None = None) -> DataFrame:
+def sample_with_repeats(df: DataFrame, key: str, n: int = 512, seed: int = 0, buckets: int = 1024) -> DataFrame:
     """n draws (the number of rows if that is smaller) with replacement. `draw`
-    numbers them."""
+    numbers them. Keys are unique.
+
+    Rows are counted by hash bucket, which says how many draws fall into which bucket and on
+    which place in it; only rows of buckets with a draw are ranked, each bucket on its own,
+    and nothing is sorted as a whole."""
     spark = df.sparkSession
-    places = rank_in_group(df.select(key), [], [key], "_place", buckets)
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    number = F.conv(F.substring(_hash(seed, F.col("draw")), 1, 15), 16, 10).cast("long")
+    number = lambda text, digits: F.conv(F.substring(text, 1, digits), 16, 10).cast("long")
+    keys = df.select(key, _hash(seed, F.col(key)).alias("_h")).withColumn("_bucket", number(F.col("_h"), 15) % buckets)
+    counts = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most `buckets` rows
+    spans = counts.withColumn("_to", F.sum("_n").over(ahead))
+    rows = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
     draws = spark.range(1, n + 1).select(F.col("id").alias("draw"), rows.alias("_rows")).filter(F.col("draw") <= F.col("_rows"))
-    draws = draws.select("draw", (number % F.col("_rows") + 1).alias("_place"))  # at most n rows
-    drawn = places.join(F.broadcast(draws), "_place").select(key, "draw")
-    return df.join(F.broadcast(drawn), key)
+    draws = draws.select("draw", (number(_hash(seed, F.col("draw")), 15) % F.col("_rows")).alias("_at"))
+    # at most n rows and `buckets` rows
+    hit = (F.col("_at") < F.col("_to")) & (F.col("_at") >= F.col("_to") - F.col("_n"))
+    drawn = draws.join(F.broadcast(spans), hit).select("draw", F.col("_bucket").alias("_b"), (F.col("_at") - F.col("_to") + F.col("_n") + 1).alias("_place"))
+    near = keys.join(F.broadcast(drawn.select(F.col("_b").alias("_bucket")).distinct()), "_bucket", "left_semi")
+    places = near.withColumn("_place", F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))).withColumnRenamed("_place", "_rank")
+    chosen = places.join(F.broadcast(drawn), (F.col("_bucket") == F.col("_b")) & (F.col("_rank") == F.col("_place")))
+    return df.join(F.broadcast(chosen.select(key, "draw")), key)
 
 
 def repeated(df: DataFrame, key: str, times: int, seed: int | None = None) -> DataFrame:

@@ -11,6 +11,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from corpusloom.operators.ordering import bounded_window
+from corpusloom.session import saved
+
 # A scorer gets lists of prompts and completions, and the other columns as
 # keyword lists; it gives one score per completion, None for no score.
 Scorer = Callable[..., list[float | None]]
@@ -114,6 +117,36 @@ def prompt_z(df: DataFrame, group: str, score: str, min_count: int = 16, eps: fl
     return out.withColumn("advantage", (s - mean) / deviation).drop("_n", "_m", "_d", "_am", "_ad")
 
 
+def rolling_prompt_z(
+    df: DataFrame, group: str, batch: str, order: Sequence[str], score: str, buffer: int = 16, min_count: int = 16,
+    eps: float = 1e-6, buckets: int | None = None,
+) -> DataFrame:
+    """Standard score within the prompt's last `buffer` scores up to the end of the row's
+    batch; over the batch while the buffer holds fewer than `min_count`. `batch` and `order`
+    (unique in a prompt's batch) say what came when. A missing score has no standard score
+    and takes no place in the buffer. A prompt of any size is cut into ranges that get copies
+    of `buffer` - 1 rows from the one before."""
+    known = df.filter(F.col(score).isNotNull()).select(group, batch, *order, score)
+    known = saved(known)  # cut into ranges and read again
+
+    def moments(w):
+        w = w.rowsBetween(-(buffer - 1), 0)
+        return {"_n": F.count(score).over(w), "_m": F.avg(score).over(w), "_d": F.stddev_pop(score).over(w)}
+
+    rolled = bounded_window(known, [group], [batch, *order], buffer - 1, moments, buckets)
+    # a row per prompt and batch: the buffer as the batch leaves it
+    ends = rolled.groupBy(F.col(group).alias("_g"), F.col(batch).alias("_b")).agg(
+        F.max_by(F.struct("_n", "_m", "_d"), F.struct(*order)).alias("_buffer")
+    )
+    whole = known.groupBy(F.col(batch).alias("_wb")).agg(F.avg(score).alias("_am"), F.stddev_pop(score).alias("_ad"))
+    out = df.join(ends, F.col(group).eqNullSafe(F.col("_g")) & F.col(batch).eqNullSafe(F.col("_b")), "left")
+    out = out.join(whole, F.col(batch).eqNullSafe(F.col("_wb")), "left")
+    few = F.col("_buffer._n") < min_count
+    mean = F.when(few, F.col("_am")).otherwise(F.col("_buffer._m"))
+    deviation = F.when(few, F.col("_ad")).otherwise(F.col("_buffer._d")) + eps
+    return out.withColumn("advantage", (F.col(score) - mean) / deviation).drop("_g", "_b", "_buffer", "_wb", "_am", "_ad")
+
+
 def completion_report(df: DataFrame, length: str = "length", terminated: str = "terminated") -> DataFrame:
     n, size, done = F.count(F.lit(1)), F.col(length), F.col(terminated)
     ended = F.when(done, size)
@@ -155,9 +188,10 @@ def class_margin(df: DataFrame, label: Column, value: str) -> DataFrame:
 
 
 def unique_prompts(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row per key. An aggregation, so repeats of a hot key are
-    dropped in each task before the shuffle."""
-    first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_first"))
+    """The first row per key; rows without an order come first. An aggregation, so repeats
+    of a hot key are dropped in each task before the shuffle."""
+    place = F.struct(F.col(order).isNotNull(), order)  # a struct is never NULL, so no row is passed over
+    first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), place).alias("_first"))
     return first.select("_first.*")
 
 

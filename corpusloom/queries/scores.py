@@ -119,6 +119,29 @@ _advantage(
 )
 
 
+_BUFFER = "(PARTITION BY prompt_id ORDER BY batch, completion_id ROWS 15 PRECEDING)"
+
+
+@query(
+    "rolling_prompt_z",
+    f"""WITH {_W}, b AS (SELECT prompt_id, completion_id, completion_id // 2000 AS batch, CASE WHEN completion_id % 9 <> 0 THEN score END AS score FROM w),
+    r AS (SELECT prompt_id, batch, completion_id, count(*) OVER o AS n, avg(score) OVER o AS m, stddev_pop(score) OVER o AS d
+        FROM b WHERE score IS NOT NULL WINDOW o AS {_BUFFER}),
+    e AS (SELECT prompt_id, batch, arg_max(n, completion_id) AS n, arg_max(m, completion_id) AS m, arg_max(d, completion_id) AS d FROM r GROUP BY ALL),
+    a AS (SELECT batch, avg(score) AS am, stddev_pop(score) AS ad FROM b GROUP BY batch)
+    SELECT completion_id, round(CASE WHEN n < 10 THEN (score - am) / (ad + 1e-6) ELSE (score - m) / (d + 1e-6) END, 4) AS advantage
+    FROM b LEFT JOIN e USING (prompt_id, batch) LEFT JOIN a USING (batch)""",
+)
+def rolling_prompt_z(spark, d):
+    """Batches of 2,000 completions; every ninth has no score."""
+    rows = weighted(spark, d).select(
+        "prompt_id", "completion_id", F.expr("completion_id div 2000").alias("batch"),
+        F.when(F.col("completion_id") % 9 != 0, F.col("score")).alias("score"),
+    )
+    out = scoring.rolling_prompt_z(rows, "prompt_id", "batch", ["completion_id"], "score", 16, 10)
+    return _rounded(out.select("completion_id", "advantage"), "advantage", digits=4)
+
+
 @query(
     "leave_one_out_standardised",
     f"""WITH {_W}, l AS (SELECT completion_id, {_LOO} AS a FROM w)

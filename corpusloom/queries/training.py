@@ -277,12 +277,13 @@ def sampled_rows(spark, d):
 
 @query(
     "sampled_with_repeats",
-    f"""WITH n AS (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) AS place, count(*) OVER () AS rows FROM labels),
+    f"""WITH h AS (SELECT doc_id, quality, md5('3:' || doc_id) AS h, {S.md5_number("'3:' || doc_id", 15)} % 64 AS bucket FROM labels),
+    n AS (SELECT doc_id, quality, row_number() OVER (ORDER BY bucket, h, doc_id) AS place, count(*) OVER () AS rows FROM h),
     dr AS (SELECT unnest(range(1, least(512, (SELECT count(*) FROM labels)) + 1)) AS draw)
     SELECT doc_id, quality, draw FROM dr JOIN n ON place = {S.md5_number("'3:' || draw", 15)} % rows + 1""",
 )
 def sampled_with_repeats(spark, d):
-    return batches.sample_with_repeats(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", 512, 3)
+    return batches.sample_with_repeats(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", 512, 3, 64)
 
 
 @query("repeated_rows", "SELECT item_id, unnest(range(0, 4)) AS copy, md5('1:' || item_id) AS shuffle_key FROM benchmark")

@@ -7,6 +7,7 @@ from corpusloom.functions.text import safe_stem
 from corpusloom.operators import web
 from corpusloom.queries import query, sqltext as S
 from corpusloom.session import table
+from corpusloom.sources import sitemaps
 
 
 def _unescape(e: str) -> str:
@@ -137,3 +138,37 @@ def page_metadata(spark, d):
     text = web.article_text(F.col("title"), F.col("url"), F.col("content"), F.col("sections"))
     files = articles(spark, d).select("page_id", text.alias("value"))
     return files.select("page_id", article.metadata(F.col("value"), "site").alias("m")).select("page_id", "m.*")
+
+
+@query(
+    "sitemap_pages",
+    """SELECT url FROM pages WHERE contains(url, '/en/') AND (page_id // 20) % 4 <> 3
+    UNION ALL SELECT url FROM pages WHERE contains(url, '/en/') AND page_id // 20 = 0""",
+)
+def sitemap_pages(spark, d):
+    """Sitemaps of 20 pages each, built from the pages; every fourth is not named as wanted. Ten
+    of them are listed by an index, these by one more, which names itself,
+    a copy of the first one, whose pages so come twice, and one that was not fetched."""
+    pages = table(spark, d, "pages").select("url", F.expr("page_id div 20").alias("n"))
+    name = F.when(F.col("n") % 4 == 3, "media").otherwise("topic")
+    own = F.concat(F.lit("https://maps.example/"), F.col("n").cast("string"), F.lit("/"), name, F.lit(".xml"))
+
+    def document(rows, key, root, tag, loc):
+        escaped = F.replace(F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        item = F.concat(F.lit(f"<{tag}><loc> "), escaped, F.lit(f" </loc></{tag}>"))
+        # 20 pages or 10 sitemaps in a list
+        body = F.array_join(F.sort_array(F.collect_list(item)), "")
+        head = f'<?xml version="1.0"?><{root} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+        return rows.groupBy(key.alias("address")).agg(F.concat(F.lit(head), body, F.lit(f"</{root}>")).alias("xml"))
+
+    leaves = document(pages, own, "urlset", "url", F.col("url"))
+    named = pages.select("n", own.alias("loc")).distinct()
+    index = F.concat(F.lit("https://maps.example/index"), F.expr("n div 10").cast("string"), F.lit("/topic.xml"))
+    lists = document(named, index, "sitemapindex", "sitemap", F.col("loc"))
+    top = named.select(index.alias("loc")).distinct()
+    again = spark.createDataFrame([("http://maps.example/topic.xml",), ("https://maps.example/copy/topic.xml",), ("https://gone.example/topic.xml",)], "loc string")
+    top = document(top.unionByName(again), F.lit("https://maps.example/topic.xml"), "sitemapindex", "sitemap", F.col("loc"))
+    copy = document(pages.filter("n = 0"), F.lit("https://maps.example/copy/topic.xml"), "urlset", "url", F.col("url"))
+    fetched = leaves.unionByName(lists).unionByName(top).unionByName(copy).withColumnRenamed("address", "url")
+    roots = spark.createDataFrame([("https://maps.example/topic.xml",)], "url string")
+    return sitemaps.sitemap_pages(fetched, roots, "topic.xml", "/en/")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import fixed
 from corpusloom.operators.web import article_text
+from corpusloom.sources.sitemaps import fetched_sitemaps, sitemap_pages
 
 DOCUMENT_SCHEMA = (
     "id string, title string, url string, content string, authors array<string>, reviewers array<string>, "
@@ -61,21 +62,15 @@ def read_sitemap(spark: SparkSession, path: str, part: str = fixed.SITEMAP_PAGE_
 
 def read_sitemap_index(
     spark: SparkSession,
-    index_path: str,
+    index_url: str,
     folder: str,
     child_part: str = fixed.SITEMAP_CHILD_PART,
     part: str = fixed.SITEMAP_PAGE_PART,
 ) -> DataFrame:
-    """Page urls of the sitemaps that an index names. `folder` holds the fetched
-    child files; a child is found by the last part of its url, with a join, so
-    the list of children is never brought to the driver."""
-    index = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(index_path)
-    children = index.filter(F.contains("loc", F.lit(child_part))).select(
-        F.element_at(F.split(F.trim("loc"), "/"), -1).alias("_file")
-    )
-    pages = spark.read.format("xml").option("rowTag", "url").schema("loc string").load(folder)
-    pages = pages.select(F.trim("loc").alias("url"), F.url_decode(F.col("_metadata.file_name")).alias("_file"))
-    return pages.filter(F.contains("url", F.lit(part))).join(children.distinct(), "_file", "left_semi").select("url")
+    """Page urls of the sitemaps that an index names, through further indexes. `folder` holds
+    the fetched files under their hosts and paths."""
+    roots = spark.createDataFrame([(index_url,)], "url string")
+    return sitemap_pages(fetched_sitemaps(spark, folder), roots, child_part, part)
 
 
 def write_article_texts(arts: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -9,19 +9,41 @@ from corpusloom.sources import files
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
 
-def test_sitemaps(spark, tmp_path):
-    index, folder = tmp_path / "index.xml", tmp_path / "maps"
-    folder.mkdir()
-    index.write_text(
-        f"<?xml version='1.0'?><sitemapindex {NS}><sitemap><loc>https://a.org/s/topic.xml</loc></sitemap>"
-        "<sitemap><loc>https://a.org/s/media.xml</loc></sitemap></sitemapindex>"
-    )
-    leaf = "<url><loc> https://a.org/vi/professional/{0} </loc><lastmod>1</lastmod></url><url><loc>https://a.org/vi/home/{0}</loc></url>"
-    for name, number in (("topic.xml", 1), ("media.xml", 2)):
-        (folder / name).write_text(f"<?xml version='1.0'?><urlset {NS}>{leaf.format(number)}</urlset>")
-    assert [r.url for r in files.read_sitemap(spark, str(folder / "media.xml")).collect()] == ["https://a.org/vi/professional/2"]
-    got = files.read_sitemap_index(spark, str(index), str(folder)).collect()
-    assert [r.url for r in got] == ["https://a.org/vi/professional/1"]
+def test_one_sitemap(spark, tmp_path):
+    leaf = "<url><loc> https://a.org/vi/professional/1 </loc><lastmod>1</lastmod></url><url><loc>https://a.org/vi/home/1</loc></url>"
+    (tmp_path / "m.xml").write_text(f"<?xml version='1.0'?><urlset {NS}>{leaf}</urlset>")
+    assert [r.url for r in files.read_sitemap(spark, str(tmp_path / "m.xml")).collect()] == ["https://a.org/vi/professional/1"]
+
+
+def _index(*locs):
+    return f"<?xml version='1.0'?><sitemapindex {NS}>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>"
+
+
+def _leaf(*numbers):
+    urls = "".join(f"<url><loc>\n https://a.org/professional/{n}?a=1&amp;b=2 </loc></url><url><loc>https://a.org/home/{n}</loc></url>" for n in numbers)
+    return f"<?xml version='1.0'?><urlset {NS}>{urls}</urlset>"
+
+
+def test_nested_sitemap_indexes(spark, tmp_path):
+    """Equal file names in several folders, a cycle, a repeat, unwanted, broken and missing ones."""
+    kept = {
+        "a.org/index.xml": _index("https://a.org/x/topic.xml", "https://a.org/y/topic.xml", "https://a.org/media.xml", " https://b.org/deep/topic.xml#z "),
+        "a.org/x/topic.xml": _leaf(1, 2),
+        "a.org/y/topic.xml": _index("http://a.org/x/topic.xml", "https://a.org/y/topic.xml", "https://a.org/index.xml", "https://a.org/m%C3%BC/topic.xml"),
+        "a.org/mü/topic.xml": _leaf(3).replace("<url>", "<s:url>").replace("</url>", "</s:url>").replace("<urlset ", "<urlset xmlns:s='u' "),
+        "a.org/media.xml": _leaf(9),
+        "a.org/other/topic.xml": _leaf(8),
+        "b.org/deep/topic.xml": _index("https://b.org/broken/topic.xml", "https://b.org/missing/topic.xml", "https://b.org/leaf/topic.xml"),
+        "b.org/broken/topic.xml": "<urlset><url><loc>https://a.org/professional/7",
+        "b.org/leaf/topic.xml": _leaf(4, 4),
+    }
+    for name, text in kept.items():
+        path = tmp_path / "maps" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    got = files.read_sitemap_index(spark, "https://a.org/index.xml", str(tmp_path / "maps")).collect()
+    assert sorted(r.url for r in got) == [f"https://a.org/professional/{n}?a=1&b=2" for n in (1, 2, 3, 4, 4)]
+    assert files.read_sitemap_index(spark, "https://gone.org/index.xml", str(tmp_path / "maps")).count() == 0
 
 
 DOC = {

@@ -1,8 +1,10 @@
 """Token arrays, preference rows, packing, samples and scores on small tables."""
 
 import math
+import random
 import statistics
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -205,3 +207,76 @@ def test_unpair_and_fit(spark):
     assert [tuple(r) for r in preferences.unpair(df).collect()] == [("p", "c", True), ("p", "r", False)]
     pairs = spark.createDataFrame([([1], [1, 2]), ([1], [1])], "chosen array<int>, rejected array<int>")
     assert preferences.fitting_pairs(pairs, 1).count() == 1
+
+
+def _rolling(rows, buffer, least):
+    """By brute force, batch after batch."""
+    kept, out = {}, {}
+    for batch in sorted({r[1] for r in rows}):
+        own = [r for r in sorted(rows, key=lambda r: (r[1], r[2])) if r[1] == batch]
+        scored = [r for r in own if r[3] is not None]
+        for p in {r[0] for r in scored}:
+            kept[p] = (kept.get(p, []) + [r[3] for r in scored if r[0] == p])[-buffer:]
+        for p, _, order, score in own:
+            use = kept.get(p, []) if len(kept.get(p, [])) >= least else [r[3] for r in scored]
+            out[order] = None if score is None else (score - np.mean(use)) / (np.std(use) + 1e-6)
+    return out
+
+
+def test_rolling_buffers(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), i // 50, i, rng.choice([None, rng.random(), 5 * rng.random()])) for i in range(400)]
+    df = spark.createDataFrame(rows, "p long, batch int, i int, score double").repartition(6)
+    for buffer, least in ((16, 10), (3, 3), (1, 1), (200, 30)):
+        got = {r.i: r.advantage for r in scoring.rolling_prompt_z(df, "p", "batch", ["i"], "score", buffer, least, buckets=5).collect()}
+        want = _rolling(rows, buffer, least)
+        assert set(got) == set(want)
+        assert all((got[i] is None) == (want[i] is None) and (want[i] is None or abs(got[i] - want[i]) < 1e-6 * (1 + abs(want[i]))) for i in want)
+    assert scoring.rolling_prompt_z(df.limit(0), "p", "batch", ["i"], "score").count() == 0
+
+
+def test_rolling_buffers_of_a_stream(spark, tmp_path):
+    from corpusloom.streaming import scores, sessions
+
+    rng = random.Random(9)
+    rows = [(rng.choice("aaaab"), i, rng.choice([None, 1e6 + rng.random()])) for i in range(120)]
+    for batch in range(4):
+        part = spark.createDataFrame(rows[batch * 30 : batch * 30 + 30], "prompt_id string, place long, score double")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema("prompt_id string, place long, score double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    seen = {}
+
+    def store(batch, number):
+        seen.update({(number, r.prompt_id): (r.n, r.mean, r.deviation) for r in batch.collect()})
+
+    assert sessions.start(scores.prompt_buffers(stream, 7), store, str(tmp_path / "c")).awaitTermination(180)
+    for (number, prompt), (n, mean, deviation) in seen.items():
+        last = [s for p, i, s in rows if p == prompt and s is not None and i < number * 30 + 30][-7:]
+        assert n == len(last) and abs(mean - np.mean(last)) < 1e-6 and abs(deviation - np.std(last)) < 1e-6
+    assert len(seen) >= 6
+
+
+def test_first_rows_without_an_order(spark):
+    df = spark.createDataFrame([("a", None, 1), ("b", None, 2), ("b", 1, 3), ("c", 5, 4), ("c", 4, 5)], "k string, o int, v int")
+    assert sorted((r.k, r.v) for r in scoring.unique_prompts(df, "k", "o").collect()) == [("a", 1), ("b", 2), ("c", 5)]
+
+
+def test_partners_of_a_large_batch_are_joined(spark):
+    df = spark.range(1000).withColumn("v", F.col("id") * 2)
+    for mode, partner in (("reverse", lambda i, n: n - 1 - i), ("rotate", lambda i, n: (i - 1) % n)):
+        out = batches.mismatched(df, ["id"], "v", "other", 700, mode)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "Window" not in plan
+        for r in out.collect():
+            first, n = (0, 700) if r.id < 700 else (700, 300)
+            assert r.other == 2 * (first + partner(r.id - first, n)) and r.batch == r.id // 700
+
+
+def test_draws_need_no_sort_of_the_table(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    draws = batches.sample_with_repeats(df, "k", 400, 5, 32)
+    plan = draws._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    got = draws.collect()
+    assert sorted(r.draw for r in got) == list(range(1, 401)) and 340 < len({r.k for r in got}) <= 400
+    assert got and sorted(map(tuple, got)) == sorted(map(tuple, batches.sample_with_repeats(df.repartition(7), "k", 400, 5, 32).collect()))
