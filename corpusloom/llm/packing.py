@@ -4,49 +4,45 @@ Texts are tokenised once and cut into pieces of at most `length` tokens. The
 histogram of piece lengths, at most `length` numbers however many documents there
 are, is packed on the driver: lengths are placed longest first, each into the
 shortest pack that has room, and whole groups of equal packs (patterns with a
-count) are updated at once. Pieces are then ranked within their length, and rank and
-length alone say which pattern, sequence and offset a piece has."""
+count) are updated at once. Pieces are numbered within their length by the task that
+writes them, and counts of the tasks before give their rank; rank and length alone say
+which pattern, sequence and offset a piece has. Ids are written once and never moved for
+their rank."""
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from corpusloom.llm.near_dedup import text_batches
 from corpusloom.llm.shared import map_batches, shared_folder, stored
 
 LENGTH = 2048
-RANKED = 200_000  # rows ranked by one task, about
-KNOWN = 800_000  # pieces of text a Python worker remembers the ids of
+SENT = 1 << 20  # counts of (task, length) that may be sent to every task
 
-# A token never has white space after anything else, so a text can be cut before any
-# white space that follows something else, and the parts tokenised on their own.
-_PARTS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit numbers, through a
-    bounded memory of the ids of words. Words that are new in a batch of texts are
-    tokenised together."""
+    """Token ids of texts, as little-endian unsigned 32-bit numbers. A byte-level model is
+    merged by the quicker of two libraries, which gives the same ids from the same vocabulary;
+    texts that hold a special token go through the file's own."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}  # words with the space before them, and line ends
-        self.ends: dict[str, bytes] = {"": b""}  # marks at a word's end
-        self.parts: dict[str, bytes] = {}  # white space and what follows it
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.quick = _quick_encoding(json.loads(self.tokenizer.to_str()))
 
     @staticmethod
     def at(path: str) -> Encoder:
@@ -54,54 +50,35 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def ids(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        split = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
-        new = set().union(*[set(words).difference(self.known) for words in split])
-        self._learn(new)
-        return [self._joined(text, words) for text, words in zip(texts, split)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Marks after a letter start a token, so they are looked up on their own."""
-        self.known.update(dict.fromkeys(new))
-        plain = [w for w in new if w == "\n" or _core(w)]
-        stems = [w.rstrip(MARKS) for w in plain]
-        stems = [s if s[-1:].isalpha() else w for w, s in zip(plain, stems)]
-        ends = [w[len(s) :] for w, s in zip(plain, stems)]
-        self._add(self.ends, set(ends))
-        self._add(self.known, {s for s in stems if self.known.get(s) is None})
-        for w, s, end in zip(plain, stems, ends):
-            if end:
-                self.known[w] = self.known[s] + self.ends[end]
-
-    def _add(self, known: dict, parts: set[str]) -> None:
-        parts = list(parts if known is self.known else parts.difference(known))
-        known.update(zip(parts, self.ids(parts)))
-
-    def _joined(self, text: str, words: list[str]) -> bytes:
-        if not text:
-            return b""
-        try:
-            if "\0" not in text:
-                return b"".join(map(self.known.__getitem__, words))
-        except TypeError:  # a word is None: white space beyond single spaces and line ends
-            pass
-        if len(self.parts) > KNOWN // 4:
-            self.parts.clear()
-        parts = _PARTS.findall(text)
-        self._add(self.parts, set(parts))
-        return b"".join(map(self.parts.__getitem__, parts))
-
-
-def _core(word: str) -> bool:
-    """Whether there is something, without white space at an end, after one space."""
-    core = word[1:] if word[:1] == " " else word
-    return core != "" and core == core.strip()
+        return [np.asarray(self._ids(t), "<u4").tobytes() for t in texts]
+
+    def _ids(self, text: str) -> list[int]:
+        if self.quick and not any(x in text for x in self.special):
+            return self.quick.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+#: The pattern that byte-level models split text by before merges (a fixed value).
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _quick_encoding(model: dict):
+    """The same byte-level model for the other library; None for other models, and where ids
+    are not in the order of the merges."""
+    import tiktoken
+
+    own, split = model["model"], model["pre_tokenizer"] or {}
+    if own["type"] != "BPE" or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or model["normalizer"]:
+        return None
+    merged = [own["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in own["merges"]]
+    added = {t["content"] for t in model["added_tokens"]}
+    shown = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    ranks = {bytes(letters[c] for c in token): i for token, i in own["vocab"].items() if token not in added}
+    if merged != sorted(merged) or len(ranks) != len(merged) + 256 or max(ranks.values()) != len(ranks) - 1:
+        return None
+    return tiktoken.Encoding("quick", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
 @dataclass
@@ -156,12 +133,11 @@ def pack(
     one by one, so rows with equal or null doc_id are documents of their own. Other
     columns are ignored. An empty table gives no rows."""
     folder = folder or shared_folder(docs.sparkSession)
-    pieces = stored(
-        token_pieces(docs, tokenizer, length, end, payload).withColumn("piece", F.monotonically_increasing_id()), folder, "pieces"
-    )
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pieces = stored(token_pieces(docs, tokenizer, length, end, payload), folder, "pieces")
+    per_task = stored(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), folder, "counts")
+    counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = _slots(docs.sparkSession, pack_histogram(counts, length), counts)
-    ranked = _ranked(pieces, counts)
+    ranked = _ranked(pieces, per_task)
     # at most `length` rows
     placed = ranked.join(F.broadcast(slots), ranked["length"] == slots["size"])
     slot = F.get(F.filter("slots", lambda s: (s["from"] <= F.col("rank")) & (F.col("rank") < s["to"])), F.lit(0))
@@ -174,16 +150,18 @@ def pack(
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 1, payload: str = "ids") -> DataFrame:
-    """doc_id, start, length, doc_tokens and the payload (see pack) of each piece."""
+    """doc_id, start, length, doc_tokens and the payload (see pack) of each piece, with the
+    task that made it and its number (`within`, from 0) among that task's pieces of the length."""
     kinds = {"ids": T.ArrayType(T.IntegerType()), "ids_crc32": T.LongType()}
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])
-    for name in ("start", "length", "doc_tokens"):
+    for name in ("start", "length", "doc_tokens", "task", "within"):
         schema.add(name, T.LongType())
     schema.add(payload, kinds[payload])
     last = np.asarray([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
+        task, made = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for batch in text_batches(batches):
             rows, starts, parts, totals = [], [], [], []
             texts = [t.decode() for t in batch.column("text").to_pylist()]
@@ -195,6 +173,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int
                     parts.append(ids[start : start + 4 * length])
                     totals.append(len(ids) // 4)
             sizes = np.asarray([len(p) // 4 for p in parts], np.int64)
+            order = np.argsort(sizes, kind="stable")
+            firsts = np.searchsorted(sizes[order], sizes[order])
+            within = np.empty(len(sizes), np.int64)
+            within[order] = np.arange(len(sizes)) - firsts + made[sizes[order]]
+            made += np.bincount(sizes, minlength=length + 1)
             if payload == "ids_crc32":
                 value = pa.array([zlib.crc32(p) for p in parts], pa.int64())
             else:
@@ -206,6 +189,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int
                     "start": pa.array(starts, pa.int64()),
                     "length": pa.array(sizes),
                     "doc_tokens": pa.array(totals, pa.int64()),
+                    "task": pa.array([task] * len(rows), pa.int64()),
+                    "within": pa.array(within),
                     payload: value,
                 }
             )
@@ -231,18 +216,14 @@ def _slots(spark, patterns: list[Pattern], counts: dict[int, int]) -> DataFrame:
     return spark.createDataFrame(list(rows.items()), f"size bigint, slots array<{slot}>")
 
 
-def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """`rank` from 0 among the pieces of a length. A common length is ranked in
-    parts, by hash, so that no task gets many more than RANKED rows."""
-    spark = pieces.sparkSession
-    parts = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()], "size bigint, parts bigint")
-    # one row for each length, at most LENGTH
-    tagged = pieces.join(F.broadcast(parts), pieces["length"] == parts["size"]).drop("size")
-    tagged = tagged.withColumn("part", F.pmod(F.xxhash64("piece"), "parts")).drop("parts")
-    per = tagged.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select(F.col("length").alias("l"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("piece")) - 1
-    ranked = tagged.withColumn("within", within)
-    joined = ranked.join(before, (F.col("length") == F.col("l")) & (F.col("part") == F.col("p")))
-    return joined.withColumn("rank", F.col("before") + F.col("within")).drop("l", "p", "part", "before", "within", "piece")
+def _ranked(pieces: DataFrame, per_task: DataFrame) -> DataFrame:
+    """`rank` from 0 among the pieces of a length: a piece's number in its task behind those
+    of the tasks before. The tasks' counts go to all tasks while there are at most SENT of them;
+    beyond that both sides are dealt out by (task, length), which no length makes hot."""
+    ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_task.select(
+        F.col("task").alias("_task"), F.col("length").alias("_length"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before")
+    )
+    side = F.broadcast(before) if per_task.count() <= SENT else before.hint("shuffle_hash")
+    joined = pieces.join(side, (F.col("task") == F.col("_task")) & (F.col("length") == F.col("_length")))
+    return joined.withColumn("rank", F.col("_before") + F.col("within")).drop("_task", "_length", "_before", "task", "within")

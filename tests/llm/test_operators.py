@@ -378,3 +378,16 @@ def test_benchmark_passages(spark):
 
 def test_sha_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_both_libraries_give_the_same_ids():
+    from tokenizers import Tokenizer
+
+    encoder, plain = Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    assert encoder.quick is not None
+    rng = random.Random(11)
+    letters = "aaabcdeE  \n\t\r.,!?'sletvm019é  ́日\U0001f600\x1c\x00‍-_#"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(4000)]
+    texts += ["", "<|endoftext|>", "a <|endoftext|> b", "x" * 5000, " \n \n  x", "it's we'll  I'M"]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
