@@ -10,7 +10,7 @@ from corpusloom.functions import fixed
 from corpusloom.functions.text import SPACE, clean_text, let, strip
 
 _U = "(?U)"
-_SPLIT, _NAME_END = "\ufdd0", "\ufdd1"  # Unicode noncharacters, never part of text
+_SPLIT, _NAME_END, _FAR, _TAKEN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"  # Unicode noncharacters, never part of text
 
 
 def _contains_any(c: Column, parts) -> Column:
@@ -125,13 +125,16 @@ def references(content: Column, limit: int = 10) -> Column:
     return F.slice(F.array_distinct(F.transform(kept, lambda x: clean_text(x))), 1, limit)
 
 
+def _names() -> str:
+    return "|".join(re.escape(head) for head in sorted(fixed.SECTION_HEADERS, key=len, reverse=True))
+
+
 def _section_start() -> str:
     """Where a section's text starts: behind a header between pipes, or behind a
     header, white space and before a capital, unless another header follows
     within 50 characters. Every alternative has its header as a group."""
     heads = sorted(fixed.SECTION_HEADERS, key=len, reverse=True)
-    names = "|".join(re.escape(head) for head in heads)
-    starts = [rf"({names})(?<=\|{SPACE}{{0,100}}(?:{names})){SPACE}*\|"]
+    starts = [rf"({_names()})(?<=(?:\|{SPACE}{{0,100}}|{_FAR})(?:{_names()})){SPACE}*\|"]
     for head in heads:
         others = "|".join(f".{{0,{50 - len(other)}}}{re.escape(other)}" for other in heads if other != head)
         starts.append(f"({re.escape(head)}){SPACE}+(?=[{fixed.SECTION_CAPITALS}])(?!{others})")
@@ -139,22 +142,22 @@ def _section_start() -> str:
     return f"(?sU)(?=[{initials}])(?:{'|'.join(starts)})"
 
 
-def _wide_gap() -> str:
-    """A left pipe and more white space before a header than a look-behind can span."""
-    names = "|".join(re.escape(head) for head in sorted(fixed.SECTION_HEADERS, key=len, reverse=True))
-    return rf"(?U)\|{SPACE}{{100,}}+(?=(?:{names}))"
-
-
 _START = _section_start()
-_WIDE_GAP = _wide_gap()
 _HEADER = "".join(f"${i}" for i in range(1, len(fixed.SECTION_HEADERS) + 2))  # one of them is set
+# a left pipe and more white space before a header than a look-behind can span
+_WIDE_GAP = rf"(?U)\|{SPACE}{{100,}}+(?=(?:{_names()}))"
+# a header between pipes and the same one behind it: its left pipe is taken
+_TAKEN_PIPE = rf"(?U)(\|{SPACE}*+({_names()}){SPACE}*+\|{SPACE}*+)(?=\2{SPACE}*+\|)"
 
 
 def section_entries(content: Column) -> Column:
-    """All sections as (header, text), in text order, bad lengths left out."""
-    close = F.regexp_replace(content, _WIDE_GAP, "| ")
-    marked = F.regexp_replace(close, _START, f"$0{_SPLIT}{_HEADER}{_NAME_END}")
-    pieces = F.slice(F.split(marked, _SPLIT), 2, 1 << 30)
+    """All sections as (header, text), in text order, bad lengths left out. Headers
+    whose left pipe is far away, or taken by the same header before, get a mark that
+    does not count as text."""
+    marked = F.regexp_replace(content, _TAKEN_PIPE, f"$1{_TAKEN}")
+    marked = F.regexp_replace(marked, _WIDE_GAP, f"$0{_FAR}")
+    marked = F.regexp_replace(marked, _START, f"$0{_SPLIT}{_HEADER}{_NAME_END}")
+    pieces = F.slice(F.split(F.translate(marked, _FAR + _TAKEN, ""), _SPLIT), 2, 1 << 30)
     entries = F.transform(
         pieces,
         lambda piece: F.struct(

@@ -87,22 +87,50 @@ def full_piece(
     return F.when(first, F.concat(_block(F.lit("system"), system), turn)).otherwise(turn)
 
 
-def full_chat(messages: Column, calls: bool = False, tools: Column | None = None, open_answer: bool = False) -> Column:
+def spaced_json(text: Column) -> Column:
+    """JSON on one line with a space behind each comma and colon, as templates write it;
+    the order of keys stays."""
+    parts = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"]+'), F.lit(0))
+    outside = lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", ""), "([,:])", "$1 ")
+    return F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(outside(p))), "")
+
+
+def json_calls(text: Column) -> Column:
+    """A JSON array of tool calls -> array of (name, arguments as JSON), for `full_piece`.
+    A call may stand in a field `function`. Arguments are any JSON value, nested to any
+    depth; missing ones are null. What is no array of objects gives NULL."""
+    calls = F.from_json(text, "array<string>")
+
+    def one(call: Column) -> Column:
+        inner = F.coalesce(F.get_json_object(call, "$.function"), call)
+        plain = F.get_json_object(inner, "$.arguments")
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(inner), "$.arguments", "variant"))
+        quoted = F.to_json(F.array(plain))
+        value = F.when(kind == "STRING", F.substring(quoted, 2, F.length(quoted) - 2)).otherwise(spaced_json(plain))
+        return F.struct(F.get_json_object(inner, "$.name").alias("name"), F.coalesce(value, F.lit("null")).alias("arguments"))
+
+    return F.transform(calls, one)
+
+
+def full_chat(
+    messages: Column, calls: bool | str = False, tools: Column | None = None, open_answer: bool = False
+) -> Column:
     """Full template over an array of messages. With `calls` the messages have a
-    field tool_calls; `tools` is an array of JSON texts."""
+    field tool_calls: an array of (name, arguments as JSON), or with calls="json" JSON text
+    that `json_calls` reads; `tools` is an array of JSON texts."""
 
     def piece(m, i):
         return full_piece(
             m["role"], F.coalesce(m["content"], F.lit("")), i == 0,
             F.when(i > 0, F.get(messages, i - 1)["role"]), F.get(messages, i + 1)["role"],
-            m["tool_calls"] if calls else None, tools is not None,
+            json_calls(m["tool_calls"]) if calls == "json" else m["tool_calls"] if calls else None, tools is not None,
         )
 
     text = F.array_join(F.transform(messages, piece), "")
     if tools is not None:
         first = F.get(messages, F.lit(0))
         system = F.when(first["role"] == "system", first["content"]).otherwise(fixed.CHATML_DEFAULT_FULL)
-        listed = F.array_join(F.transform(tools, lambda t: F.concat(F.lit("\n"), t)), "")
+        listed = F.array_join(F.transform(tools, lambda t: F.concat(F.lit("\n"), spaced_json(t))), "")
         text = F.concat(
             F.lit(_START + "system\n"), system, F.lit(fixed.TOOLS_LEAD), listed, F.lit(fixed.TOOLS_TAIL), text
         )

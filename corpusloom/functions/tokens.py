@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions import fixed
 from corpusloom.functions.text import words
 
 # A tokenizer turns a batch of texts into one list of token numbers per text.
 Tokenizer = Callable[[Sequence[str]], list[list[int]]]
+# A formatting turns a row, its values by column, into the texts to train on.
+Formatting = Callable[[dict], list[str]]
 
 
 def keep_first(tokens: Column, n: int | None) -> Column:
@@ -51,12 +54,39 @@ def word_tokens(text: Column | str, limit: int | None = None) -> Column:
     return keep_first(words(text), limit)
 
 
+def formatted(df: DataFrame, formatting: Formatting, keep: Sequence[str], out: str = "text") -> DataFrame:
+    """The texts that `formatting` makes of each row, none to many: `keep`, `place` (from 0
+    in the row) and the text, in Arrow batches."""
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("place", T.IntegerType()), T.StructField(out, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [formatting(row) for row in batch.to_pylist()]
+            if any(isinstance(t, str) for t in texts):
+                raise ValueError("formatting gives a list of texts for each row")
+            rows = pa.array([i for i, t in enumerate(texts) for _ in t], pa.int64())
+            columns = [batch.column(c).take(rows) for c in keep]
+            places = pa.array([i for t in texts for i in range(len(t))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*columns, places, pa.array([x for t in texts for x in t], pa.string())], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def begin_is_written(df: DataFrame, text: str, begin: str, order: Sequence[str], template: str = "") -> bool:
+    """Whether texts bring their begin token: the first one starts with it, or the template
+    that made them holds it. One row is read, once for a table."""
+    first = df.orderBy(*order).select(text).first()
+    return begin in template or bool(first and (first[0] or "").startswith(begin))
+
+
 def tokenize(
     df: DataFrame, text: str, out: str = "input_ids", tokenizer: Tokenizer | None = None, limit: int | None = None,
-    begin=None, skip: tuple[str, ...] = ("labels", "input_ids"),
+    begin=None, skip: tuple[str, ...] = ("labels", "input_ids"), written: bool | None = None, mask: str | None = None,
 ) -> DataFrame:
     """Add tokens of a text column, cut to `limit`. A table that has tokens is
-    returned as it is. `begin` is added once, also when the text has it."""
+    returned as it is. `begin` is added once, also when the text has it; with `written`
+    (see `begin_is_written`) the whole table goes by that, and it is added to all texts or to
+    none. `mask` names a column with a 1 for each token."""
     if any(c in df.columns for c in skip):
         return df
     if tokenizer is None:
@@ -68,7 +98,12 @@ def tokenize(
 
         run.__annotations__ = {"s": pd.Series, "return": pd.Series}
         tokens = F.pandas_udf(run, "array<bigint>")(text)
-    return df.withColumn(out, keep_first(with_begin(tokens, begin), limit))
+    if written is None:
+        tokens = with_begin(tokens, begin)
+    elif begin is not None and not written:
+        tokens = F.concat(F.array(F.lit(begin)), tokens)
+    df = df.withColumn(out, keep_first(tokens, limit))
+    return df if mask is None else df.withColumn(mask, F.array_repeat(F.lit(1), F.size(out)))
 
 
 def masked_labels(prompt: Column, answer: Column, ignore=fixed.IGNORE_LABEL) -> Column:

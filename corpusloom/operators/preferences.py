@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.functions.chat import is_conversational
 from corpusloom.functions import fixed
 from corpusloom.functions.text import let
 from corpusloom.functions.tokens import keep_first, keep_last, masked_labels, truncate, with_begin, with_end
@@ -47,12 +48,13 @@ def split_prompt(a: Column, b: Column) -> Column:
 
 
 def extract_prompt(df: DataFrame) -> DataFrame:
-    """Split off the shared start of chosen and rejected as the prompt. Rows
-    that have a prompt stay as they are."""
+    """Split off the shared start of chosen and rejected as the prompt: of texts, or of
+    conversations their shared messages. Rows that have a prompt stay as they are."""
     if "prompt" in df.columns:
         return df
     rest = [c for c in df.columns if c not in ("chosen", "rejected")]
-    parts = df.select(*rest, split_prompt(F.col("chosen"), F.col("rejected")).alias("_p"))
+    form = extract_prompt_messages if is_conversational(df.schema["chosen"].dataType) else split_prompt
+    parts = df.select(*rest, form(F.col("chosen"), F.col("rejected")).alias("_p"))
     return parts.select(*rest, "_p.*")
 
 

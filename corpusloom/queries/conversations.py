@@ -357,3 +357,37 @@ def rendered_chat_rows(spark, d):
     rows = chat.render_if_chat(rows, ["full_text", "plain"])
     rows = chat.render_if_chat(rows, ["simple_text"], chat.simple_chat)
     return rows.select("session_id", "turn", "full_text", "simple_text", "plain")
+
+
+_CALL = """'{"name": "tìm", "arguments": {"turn": ' || turn || ', "q": "a, b: \\"c\\"", "deep": {"z": [1, 2.5, null], "a": {"e": true}}}}'"""
+
+
+@query(
+    "tool_chat",
+    f"""WITH {M}, t AS (SELECT session_id, turn, CASE WHEN turn % 3 = 2 AND role = 'user' THEN 'tool' ELSE role END AS role,
+        CASE WHEN turn % 4 = 1 THEN '' ELSE content END AS content, role = 'assistant' AND turn % 4 = 1 AS calls FROM messages WHERE turn < 5),
+    n AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS behind, row_number() OVER w = 1 AS first FROM t WINDOW w AS (PARTITION BY session_id ORDER BY turn)),
+    p AS (SELECT session_id, turn, CASE WHEN first THEN {_block("'system'", f"CASE WHEN role = 'system' THEN content ELSE {S.lit(fixed.CHATML_DEFAULT_FULL)} END")} ELSE '' END
+        || CASE WHEN role = 'tool' THEN CASE WHEN before IS DISTINCT FROM 'tool' THEN '<|im_start|>user' ELSE '' END || chr(10) || '<tool_response>' || chr(10) || content
+            || chr(10) || '</tool_response>' || CASE WHEN behind IS DISTINCT FROM 'tool' THEN '<|im_end|>' || chr(10) ELSE '' END
+        WHEN calls THEN '<|im_start|>assistant' || chr(10) || '<tool_call>' || chr(10) || {_CALL} || chr(10) || '</tool_call>' || chr(10) || '<tool_call>' || chr(10)
+            || '{{"name": "g", "arguments": "x: 1"}}' || chr(10) || '</tool_call><|im_end|>' || chr(10)
+        WHEN role = 'system' AND first THEN '' ELSE {_block('role', 'content')} END AS text FROM n)
+    SELECT session_id, string_agg(text, '' ORDER BY turn) AS text FROM p GROUP BY session_id""",
+)
+def tool_chat(spark, d):
+    """The first five messages of each conversation, some answered by nested tool calls."""
+    rows = messages(spark, d).filter("turn < 5")
+    call = F.concat(
+        F.lit('[{"type":"function","function":{"name":"tìm","arguments":{"turn":'), F.col("turn").cast("string"),
+        F.lit(', "q" : "a, b: \\"c\\"","deep":{"z":[1,2.50,null],"a":{"e":true}}}}}, {"name":"g","arguments":"x: 1"}]'),
+    )
+    called = (F.col("role") == "assistant") & (F.col("turn") % 4 == 1)
+    message = F.struct(
+        "turn",
+        F.when((F.col("turn") % 3 == 2) & (F.col("role") == "user"), "tool").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("turn") % 4 == 1, "").otherwise(F.col("content")).alias("content"),
+        F.when(called, call).alias("tool_calls"),
+    )
+    chats = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(message)).alias("m"))  # five at most
+    return chats.select("session_id", chat.full_chat(F.col("m"), calls="json").alias("text"))

@@ -90,6 +90,48 @@ def word_tokens(spark, d):
 
 
 
+def _texts(row: dict) -> list[str]:
+    """The whole turn, and the answer once more where the question is short; none for turn 2."""
+    if row["turn"] == 2:
+        return []
+    whole = f"<s> {row['question']} {row['answer']}"
+    return [whole, row["answer"]] if len(row["question"]) < 400 else [whole]
+
+
+@query(
+    "formatted_tokens",
+    f"""WITH {M}, {_QA}, f AS (SELECT session_id, turn, 0 AS place, '<s> ' || question || ' ' || answer AS text FROM qa WHERE turn <> 2
+        UNION ALL SELECT session_id, turn, 1, answer FROM qa WHERE turn <> 2 AND length(question) < 400),
+    t AS (SELECT session_id, turn, place, {_words('text')}[1:64] AS w FROM f)
+    SELECT session_id, turn, place, {_j('w')} AS input_ids, len(w) AS ones FROM t""",
+)
+def formatted_tokens(spark, d):
+    """Several texts a row. The first brings its begin token, so none is added to any."""
+    rows = T.formatted(qa_pairs(spark, d), _texts, ["session_id", "turn"])
+    written = T.begin_is_written(rows, "text", "<s>", ["session_id", "turn", "place"])
+    out = T.tokenize(rows, "text", limit=64, begin="<s>", written=written, mask="attention_mask")
+    ones = F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x)
+    return out.select("session_id", "turn", "place", F.array_join("input_ids", " ").alias("input_ids"), ones.cast("long").alias("ones"))
+
+
+@query(
+    "extracted_prompt_messages",
+    f"""WITH {M}, {_QA} SELECT session_id, turn, 'user: ' || question AS prompt,
+    'assistant: ' || answer AS chosen, 'assistant: ' || substring(answer, 41) AS rejected FROM qa""",
+)
+def extracted_prompt_messages(spark, d):
+    """Conversations that share their first message."""
+
+    def said(answer):
+        message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+        return F.array(message("user", F.col("question")), message("assistant", answer))
+
+    short = F.substr("answer", F.lit(41), F.length("answer"))
+    rows = qa_pairs(spark, d).select("session_id", "turn", said(F.col("answer")).alias("chosen"), said(short).alias("rejected"))
+    line = lambda c: F.array_join(F.transform(c, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias(c)
+    return preferences.extract_prompt(rows).select("session_id", "turn", line("prompt"), line("chosen"), line("rejected"))
+
+
 def _last(x: str, n: int) -> str:
     return f"CASE WHEN len({x}) > {n} THEN list_slice({x}, len({x}) - {n} + 1, len({x})) ELSE {x} END"
 

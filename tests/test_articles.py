@@ -61,12 +61,15 @@ def between(text, lead, *ends):
 def sections_of(content):
     starts = {}
     for head in fixed.SECTION_HEADERS:
+        free = 0  # pipes before are taken by the header itself
         for m in re.finditer(re.escape(head), content):
             rest = content[m.end():]
             gap = len(rest) - len(rest.lstrip())
             near = rest[gap : gap + 50]
-            if content[: m.start()].rstrip().endswith("|") and near.startswith("|"):
+            left = content[: m.start()].rstrip()
+            if left.endswith("|") and len(left) > free and near.startswith("|"):
                 starts[m.end() + gap + 1] = head
+                free = m.end() + gap + 1
             elif gap and re.match(f"[{fixed.SECTION_CAPITALS}]", near) and sum(h in near for h in fixed.SECTION_HEADERS if h != head) == 0:
                 starts[m.end() + gap] = head
     places = sorted(starts) + [len(content)]
@@ -162,3 +165,18 @@ def test_instruction_rows_and_statistics(spark):
     assert (s.documents, s.characters, s.characters_per_document, s.sections, s["references"], s.with_author, s.with_reviewer) == (2, 1001, 500, 2, 1, 1, 0)
     empty = documents.statistics(docs.limit(0)).first()
     assert (empty.documents, empty.characters, empty.characters_per_document) == (0, 0, 0)
+
+
+def test_wide_gaps_and_repeated_headers(spark):
+    """Gaps before a header count as text, however wide; a pipe serves one header of a name."""
+    a, b, c = (h for h in fixed.SECTION_HEADERS if h in ("Căn nguyên", "Sinh lý bệnh", "Điều trị"))
+    texts = []
+    for gap in (0, 1, 49, 50, 99, 100, 101, 150, 300, 20_000):
+        texts.append(f"x | {a} | ngan |{' ' * gap}{b} | " + "phần thân của mục " * 5)
+        texts.append(f"| {a} |" + "y" * 60 + "|" + " \n" * (gap // 2) + f"{b} | " + "z " * 40 + f"|{' ' * gap}{c} Khi đó " + "w " * 30)
+        texts.append(f"|{' ' * gap}{a} | {a} |{' ' * gap}{a} | {a}| {a} | " + "một đoạn dài " * 6)
+    texts += [f"| {a} " * n + "| " + "đoạn " * 15 for n in (1, 2, 3, 4, 5)] + [f"| {a} | {b} | {a} | {a} | Nội dung " + "t " * 40]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("i", article.section_map(article.section_entries(F.col("t"))).alias("m")).collect()
+    for r in got:
+        assert list(r.m.items()) == list(dict(sections_of(texts[r.i])).items()), r.i

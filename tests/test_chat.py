@@ -108,3 +108,25 @@ def test_conversational_columns(spark):
     df = spark.createDataFrame([([("user", "q")], "plain")], "a array<struct<role:string,content:string>>, b string")
     out = chat.render_if_chat(df, ["a", "b", "missing"]).first()
     assert out.b == "plain" and out.a.endswith(block("user", "q"))
+
+
+def test_nested_tool_calls(spark):
+    calls = [
+        ('[{"function": {"name": "f", "arguments": {"x":[1,2],"s":"a:b,c \\"d\\"","n":null}}}]', [("f", '{"x": [1, 2], "s": "a:b,c \\"d\\"", "n": null}')]),
+        ('[{"name":"g","arguments":"k: \\"v\\", w"},{"name":"h"},{"name":"i","arguments":7}]', [("g", '"k: \\"v\\", w"'), ("h", "null"), ("i", "7")]),
+        ('[{"type":"function","function":{"name":"é","arguments":{"z":{"b":{"a":[{}]}},"a":"ü"}}}]', [("é", '{"z": {"b": {"a": [{}]}}, "a": "ü"}')]),
+        ("[]", []), (None, None), ("no json", None),
+    ]
+    rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(calls)], "i int, c string")
+    for r in rows.select("i", chat.json_calls(F.col("c")).alias("x")).collect():
+        want = calls[r.i][1]
+        assert (r.x and [(e.name, e.arguments) for e in r.x]) == (want or r.x and []) or (want == [] and r.x == [])
+
+
+def test_calls_as_json_render_like_calls_in_fields(spark):
+    fields = [("user", "q", None), ("assistant", "", [("f", '{"a": 1}')]), ("tool", "r", None), ("tool", "s", []), ("assistant", "end", None)]
+    as_json = [(r, c, None if t is None else json.dumps([{"function": {"name": n, "arguments": json.loads(a)}} for n, a in t])) for r, c, t in fields]
+    one = spark.createDataFrame([(fields,)], f"m array<struct<{MESSAGE.replace(' ', ':', 1).replace(', role ', ', role:').replace(', content ', ', content:').replace(', tool_calls ', ', tool_calls:')}>>")
+    two = spark.createDataFrame([(as_json,)], "m array<struct<role:string,content:string,tool_calls:string>>")
+    a, b = one.select(chat.full_chat(F.col("m"), True)).first()[0], two.select(chat.full_chat(F.col("m"), "json")).first()[0]
+    assert a == b and '{"name": "f", "arguments": {"a": 1}}' in a

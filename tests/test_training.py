@@ -280,3 +280,38 @@ def test_draws_need_no_sort_of_the_table(spark):
     got = draws.collect()
     assert sorted(r.draw for r in got) == list(range(1, 401)) and 340 < len({r.k for r in got}) <= 400
     assert got and sorted(map(tuple, got)) == sorted(map(tuple, batches.sample_with_repeats(df.repartition(7), "k", 400, 5, 32).collect()))
+
+
+def test_formatted_texts_and_begin_tokens(spark):
+    df = spark.createDataFrame([(1, "x y", 2), (2, "z", 0), (3, None, 1)], "id long, a string, n int")
+    rows = T.formatted(df, _formatting_of(), ["id"])
+    assert sorted(map(tuple, rows.collect())) == [(1, 0, "<s> x y"), (1, 1, "<s> x y"), (3, 0, "<s> None")]
+    assert T.formatted(df.limit(0), _formatting_of(), ["id"]).count() == 0
+    with pytest.raises(Exception, match="list of texts"):
+        T.formatted(df, lambda row: "text", ["id"]).collect()
+    written = T.begin_is_written(rows, "text", "<s>", ["id", "place"])
+    assert written and not T.begin_is_written(df, "a", "<s>", ["id"]) and T.begin_is_written(df.limit(0), "a", "<s>", ["id"], "{<s>}")
+    tokens = lambda **kw: [r.input_ids for r in T.tokenize(df.select("id", F.coalesce("a", F.lit("<s> b")).alias("a")), "a", begin="<s>", **kw).orderBy("id").collect()]
+    assert tokens() == [["<s>", "x", "y"], ["<s>", "z"], ["<s>", "b"]]
+    assert tokens(written=False) == [["<s>", "x", "y"], ["<s>", "z"], ["<s>", "<s>", "b"]]
+    assert tokens(written=True) == [["x", "y"], ["z"], ["<s>", "b"]]
+    masked = T.tokenize(rows, "text", limit=2, mask="attention_mask").first()
+    assert masked.attention_mask == [1, 1] and len(masked.input_ids) == 2
+
+
+def _formatting_of():
+    return lambda row: [f"<s> {row['a']}"] * row["n"]
+
+
+def test_prompts_of_conversations(spark):
+    kind = "array<struct<role:string,content:string>>"
+    rows = [
+        (1, [("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "b")]),
+        (2, [("user", "q")], [("user", "r")]),
+        (3, [("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "a"), ("user", "more")]),
+    ]
+    df = spark.createDataFrame(rows, f"id int, chosen {kind}, rejected {kind}")
+    got = {r.id: tuple([tuple(m) for m in c] for c in (r.prompt, r.chosen, r.rejected)) for r in preferences.extract_prompt(df).collect()}
+    assert got[1] == ([("user", "q")], [("assistant", "a")], [("assistant", "b")])
+    assert got[2] == ([], [("user", "q")], [("user", "r")])
+    assert got[3] == ([("user", "q")], [("assistant", "a")], [("assistant", "a"), ("user", "more")])
