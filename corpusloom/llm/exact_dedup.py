@@ -117,8 +117,9 @@ def _checked(store: DataFrame, decided: DataFrame, folder: str) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one of each group."""
     kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    own = docs.withColumn("_own", sha256(normalised(F.coalesce("text", F.lit("")))))
-    joined = own.join(kept, (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # a row's columns stay inside a struct, so their names clash with none here
+    own = docs.select(F.struct(*docs.columns).alias("row"), sha256(normalised(F.coalesce("text", F.lit("")))).alias("own"))
+    joined = own.join(kept, (F.col("own") == F.col("_digest")) & F.col("row.doc_id").eqNullSafe(F.col("_id")))
     # rows that repeat a doc_id and a normalised text
-    longest = Window.partitionBy("_own", "doc_id").orderBy(F.length("text").desc())
-    return joined.withColumn("_n", F.row_number().over(longest)).filter("_n = 1").select(*docs.columns)
+    longest = Window.partitionBy("own", "row.doc_id").orderBy(F.length("row.text").desc())
+    return joined.withColumn("n", F.row_number().over(longest)).filter("n = 1").select("row.*")

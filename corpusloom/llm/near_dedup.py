@@ -85,7 +85,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iter
     """The same rows in batches of about `size` bytes of text, of one row at least."""
     for batch in batches:
         column = batch.column("text")
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(column)))
+        ends = np.cumsum(np.asarray(pa.compute.binary_length(column).fill_null(0)))
         start = 0
         while start < len(batch):
             before = ends[start - 1] if start else 0
@@ -288,9 +288,10 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80)
     Of rows that repeat both doc_id and text one stays, unless the text is empty."""
     found = near_duplicates(docs, words, percent).filter("kept and n_shingles > 0")
     keep = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    own = docs.withColumn("_own", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16))
-    joined = own.join(keep, (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = Window.partitionBy("_own", "doc_id").orderBy(F.lit(1))
-    kept = joined.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns)
-    blank = docs.filter(F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$"))
+    # a row's columns stay inside a struct, so their names clash with none here
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("own"))
+    joined = own.join(keep, (F.col("own") == F.col("_digest")) & F.col("row.doc_id").eqNullSafe(F.col("_id")))
+    once = Window.partitionBy("own", "row.doc_id").orderBy(F.lit(1))
+    kept = joined.withColumn("n", F.row_number().over(once)).filter("n = 1").select("row.*")
+    blank = docs.filter(F.coalesce("text", F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z"))
     return kept.unionByName(blank)

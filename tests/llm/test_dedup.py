@@ -215,3 +215,29 @@ def test_substring_edge_rows(spark):
     got = without_repeats(table(spark, rows)).collect()
     assert sorted((r.n_words, r.n_removed) for r in got) == [(0, 0), (60, 0), (60, 0), (61, 0)]
     assert without_repeats(table(spark, [])).count() == 0
+
+
+def test_filters_keep_clashing_columns_and_single_rows(spark):
+    """Columns named like those of the operators, and texts that end in a line separator only."""
+    from corpusloom.llm.decontaminate import without_benchmark
+    from corpusloom.llm.exact_dedup import without_duplicates
+    from corpusloom.llm.near_dedup import without_near_duplicates
+    from corpusloom.llm.toxicity import BUCKETS, Model, without_toxic
+
+    names = ["own", "_own", "n", "_n", "_id", "_digest", "digest", "row", "place", "kept", "one"]
+    texts = ["\u2028", "\u0085", " ", "", None, "a b c d e f g", "a b c d e f g", "other words here", "long " * 5000]
+    schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame([(i, t, *[f"{i}{c}" for c in names]) for i, t in enumerate(texts)], schema)
+    items = spark.createDataFrame([(1, "other words here")], "item_id long, text string")
+    got = {
+        "exact": without_duplicates(docs),
+        "near": without_near_duplicates(docs),
+        "toxic": without_toxic(docs, Model(np.zeros(BUCKETS), -1.0)),
+        "leak": without_benchmark(docs, items),
+    }
+    want = {"exact": [0, 1, 2, 5, 7, 8], "near": [0, 1, 2, 3, 4, 5, 7, 8], "toxic": list(range(9)), "leak": [0, 1, 2, 3, 4, 5, 6, 8]}
+    for name, rows in got.items():
+        assert rows.columns == docs.columns
+        found = sorted(rows.collect(), key=lambda r: r.doc_id)
+        assert [r.doc_id for r in found] == want[name], name
+        assert all(r.own == f"{r.doc_id}own" and r.row == f"{r.doc_id}row" and r.text == texts[r.doc_id] for r in found)
