@@ -55,30 +55,53 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-URL_FILTER = r"""
+_URL_PARTS = r"""translate(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS {p}host,
+    regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS {p}path, regexp_extract({u}, '^.*?://[^/?#]*[^?#]*([^#]*)', 1, 's') AS {p}query"""
+_PLAIN_PATH = r"""('/' || array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(regexp_replace({x}, '/([.][.]?)$', '/\1/'), '/')[2:], lambda s: [s])),
+    lambda done, s: CASE WHEN s[1] = '..' THEN done[:greatest(len(done) - 1, 0)] WHEN s[1] = '.' THEN done ELSE done || s END), '/'))"""
+
+
+def _attribute(tag: str, name: str) -> str:
+    form = rf"""'[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>][^\s>]*))'"""
+    return "(" + " || ".join(f"regexp_extract({tag}, {form}, {i}, 'is')" for i in (1, 2, 3)) + ")"
+
+
+def _tags(name: str) -> str:
+    return rf"""regexp_extract_all(html, '<{name}\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>', 0, 'is')"""
+
+
+def _decoded(text: str) -> str:
+    for char, names in (('"', "quot|#34|#x22"), ("''", "apos|#39|#x27"), ("<", "lt|#60|#x3c"), (">", "gt|#62|#x3e"), ("&", "amp|#38|#x26")):
+        text = f"regexp_replace({text}, '&(?:{names});', '{char}', 'gi')"
+    return f"trim({text}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_EDGES = rf"""
 WITH RECURSIVE parts AS (
-  SELECT page_id, coalesce(url, '') AS url,
-    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
-    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*[^?#]*([^#]*)', 1, 's') AS query,
-    coalesce(html, '') AS html
-  FROM pages
-),
-pages_at AS (SELECT *, host || path || query AS address FROM parts),
+  SELECT page_id, {_URL_PARTS.format(u="coalesce(url, '')", p='')}, coalesce(html, '') AS html FROM pages
+),
+pages_at AS (SELECT *, CASE WHEN host <> '' THEN host || {_PLAIN_PATH.format(x='path')} || query ELSE '' END AS address FROM parts),
 targets AS (
-  SELECT host, address, unnest([
-    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
-    regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>;]+)', 1, 'is')]) AS t
+  SELECT host, path, query, address, unnest(list_concat(
+    list_transform(list_filter({_tags('link')}, lambda t: list_contains(string_split_regex(trim(lower({_attribute('t', 'rel')}), {_BLANKS}), '\s+'), 'canonical')),
+      lambda t: {_attribute('t', 'href')}),
+    list_transform(list_filter({_tags('meta')}, lambda t: trim(lower({_attribute('t', 'http-equiv')}), {_BLANKS}) = 'refresh'),
+      lambda t: regexp_extract({_attribute('t', 'content')}, '\burl\s*=\s*["'']?([^"'']*)', 1, 'is')))) AS t
   FROM pages_at
 ),
+decoded AS (SELECT host, path, query, address, {_decoded('t')} AS t FROM targets WHERE address <> ''),
 full_targets AS (
-  SELECT address AS a, CASE WHEN t LIKE '/%' AND t NOT LIKE '//%' THEN 'http://' || host || t ELSE t END AS t FROM targets WHERE t <> '' AND address <> ''
+  SELECT address AS a, CASE WHEN t = '' THEN '' WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ''
+    WHEN t LIKE '//%' THEN 'http:' || t WHEN t LIKE '/%' THEN 'http://' || host || t WHEN t LIKE '?%' THEN 'http://' || host || path || t
+    WHEN t LIKE '#%' THEN 'http://' || host || path || query
+    ELSE 'http://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || t END AS t FROM decoded
 ),
-edges AS (
-  SELECT a, translate(regexp_extract(t, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || regexp_extract(t, '^.*?://[^/?#]*([^#]*)', 1, 's') AS b FROM full_targets
-),
-both_ways AS (SELECT a, b FROM edges WHERE b <> '' UNION SELECT b, a FROM edges WHERE b <> ''),
+resolved AS (SELECT a, {_URL_PARTS.format(u='t', p='')} FROM full_targets),
+edges AS (SELECT a, CASE WHEN host <> '' THEN host || {_PLAIN_PATH.format(x='path')} || query ELSE '' END AS b FROM resolved),
+"""
+
+URL_FILTER = _EDGES + r"""both_ways AS (SELECT a, b FROM edges WHERE b <> '' UNION SELECT b, a FROM edges WHERE b <> ''),
 reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 nodes AS (SELECT DISTINCT b AS address, regexp_extract(b, '^([^/?#]*)', 1) AS host, regexp_extract(b, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
 rules(host, path, verdict) AS (

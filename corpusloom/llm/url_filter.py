@@ -15,10 +15,12 @@ from corpusloom.llm.components import components
 from corpusloom.llm.shared import shared_folder, stored
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+TAG = r"""(?is)<%s\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ATTRIBUTE = r"""(?is)[\s"'/]%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+REDIRECT = r"""(?is)\burl\s*=\s*["']?([^"']*)"""
+AROUND = r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
+# named and numeric forms; the ampersand comes last
+ENTITIES = [('"', "quot|#34|#x22"), ("'", "apos|#39|#x27"), ("<", "lt|#60|#x3c"), (">", "gt|#62|#x3e"), ("&", "amp|#38|#x26")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,8 +44,26 @@ def path(url: Column) -> Column:
 
 
 def address(url: Column) -> Column:
-    """The url without scheme and fragment, which don't tell pages apart."""
-    return F.concat(host(url), path(url), F.coalesce(F.regexp_extract(url, URL, 3), F.lit("")))
+    """The url without scheme and fragment, which don't tell pages apart; the path without
+    dot segments, and / for none."""
+    return F.when(host(url) != "", F.concat(host(url), _plain_path(path(url)), _query(url))).otherwise("")
+
+
+def _query(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, URL, 3), F.lit(""))
+
+
+def _plain_path(path: Column) -> Column:
+    """Every .. takes the segment before it away."""
+    closed = F.regexp_replace(path, r"/(\.\.?)\z", "/$1/")
+    kept = F.aggregate(
+        F.slice(F.split(closed, "/"), 2, 1 << 30),
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(s == ".", done)
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
 def matching(rules: list[Rule], host: Column, path: Column, answer) -> Column:
@@ -56,16 +76,49 @@ def matching(rules: list[Rule], host: Column, path: Column, answer) -> Column:
     return found
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    return F.concat(*[F.regexp_extract(tag, ATTRIBUTE % name, i) for i in (1, 2, 3)])
+
+
+def _tags(html: Column, name: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(TAG % name), F.lit(0))
+
+
+def _decoded(text: Column) -> Column:
+    for char, names in ENTITIES:
+        text = F.regexp_replace(text, f"(?i)&(?:{names});", char)
+    return F.regexp_replace(text, AROUND, "")
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The full url of a link target on a page: with a scheme of its own, or that of the page's
+    scheme, host, folder or page. NULL for targets that name no page of a host."""
+    site = F.concat(F.lit("http://"), host(url))
+    folder = F.regexp_replace(F.when(path(url) == "", "/").otherwise(path(url)), r"[^/]*\z", "")
+    return (
+        F.when(target == "", None)
+        .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(site, path(url), target))
+        .when(target.startswith("#"), F.concat(site, path(url), _query(url)))
+        .otherwise(F.concat(site, folder, target))
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """from_url and to_url (as addresses) of the canonical and redirect links in pages;
-    a link without scheme that starts with one slash stays on the host."""
+    """from_url and to_url (as addresses) of all canonical links and refresh redirects in
+    pages: every link tag with the word canonical in its rel, every refresh tag. Targets
+    are decoded and resolved against the page's url; a base tag does not count."""
     url, html = F.col("url"), F.coalesce("html", F.lit(""))
-    targets = F.array(
-        F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1),
-    )
-    found = pages.filter("url IS NOT NULL").select(url, F.explode(targets).alias("target")).filter("target != ''")
-    full = F.when(F.col("target").rlike("^/(?!/)"), F.concat(F.lit("http://"), host(url), F.col("target"))).otherwise(F.col("target"))
+    named = lambda tag: F.array_contains(F.split(F.regexp_replace(F.lower(_attribute(tag, "rel")), AROUND, ""), r"\s+"), "canonical")
+    canonical = F.transform(F.filter(_tags(html, "link"), named), lambda tag: _attribute(tag, "href"))
+    refresh = lambda tag: F.regexp_replace(F.lower(_attribute(tag, "http-equiv")), AROUND, "") == "refresh"
+    content = lambda tag: F.regexp_extract(_attribute(tag, "content"), REDIRECT, 1)
+    redirects = F.transform(F.filter(_tags(html, "meta"), refresh), content)
+    found = pages.filter("url IS NOT NULL").select(url, F.explode(F.concat(canonical, redirects)).alias("target"))
+    full = resolved(_decoded(F.col("target")), url)
     return found.select(address(url).alias("from_url"), address(full).alias("to_url")).filter("from_url != '' AND to_url != ''")
 
 

@@ -117,6 +117,58 @@ def test_rules_and_aliases(spark):
     assert url_filter.URL.startswith("(?s)")
 
 
+LINKS = [
+    # page, html, address that it is tied to
+    ("http://p.org/a/b/c?x=1", '<link rel="canonical" href="//X.net/es/1">', "x.net/es/1"),
+    ("http://p.org/a/b/c", "<meta http-equiv=refresh content='0;url=es/1'>", "p.org/a/b/es/1"),
+    ("http://p.org/a/b/c", '<link rel="alternate canonical" href=/es/1>', "p.org/es/1"),
+    ("http://p.org/a/b/c", '<link rel=canonical href="/one"><link rel="Canonical" href="/two">', "p.org/two"),
+    ("http://p.org/a/b/c", '<META HTTP-EQUIV=Refresh CONTENT="5"><meta http-equiv="refresh" content="5; URL=\'../up?a=1&amp;b=2\'">', "p.org/a/up?a=1&b=2"),
+    ("http://p.org/a/b/c", '<link title="a > b" href="?id=2" rel=canonical>', "p.org/a/b/c?id=2"),
+    ("http://p.org/a/b/c", '<link href="./../../../z/./y/.." rel=canonical>', "p.org/z/"),
+    ("http://p.org", '<link href="n.html" rel=canonical>', "p.org/n.html"),
+    ("http://p.org/q?old=1", '<link href=" https://e.org#part " rel=canonical>', "e.org/"),
+    ("http://p.org/q?old=1", '<link rel=canonical href="#top">', "p.org/q?old=1"),
+]
+NO_LINKS = [
+    '<link rel="canonical" href="">', '<link rel=canonical href="mailto:a@b.c">', '<link rel=noncanonical href="/x">', '<link data-href="/x" rel="canonical">',
+    '<meta name=refresh content="0;url=/x">', '<a rel="canonical" href="/x">', "<link rel=canonical", '<links rel=canonical href="/x">',
+]
+
+
+def test_every_form_of_link(spark):
+    rows = [(i, u, h, None) for i, (u, h, _) in enumerate(LINKS)] + [(100 + i, "http://p.org/n", h, None) for i, h in enumerate(NO_LINKS)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, target string")
+    found = {tuple(r) for r in url_filter.links(pages).collect()}
+    for u, _, to in LINKS:
+        assert any(t == to for _, t in found), to
+    assert len(found) == len(LINKS) + 1 and not any(f == "p.org/n" for f, _ in found)
+
+
+def test_blocked_targets_of_every_form_equal_the_sql(spark):
+    """The same rows through the query and its SQL; targets are blocked by host or by path."""
+    import duckdb
+
+    from corpusloom.llm import sqltext
+
+    rows = [(i, u.replace("p.org", f"p{i}.org"), h) for i, (u, h, _) in enumerate(LINKS)]
+    rows += [(50 + i, f"http://p{i}.org/x", f'<link rel=canonical href="{u}">') for i, (u, _, _) in enumerate(LINKS)]
+    forms = ["//b.net/es/1", "http://b.net/es/1#f", "/../es/../es/1", "es/1", "../es/1", "/fr/1?a&amp;b", "?q", "&#38;", "/x/./y"]
+    for i, form in enumerate(forms):
+        rows.append((100 + i, "http://s.net/es2/x", f"<p><link rel='x canonical' href='{form}'>"))
+        rows.append((200 + i, f"http://f{i}.org/es/x/y", f"<meta http-equiv='refresh' content='1;url={form}'><link rel=canonical href=http://s.net/es2/x>"))
+        rows.append((300 + i, f"http://f{i}.org/es/1", None))
+    rows += [(400 + i, "http://p.org/n", h) for i, h in enumerate(NO_LINKS)] + [(500, None, "<link rel=canonical href=/x>"), (501, "x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(map(tuple, judged(pages, RULES).collect()), key=repr)
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = sorted(con.execute(sqltext.URL_FILTER).fetchall(), key=repr)
+    assert [tuple(r) for r in got] == want
+    verdicts = {r[0]: r[4] for r in got}
+    assert verdicts[0] == "block" and verdicts[100] == verdicts[101] == verdicts[200] == "block" and verdicts[400] == "allow"
+
+
 # personal data and secrets
 
 
