@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,10 +20,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/corpusloom-{uuid.uuid4().hex}"
 
 
+def freed(spark: SparkSession) -> None:
+    """Collect the driver's garbage once it fills half of the heap. Spark deletes shuffle
+    files and broadcasts of finished jobs only when their objects are collected, which a
+    driver with room to spare puts off."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * (heap.totalMemory() - heap.freeMemory()) > heap.maxMemory():
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """The rows of `df`, written once and read back, which cuts the lineage: a
     lost executor costs a read, and no later job repeats the work."""
     path = f"{folder}/{name}"
+    freed(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
