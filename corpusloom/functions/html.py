@@ -119,8 +119,9 @@ def read_page(html: str, selectors) -> tuple[str, str, list[dict]]:
     place = {i: k for row in siblings.values() for k, i in enumerate(row)}
     for i in heads:
         head = page.elements[i]
-        texts = []
-        for j in siblings[head["parent"]][place[i] + 1 :]:
+        texts, row = [], siblings[head["parent"]]
+        for k in range(place[i] + 1, len(row)):  # up to the next header, so each element is read once
+            j = row[k]
             if page.elements[j]["name"] in _HEADINGS:
                 break
             texts.append(page.text(page.elements[j], ""))

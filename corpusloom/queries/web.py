@@ -34,6 +34,34 @@ def page_articles(spark, d):
     return articles(spark, d).select("page_id", "title", "content")
 
 
+@query(
+    "built_sections",
+    f"""WITH l AS (SELECT doc_id, i, {S.strip('line')} AS line FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
+    s AS (SELECT doc_id, i // 4 AS g, max(line) FILTER (i % 4 = 0) AS title,
+        string_agg(line, chr(10) || chr(10) ORDER BY i) FILTER (i % 4 <> 0 AND line <> '') AS content FROM l GROUP BY ALL)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS position, title, content FROM s WHERE content IS NOT NULL""",
+)
+def built_sections(spark, d):
+    """Documents as pages: every fourth line is a header, of one of three levels, and every
+    third line behind a header stands deeper."""
+    escaped = F.col("text")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(name))
+
+    def element(line, i):
+        level = (F.floor(i / 4) % 3 + 2).cast("string")
+        deep = F.concat(F.lit("<div><ul><li>"), line, F.lit("</li></ul></div>"))
+        head = F.concat(F.lit("<h"), level, F.lit(">"), line, F.lit("</h"), level, F.lit(">"))
+        return F.when(i % 4 == 0, head).when(i % 4 == 3, deep).otherwise(F.concat(F.lit("<p>"), line, F.lit("</p>")))
+
+    body = F.array_join(F.transform(F.split(escaped, "\n"), element), "\n")
+    html = F.concat(F.lit("<html><body><h1>t</h1><main>"), body, F.lit("</main></body></html>"))
+    pages = table(spark, d, "documents", spread=True).filter("text IS NOT NULL").select("doc_id", html.alias("html"))
+    rows = web.articles(pages).select("doc_id", F.posexplode("sections").alias("position", "s"))
+    return rows.select("doc_id", "position", F.col("s.title").alias("title"), F.col("s.content").alias("content"))
+
+
 @query("page_sections")
 def page_sections(spark, d):
     arts = articles(spark, d).select("page_id", F.posexplode_outer("sections").alias("position", "s"))
