@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusloom.llm.near_dedup import text_batches
-from corpusloom.llm.shared import map_batches
+from corpusloom.llm.shared import map_batches, shared_folder, stored
 
 BUCKETS = 1 << 18
 POSITIVES, UNLABELLED = 4_000, 12_000  # texts fitted on, at most
@@ -78,11 +78,11 @@ class Rows:
         return np.append(np.bincount(self.columns, slopes[self.row], size), slopes.sum())
 
 
-def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features that positive texts have more often than chance would give them."""
-    seen, among = (np.bincount(np.concatenate(rows), minlength=BUCKETS) for rows in (positive, unlabelled))
-    expected = among * (len(positive) / len(unlabelled))
-    return np.flatnonzero((seen >= min(LEAST_TEXTS, len(positive))) & (seen - expected >= DEVIATIONS * np.sqrt(expected + 1)))
+def _telling(seen: np.ndarray, among: np.ndarray, positive: int, unlabelled: int) -> np.ndarray:
+    """Features that `positive` texts have (`seen` of them) more often than chance would
+    give them by the `unlabelled` ones (`among`)."""
+    expected = among * (positive / unlabelled)
+    return np.flatnonzero((seen >= min(LEAST_TEXTS, positive)) & (seen - expected >= DEVIATIONS * np.sqrt(expected + 1)))
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, decay: float = 3e-4) -> Model:
@@ -90,7 +90,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     Adam over all rows. Without positive texts every score is next to 0."""
     if not positive or not unlabelled:
         return Model(np.zeros(BUCKETS), -10.0)
-    used = _telling(positive, unlabelled)
+    seen, among = (np.bincount(np.concatenate(rows), minlength=BUCKETS) for rows in (positive, unlabelled))
+    used = _telling(seen, among, len(positive), len(unlabelled))
     number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(len(used))
     p, u = Rows(positive, number), Rows(unlabelled, number)
@@ -140,16 +141,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return df.filter(order <= below).orderBy(order, "doc_id").limit(size)
 
     known = few(marks.filter("toxic = 1").select("doc_id"), POSITIVES, toxic)
-    positive = _texts(docs.join(F.broadcast(known), "doc_id"), POSITIVES)  # at most POSITIVES ids
+    folder = shared_folder(docs.sparkSession)
+    positive = _texts(docs.join(F.broadcast(known), "doc_id"), POSITIVES, folder, "positive")  # at most POSITIVES ids
     pool = docs.filter(~held_out()).filter("text != ''").select("doc_id", "text")
     # ids first, so that texts are read where they are and not gathered in one task
     others = few(pool.select("doc_id"), UNLABELLED, total).distinct()  # at most UNLABELLED ids
-    return fit(positive, _texts(pool.join(F.broadcast(others), "doc_id"), UNLABELLED), prior)
+    unlabelled = _texts(pool.join(F.broadcast(others), "doc_id"), UNLABELLED, folder, "unlabelled")
+    sizes = positive.count(), unlabelled.count()
+    if not all(sizes):
+        return fit([], [], prior)
+    used = _telling(_frequencies(positive), _frequencies(unlabelled), *sizes)
+    return fit(_few_features(positive, used), _few_features(unlabelled, used), prior)
 
 
-def _texts(df: DataFrame, count: int) -> list[np.ndarray]:
-    """Features of the texts, made where the texts are; only they come to the driver, in
-    an order that the rows alone decide."""
+def _texts(df: DataFrame, count: int, folder: str, name: str) -> DataFrame:
+    """Features of the texts, made where the texts are, with a place that the rows alone
+    decide; of more than `count` texts those with the first places."""
 
     def extract(batches):
         for batch in text_batches(batches):
@@ -159,12 +166,37 @@ def _texts(df: DataFrame, count: int) -> list[np.ndarray]:
 
     text = F.coalesce("text", F.lit(""))
     placed = df.select(F.xxhash64("doc_id", text).alias("place"), text.cast("binary").alias("text"))
-    found = map_batches(placed, extract, "place long, f array<int>").limit(count).toArrow()
-    rows = []
+    found = stored(map_batches(placed, extract, "place long, f array<int>"), folder, name)
+    return found.orderBy("place").limit(count) if found.count() > count else found
+
+
+def _frequencies(rows: DataFrame) -> np.ndarray:
+    """Texts that have each feature: BUCKETS numbers, whatever the input."""
+    out = np.zeros(BUCKETS, np.int64)
+    found = rows.select(F.explode("f").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out[found.column("b").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _few_features(rows: DataFrame, used: np.ndarray) -> list[np.ndarray]:
+    """The features in use of each text, in order of place; only they come to the driver."""
+    wanted = pa.array(used, pa.int32())
+
+    def keep(batches):
+        for batch in batches:
+            column = batch.column("f")
+            flat, sizes = column.flatten(), np.asarray(column.value_lengths())
+            known = np.asarray(pa.compute.is_in(flat, wanted))
+            ends = np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes)))
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), flat.filter(pa.array(known)))
+            yield pa.record_batch({"place": batch.column("place"), "f": kept})
+
+    found = map_batches(rows, keep, rows.schema).toArrow()
+    out = []
     for part in found.column("f").chunks:
         flat, offsets = np.asarray(part.values), np.asarray(part.offsets)
-        rows += [flat[a:b] for a, b in zip(offsets, offsets[1:])]
-    return [rows[i] for i in np.argsort(found.column("place").to_numpy())]
+        out += [flat[a:b] for a, b in zip(offsets, offsets[1:])]
+    return [out[i] for i in np.argsort(found.column("place").to_numpy(), kind="stable")]
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
