@@ -4,8 +4,9 @@ Known shapes are found by pattern. Other candidates are runs of key characters:
 window slides over them, and the Shannon entropy of the window is kept up by adding the
 character that enters and taking out the one that leaves. The entropy that makes a
 window suspicious depends on the class of the run's characters. Runs that an allow list
-explains (identifiers of known shape, paths, words) are let go; dates and sequences are
-cut out and what is left of the run is scored."""
+explains (identifiers of known shape, paths, words) are let go. Dates and sequences
+split a run, and each part is judged for itself, so a window never spans characters
+that are no neighbours in the text. A run inside a base span is reported by that only."""
 
 from __future__ import annotations
 
@@ -43,9 +44,12 @@ CLASSES = (
 CAMEL = "[a-z]*(?:[A-Z][a-z]{2,})*[A-Z]{0,5}(?:[A-Z][a-z]{2,})+"
 # such words or one word, with some digits behind; or a number
 NAME = f"(?:[A-Z]{{1,15}}|{CAMEL}|[A-Z]?[a-z]{{1,20}})[0-9]{{0,4}}|[0-9]{{1,8}}"
+# abbreviations with numbers: i18n, x86, 3DES, AES128GCM, v1beta2
+TERM = "[0-9]?(?:[a-z]{1,6}|[A-Z]{1,6})[0-9]{1,3}(?:[a-z]{1,4}|[A-Z]{1,4})?[0-9]?|[0-9](?:[a-z]{2,4}|[A-Z]{2,4})"
 ALLOWED = (
     re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(f"[-_/=+]*(?:{NAME})(?:[-_/=+]+(?:{NAME}))+[-_/=+]*"),  # names joined
+    re.compile(f"_*(?:{NAME}|{TERM})(?:_+(?:{NAME}|{TERM}))+_*"),  # the same with abbreviations; groups of keys have hyphens
     re.compile("(.)\\1*"),  # one character
     re.compile(f"[-_/=+]*([A-Z]?[a-z]+|[A-Z]+|{CAMEL})[0-9]{{0,4}}[-_/=+]*"),  # one name
     re.compile("[-+]?[0-9_]+[eE][-+]?[0-9]+"),  # a number
@@ -79,8 +83,11 @@ def entropy(run: str, window: int = WINDOW) -> float:
 
 
 def suspicious(run: str) -> bool:
-    """Whether what is left of a run without dates and sequences is long and random enough."""
-    run = PLAIN.sub("", run)
+    """Whether a part of the run, between dates and sequences, is long and random enough."""
+    return any(_random(part) for part in PLAIN.split(run))
+
+
+def _random(run: str) -> bool:
     if len(run) < WINDOW or any(a.fullmatch(run) for a in ALLOWED):
         return False
     limit = next(bits for _, shape, bits in CLASSES if shape.fullmatch(run))
@@ -93,8 +100,15 @@ def secrets(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    found += [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if suspicious(m.group())]
-    return sorted(found)
+    found.sort()
+    more, i, reach = [], 0, 0  # reach: of the base spans that start at or before a run
+    for m in CANDIDATE.finditer(text):
+        while i < len(found) and found[i][0] <= m.start():
+            reach = max(reach, found[i][2])
+            i += 1
+        if m.end() > reach and suspicious(m.group()):
+            more.append((m.start(), 3, m.end()))
+    return sorted(found + more)
 
 
 def scan(docs: DataFrame) -> DataFrame:
