@@ -9,29 +9,36 @@ Nothing within the distance is lost by that.
 Windows and items are embedded by a random walk (Chakraborty, Goldenberg and Koucky,
 2016): a pointer moves through the sequence, and whether it moves on after a step is a
 random bit that depends on the step and the word under it. Edits become a few unequal
-places, since two walks that part soon meet again. Each of REPEATS samples of PLACES
-places is a hash; a window that agrees with its item in one of them is a candidate.
+places, since two walks that part soon meet again. A place behind either sequence's end
+equals nothing. Each sample of PLACES places of a walk is a hash; a window that agrees
+with its item in one of them, at some shift, is a candidate. Long sequences drift
+further apart, so they get more walks. Of windows with all the edits that an item
+allows, about 99 % become candidates; of unrelated ones a few in a hundred.
 Candidates are verified by exact edit distance against the text around them."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusloom.llm.near_dedup import text_batches
-from corpusloom.llm.shared import map_batches
+from corpusloom.llm.shared import map_batches, shared_folder, stored
 from corpusloom.llm.words import Words, mix, run_hashes
 
 WORD = re.compile(r"\w+")
 SHARE = 0.2  # edits for each word of an item
 RUN = 3  # words of a seed, at most
-WALKS, REPEATS, PLACES = 3, 48, 3  # samples are dealt out to the walks
-ITEMS = 20_000  # searched for in one pass over the documents
-STEPS = 3  # of a walk, for each word
+WALKS, LONG = 8, 10  # walks of an item, and words for which it gets one more
+REPEATS, PLACES = 16, 3  # samples of each walk, and places of a sample
+STEPS = 2  # of a walk, for each word: a walk moves on in every other step
+CELLS = 1 << 20  # steps of walks kept at a time
+ITEMS, BYTES = 20_000, 4 << 20  # searched for in one pass over the documents, about
 
 
 def normal(text: str) -> str:
@@ -88,15 +95,17 @@ class Finder:
             keys = np.asarray([r[0] for r in rows], np.uint64)
             known[keys >> np.uint64(44)] = True
             self.seeds[run] = (known, keys, np.asarray([r[1:] for r in rows], np.int64))
-        rng = np.random.Generator(np.random.PCG64(11))
-        self.marks = rng.integers(0, 2**63, (WALKS, STEPS * int(self.sizes.max(initial=1))), dtype=np.uint64)
-        self.samples = rng.random((WALKS, REPEATS // WALKS, PLACES))
-        if self.ids:
-            flat = np.concatenate(self.hashes)
-            begin = np.cumsum(self.sizes) - self.sizes
-            self.walks = [self._walk(flat, begin, begin + self.sizes, self.sizes, k) for k in range(WALKS)]
-
-    def _walk(self, words: np.ndarray, start: np.ndarray, stop: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+        self.walks = WALKS + self.sizes // LONG
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.words = np.concatenate([*self.hashes, np.empty(0, np.uint64)])
+        self.most = STEPS * int(self.sizes.max(initial=1))
+
+    def _bits(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The marks of the steps of walk k and its samples, the same everywhere."""
+        rng = np.random.Generator(np.random.PCG64([11, k]))
+        return rng.random((REPEATS * PLACES)), rng.integers(0, 2**63, self.most, dtype=np.uint64)
+
+    def _walk(self, words: np.ndarray, start: np.ndarray, stop: np.ndarray, size: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """The embedding of words[start:stop] for each row; 0 stands for its end."""
         steps = STEPS * int(size.max(initial=0))
         out = np.zeros((len(start), steps), np.uint64)
@@ -104,7 +113,7 @@ class Finder:
         for t in range(steps):
             here = np.where(at < stop, words[np.minimum(at, len(words) - 1)], np.uint64(0))
             out[:, t] = here
-            at += (mix(here ^ self.marks[k, t]) >> np.uint64(17) & np.uint64(1)).astype(np.int64)
+            at += (mix(here ^ marks[t]) >> np.uint64(17) & np.uint64(1)).astype(np.int64)
         return out
 
     def windows(self, w: Words) -> np.ndarray:
@@ -138,27 +147,43 @@ class Finder:
 
     def agrees(self, w: Words, windows: np.ndarray) -> np.ndarray:
         """Whether a window, at some shift, agrees with its item in all places of a sample."""
-        edits = self.edits[windows[:, 2]]
-        row = np.repeat(np.arange(len(windows)), 2 * edits + 1)
-        shift = np.arange(len(row)) - np.repeat(np.cumsum(2 * edits + 1) - (2 * edits + 1), 2 * edits + 1)
-        doc, start, item = windows[row].T
-        start = start + shift - edits[row]
-        size = self.sizes[item]
-        begin = np.maximum(start, w.first[doc])
-        stop = np.minimum(start + size, w.first[doc + 1])
         ok = np.zeros(len(windows), bool)
-        for lo in range(0, len(row), 4096):
-            part = slice(lo, lo + 4096)
-            one = np.zeros(len(row[part]), bool)
-            for k in range(WALKS):
-                walk = self._walk(w.hashes, begin[part], stop[part], size[part], k)
-                equal = walk == self.walks[k][item[part], : walk.shape[1]]
-                for sample in self.samples[k]:
-                    at = (sample[None, :] * STEPS * size[part][:, None]).astype(np.int64)
-                    one |= np.take_along_axis(equal, at, axis=1).all(axis=1)
-            np.logical_or.at(ok, row[part], one)
+        cells = np.cumsum((2 * self.edits + 1)[windows[:, 2]] * STEPS * self.sizes[windows[:, 2]])
+        lo = 0
+        while lo < len(windows):
+            hi = max(lo + 1, int(np.searchsorted(cells, (cells[lo - 1] if lo else 0) + CELLS, side="right")))
+            part = windows[lo:hi]
+            left = np.arange(len(part))
+            for k in range(int(self.walks[part[:, 2]].max())):
+                left = left[k < self.walks[part[left, 2]]]
+                left = left[~self._agree(w, part[left], k, ok[lo:hi], left)]
+                if not len(left):
+                    break
+            lo = hi
         return ok
 
+    def _agree(self, w: Words, windows: np.ndarray, k: int, ok: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Which windows agree with their items in a sample of walk k; ok[to] is marked."""
+        sample, marks = self._bits(k)
+        edits = self.edits[windows[:, 2]]
+        shifts = 2 * edits + 1
+        row = np.repeat(np.arange(len(windows)), shifts)
+        shift = np.arange(len(row)) - np.repeat(np.cumsum(shifts) - shifts, shifts) - edits[row]
+        doc, start, item = windows[row].T
+        begin = np.maximum(start + shift, w.first[doc])
+        stop = np.minimum(start + shift + self.sizes[item], w.first[doc + 1])
+        walk = self._walk(w.hashes, begin, stop, self.sizes[item], marks)
+        known, which = np.unique(windows[:, 2], return_inverse=True)
+        size = self.sizes[known]
+        own = self._walk(self.words, self.begin[known], self.begin[known] + size, size, marks)
+        at = (sample[None, :] * STEPS * size[:, None]).astype(np.int64)[which[row]]
+        here = np.take_along_axis(walk, at, axis=1)
+        equal = (here == np.take_along_axis(own[which[row]], at, axis=1)) & (here != 0)
+        hit = np.zeros(len(windows), bool)
+        np.logical_or.at(hit, row, equal.reshape(len(row), REPEATS, PLACES).all(axis=2).any(axis=1))
+        ok[to] |= hit
+        return hit
+
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item_id, first word, word after the last, distance) of each passage;
         of overlapping passages of one item the nearest, then the first."""
@@ -196,13 +221,24 @@ class Finder:
         return taken
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of about ITEMS items, of which one at a time is sent to
-    the executors. A benchmark is a list of questions, small beside the documents."""
-    blocks = max(1, -(-benchmark.count() // ITEMS))
+def passes(benchmark: DataFrame, one: Callable[[Broadcast, int], DataFrame]) -> Iterator[DataFrame]:
+    """What `one` gives for each block of items: about ITEMS items and BYTES bytes, sent to
+    the executors under a number. Only one block at a time is held: where there are
+    several, a block's rows are written before the next is collected."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", "text").distinct()
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS), -(-size // BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    rows = benchmark.select("item_id", "text")
-    return [[tuple(r) for r in rows.filter(part == b).orderBy("item_id", "text").collect()] for b in range(blocks)]
+    folder = shared_folder(spark) if blocks > 1 else ""
+    for b in range(blocks):
+        block = [tuple(r) for r in items.filter(part == b).orderBy("item_id", "text").collect()]
+        data = spark.sparkContext.broadcast(block)
+        rows = one(data, hash(tuple(block)))
+        if blocks > 1:
+            rows = stored(rows, folder, f"block-{b}")
+            data.destroy()
+        yield rows
 
 
 _finders: dict[int, Finder] = {}
@@ -222,17 +258,15 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A passage is a run of words whose edit distance to an item is at most SHARE of the
     item's words. Null and empty texts have no passages, and null and empty items none
     either. Rows with equal or null doc_id are texts of their own. Items with equal
-    texts are all reported. Other columns are ignored."""
-    spark = docs.sparkSession
+    texts are all reported; repeated rows of the benchmark count once. Other columns are
+    ignored."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType)])
     for name in ("start_word", "end_word", "distance"):
         schema.add(name, T.LongType())
-    found = None
-    for items in item_blocks(benchmark):
-        data, number = spark.sparkContext.broadcast(items), hash(tuple(items))
 
-        def find(batches, data=data, number=number):
+    def search(data: Broadcast, number: int) -> DataFrame:
+        def find(batches):
             for batch in text_batches(batches):
                 hits = finder(data, number).search([t.decode() for t in batch.column("text").to_pylist()])
                 columns = list(zip(*hits)) or [()] * 5
@@ -241,22 +275,24 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     names=schema.names,
                 )
 
-        part = map_batches(rows, find, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+        return map_batches(rows, find, schema)
+
+    return reduce(DataFrame.unionByName, passes(benchmark, search))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` without a passage of an item, with all their columns."""
-    spark = docs.sparkSession
-    for items in item_blocks(benchmark):
-        data, number = spark.sparkContext.broadcast(items), hash(tuple(items))
+    schema = docs.schema
 
-        def clean(batches, data=data, number=number):
+    def search(data: Broadcast, number: int) -> DataFrame:
+        def clean(batches):
             for batch in text_batches(batches):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 hit = {h[0] for h in finder(data, number).search(texts)}
                 yield batch.filter(pa.array([i not in hit for i in range(len(texts))], pa.bool_()))
 
-        docs = map_batches(docs, clean, docs.schema)
+        return map_batches(docs, clean, schema)
+
+    for docs in passes(benchmark, search):  # each block searches what the one before left
+        pass
     return docs

@@ -421,6 +421,46 @@ def test_bit_parallel_distance():
         assert list(decontaminate.distances(item, text)) == list(plain_distance(item, text))
 
 
+def edited(rng, words, item, edits):
+    part = list(item)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(part)), rng.randrange(3)
+        part[at : at + (kind < 2)] = [rng.choice(words)] * (1 + (kind == 2)) if kind else []
+        part = part or ["z"]
+    return part
+
+
+@pytest.mark.parametrize("size", [5, 12, 30, 60, 100, 200, 400])
+def test_embedding_alone_finds_edited_items(size):
+    """Recall of the sampled walks without seeds, all edits used, and what they let through
+    of unrelated text whose words are as frequent as a language's."""
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(5000)]
+    weights = [1 / (i + 2.7) for i in range(5000)]
+    items = [rng.choices(words, weights, k=size) for _ in range(60)]
+    found = decontaminate.Finder([(i, " ".join(t)) for i, t in enumerate(items)])
+    around = lambda: rng.choices(words, weights, k=size)
+    near = [" ".join(around() + edited(rng, words, t, size // 5) + around()) for t in items]
+    far = [" ".join(around() + around() + around()) for _ in items]
+    at = [[i, 0, i] for i in range(60)]
+    for texts, low, high in ((near, 0.95, 1), (far, 0, 0.15)):
+        w = decontaminate.Words([t.encode() for t in texts])
+        windows = np.asarray([[d, w.first[d] + size, i] for d, _, i in at], np.int64)
+        assert low <= found.agrees(w, windows).mean() <= high
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(words, k=20))) for i in range(30)]
+    docs = table(spark, [(i, " ".join(rng.choices(words, k=30)) + " " + items[i % 30][1] * (i % 2)) for i in range(90)])
+    benchmark = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    whole = sorted(decontaminate.benchmark_passages(docs, benchmark).collect())
+    monkeypatch.setattr(decontaminate, "BYTES", 600)
+    assert len(whole) == 45 and sorted(decontaminate.benchmark_passages(docs, benchmark).collect()) == whole
+    assert decontaminate.without_benchmark(docs, benchmark).count() == 45
+
+
 def test_benchmark_passages(spark):
     rng = random.Random(12)
     words = [f"{a}{b}" for a in "abcdefgh" for b in range(60)]
