@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import near_dedup
+from corpusloom.llm import exact_dedup, near_dedup
 from corpusloom.llm.components import components
 from corpusloom.llm.exact_dedup import exact_duplicates, without_duplicates
 from corpusloom.llm.near_dedup import near_duplicates, without_near_duplicates
@@ -160,6 +160,31 @@ def test_exact_duplicates(spark, digest):
                 assert got[i].digest.hex() == hashlib.sha256(key.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("digest", ["strong", "weak"])
+def test_exact_duplicates_over_arrivals(spark, digest, monkeypatch):
+    """Three arrivals, one of them repeated and one that fails at first, against all rows at once."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice(" ab") for _ in range(rng.randrange(0, 5)))) for i in range(60)] + [(60, "a b"), (61, "ab")]
+    parts = [rows[40:60], rows[61:] + rows[:20], rows[60:61] + rows[20:40]]
+    weak = {"digest": lambda t: F.encode((F.length(t) % 2).cast("string"), "UTF-8")} if digest == "weak" else {}
+    folder, seen = shared_folder(spark), []
+    for number, part in enumerate(parts):
+        seen += part
+        arriving = table(spark, part).repartition(2)
+        if number == 2:
+            with monkeypatch.context() as broken:
+                broken.setattr(exact_dedup, "_differing", lambda hits: 1 / 0)
+                with pytest.raises(Exception, match="division"):
+                    exact_duplicates(arriving, folder=folder, arrival=number, **weak)
+        for _ in range(1 + (number == 1)):
+            found = exact_duplicates(arriving, folder=folder, arrival=number, **weak)
+        got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found.collect())
+        groups = {}
+        for i, t in seen:
+            groups.setdefault(t.replace(" ", ""), []).append((-len(t), i))
+        assert got == sorted((i, min(m)[1], len(m), i == min(m)[1]) for m in groups.values() for _, i in m)
+
+
 def test_exact_edge_rows(spark):
     rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (None, "a    b"), (2, None), (3, " ")]
     got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_duplicates(table(spark, rows)).collect())
