@@ -1,6 +1,6 @@
-"""Removal of passages that an earlier document has, by relative Lempel-Ziv parsing.
+"""Removal of passages that an earlier document has, by joins of blocks and windows.
 
-Every text is parsed into reference blocks: a window of `window` words belongs to the
+This is no greedy Lempel-Ziv parse (README says why). Every text is cut into reference blocks: a window of `window` words belongs to the
 word run inside it with the smallest hash (its anchor; the leftmost of equal ones),
 and consecutive windows with one anchor make up a block. Which anchor a window has
 depends on its own words only, so equal windows lie in blocks with equal anchors, at
