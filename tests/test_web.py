@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from corpusloom.functions.html import read_page
+from corpusloom.functions.html import read_page, with_pages_read
 from corpusloom.functions import fixed
 from corpusloom.operators import web
 
@@ -71,3 +71,18 @@ def test_article_text(spark):
     assert df.select(web.article_text(F.col("t"), F.col("u"), F.col("c"), F.col("s"))).first()[0] == (
         f"TIÊU ĐỀ: T\nURL: u\n{rule}\n\nNỘI DUNG:\n\nbody\n\n{rule}\nCÁC PHẦN CHI TIẾT:\n\n\n--- 1. s ---\n\none\n\n--- 2. t ---\n\ntwo\n"
     )
+
+
+def test_few_pages_are_held_at_a_time(spark):
+    def read(html, url):
+        import tracemalloc
+
+        if not tracemalloc.is_tracing():
+            tracemalloc.start()
+        return html + url + "x" * 20_000, tracemalloc.get_traced_memory()[0]
+
+    rows = spark.range(0, 5000, 1, 1).selectExpr("id", "'h' AS html", "concat('u', id) AS url")
+    got = with_pages_read(rows, "html", "text string, held long", read, "url")
+    assert got.columns == ["id", "url", "text", "held"]
+    least = got.agg(F.count_if(F.startswith("text", F.concat(F.lit("h"), "url", F.lit("xx")))).alias("n"), F.max("held").alias("held")).first()
+    assert least.n == 5000 and least.held < 50_000_000  # all rows are 100 MB
