@@ -27,7 +27,7 @@ class WordHashEncoder:
         place = self._place.get(word)
         if place is None:
             place = int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % self.dim
-            if len(self._place) < 500_000:  # only a memo; misses are computed
+            if len(self._place) < 100_000:  # only a memo; misses are computed
                 self._place[word] = place
         return place
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions import fixed
+from corpusloom.functions.arrow import parts
 from corpusloom.functions.chunks import split_text
 from corpusloom.functions.vectors import Encoder, WordHashEncoder, unit
 from corpusloom.operators.ordering import rank_in_group
@@ -71,7 +72,8 @@ def encode(
     df: DataFrame, text: str, out: str = "embedding", encoder: Encoder | None = None, keep_text: bool = True
 ) -> DataFrame:
     """Add the vector of column `text`; one encoder per Python worker, Arrow
-    batches in and out. Every column of `df` makes the trip, so select first."""
+    batches in and out, of which a slice of few texts is encoded at a time. Every
+    column of `df` makes the trip, so select first."""
     encoder = encoder or WordHashEncoder()
     place = df.columns.index(text)
     kept = [i for i in range(len(df.columns)) if keep_text or i != place]
@@ -79,12 +81,12 @@ def encode(
     schema = T.StructType([*(df.schema[i] for i in kept), T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column(place).to_pylist()]
+        for part in (p for batch in batches for p in parts(batch, place)):
+            texts = [x or "" for x in part.column(place).to_pylist()]
             matrix = np.asarray(encoder(texts), dtype=np.float32)
             ends = np.arange(0, matrix.size + 1, matrix.shape[1] or 1, dtype=np.int32)[: len(texts) + 1]
             vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), vectors], names=names)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), vectors], names=names)
 
     return df.mapInArrow(run, schema)
 
