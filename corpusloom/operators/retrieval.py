@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from corpusloom.functions import fixed
+from corpusloom.functions.arrow import parts
 from corpusloom.functions.text import ellipsis, strip
 from corpusloom.functions.vectors import cells, sign_planes
 
@@ -27,6 +28,7 @@ MAX_SENT_QUERIES = 4096
 MAX_SENT_BYTES = 256 << 20
 MAX_CELL_BITS = 16  # a stored table has a directory for each cell, and a filter lists those to read
 FAN_IN = 64  # lists of best rows of one query that a task merges, where there are many
+PART_ROWS = 2048  # vectors that are compared with up to 256 queries at a time
 DIGITS = 6  # similarities are single precision; ties beyond that go by id
 
 
@@ -71,8 +73,9 @@ class _Best:
         ids, vectors = ids[by_id], _unit(_widened(vectors[by_id], self.queries.shape[1]))
         for first in range(0, len(self.queries), 256):
             sims = np.round(self.queries[first : first + 256] @ vectors.T, DIGITS) + 0.0
-            for q, row in enumerate(sims, first):
-                self._merge(q, ids, row)
+            for q, (row, most) in enumerate(zip(sims, sims.max(axis=1)), first):
+                if len(self.sims[q]) < self.k or most >= self.sims[q][-1]:
+                    self._merge(q, ids, row)
 
     def _merge(self, q: int, ids: np.ndarray, row: np.ndarray) -> None:
         k = self.k
@@ -218,7 +221,7 @@ def _block_best(k: int):
     def run(v: pa.Table, q: pa.Table) -> pa.Table:
         id_type, query_type = v.schema.field("id").type, q.schema.field("query_id").type
         best = _Best(_matrix(q.column("query")), k)
-        for b in v.to_batches(max_chunksize=10_000) if q.num_rows else []:
+        for b in v.to_batches(max_chunksize=PART_ROWS) if q.num_rows else []:
             best.add(np.array(b.column("id").to_pylist(), dtype=object), _matrix(b.column("embedding")))
         return pa.Table.from_batches([best.batch(q.column("query_id").to_pylist(), names, id_type, query_type)])
 
@@ -275,7 +278,7 @@ def nearest(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, rows=PART_ROWS)):
             best = best or _Best(sent.value, k)
             best.add(np.array(b.column(0).to_pylist(), dtype=object), _matrix(b.column(1)))
             id_type = b.schema.field(0).type

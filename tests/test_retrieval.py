@@ -159,3 +159,38 @@ def test_stored_cells_limit_the_scan(spark, tables, tmp_path):
     assert found(search) == found(retrieval.nearest(corpus.filter("id <> 5"), one, 10, 6, 1))
     plan = search._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan
+
+
+def test_few_texts_are_encoded_at_a_time(spark):
+    class Seen:  # number and length of the texts of a call, as their vectors
+        def __call__(self, texts):
+            return np.array([[float(len(texts)), float(sum(map(len, texts)))]] * len(texts))
+
+    rows = spark.range(0, 5000, 1, 1).selectExpr("id", "if(id = 7, repeat('y', 3000000), repeat('x', cast(id AS int))) AS t")
+    got = {r.id: r.embedding for r in chunking.encode(rows, "t", encoder=Seen(), keep_text=False).collect()}
+    assert len(got) == 5000
+    assert max(n for n, _ in got.values()) <= 1024 and got[7] == [1.0, 3e6]
+    assert max(size for i, (_, size) in got.items() if i != 7) <= 1 << 20
+
+
+def test_slices_give_the_best_of_the_whole():
+    import pyarrow as pa
+
+    from corpusloom.functions.arrow import parts
+
+    rnd = np.random.default_rng(5)
+    data = np.round(rnd.normal(size=(5000, 4)), 1)  # with ties
+    lists = [list(r) for r in data]
+    batch = pa.RecordBatch.from_arrays([pa.array(rnd.permutation(5000)), pa.array(lists, pa.list_(pa.float32()))], ["id", "embedding"])
+    sizes, best, whole = [], retrieval._Best(data[:300], 10), retrieval._Best(data[:300], 10)
+    for part in parts(batch, rows=retrieval.PART_ROWS):
+        sizes.append(part.num_rows)
+        best.add(np.array(part.column(0).to_pylist(), dtype=object), retrieval._matrix(part.column(1)))
+    whole.add(np.array(batch.column(0).to_pylist(), dtype=object), retrieval._matrix(batch.column(1)))
+    assert sizes == [2048, 2048, 904]
+    for q in range(300):
+        assert list(best.ids[q]) == list(whole.ids[q]) and np.array_equal(best.sims[q], whole.sims[q])
+    empty = batch.slice(0, 0)
+    assert not [*parts(empty)] and not [*parts(pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["t"]), 0)]
+    mixed = pa.RecordBatch.from_arrays([pa.array([None, "é" * 9, None, "a", "b" * 3])], ["t"])
+    assert [p.num_rows for p in parts(mixed, 0, 3, 4)] == [1, 1, 3]
