@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from corpusloom.functions import fixed
-from corpusloom.functions.text import SPACE, clean_text, let, strip
+from corpusloom.functions.text import SPACE, clean_text, let, repaired, strip
 
 _U = "(?U)"
 _SPLIT, _NAME_END, _FAR, _TAKEN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"  # Unicode noncharacters, never part of text
@@ -74,20 +74,34 @@ def after_body_mark(content: Column) -> Column:
 
 def after_revision(body: Column) -> Column:
     """Text behind the revision line; NULL when there is none."""
-    pattern = rf"(?sU)\A.*?{re.escape(fixed.REVISION_LEAD)}.*?v\d+_vi"
-    return let(
-        body, lambda b: let(F.regexp_replace(b, pattern, ""), lambda rest: F.when(F.length(rest) < F.length(b), rest))
-    )
+
+    def behind_version(tail: Column) -> Column:
+        version = F.regexp_extract(tail, r"(?sU)\A.*?v\d+_vi", 0)
+        return let(version, lambda v: F.when(F.length(v) > 0, F.substr(tail, F.length(v) + 1)))
+
+    def behind_lead(b: Column) -> Column:
+        at = F.instr(b, fixed.REVISION_LEAD)
+        return let(F.when(at > 0, F.substr(b, at + F.lit(len(fixed.REVISION_LEAD)))), behind_version)
+
+    return let(body, behind_lead)
+
+
+_INLINE = r"[\s\x1c-\x1f&&[^\n]]"
+_WORD_IN_LINE = f".*?(?:{'|'.join(map(re.escape, fixed.HEADER_WORDS))})"
+# up to the first character of the first line that has text and no header word
+_TO_FIRST_LINE = rf"(?dmU)\A(?s:.*?)^(?={_INLINE}*+[^\s\x1c-\x1f])(?!{_WORD_IN_LINE})."
+_LINE_END = rf"(?U)(?={SPACE})(?<!{SPACE}){_INLINE}*+\n{SPACE}*+"
 
 
 def after_header_lines(body: Column) -> Column:
-    """Lines from the first one without a header word on, joined by a space."""
+    """Lines from the first one without a header word on, joined by a space. Only lines
+    up to that one are looked at one by one."""
 
-    def from_first(lines: Column) -> Column:
-        first = F.array_position(F.transform(lines, lambda x: _contains_any(x, fixed.HEADER_WORDS)), F.lit(False))
-        return F.when(first > 0, F.array_join(F.slice(lines, first.cast("int"), F.size(lines)), " ")).otherwise("")
+    def from_first(b: Column) -> Column:
+        lines = lambda to: F.regexp_replace(strip(F.substr(b, F.length(to))), _LINE_END, " ")
+        return let(F.regexp_extract(b, _TO_FIRST_LINE, 0), lambda to: F.when(F.length(to) > 0, lines(to)).otherwise(""))
 
-    return let(F.filter(F.transform(F.split(body, "\n"), lambda x: strip(x)), lambda x: x != ""), from_first)
+    return let(body, from_first)
 
 
 def before_footer(body: Column) -> Column:
@@ -150,25 +164,37 @@ _WIDE_GAP = rf"(?U)\|{SPACE}{{100,}}+(?=(?:{_names()}))"
 _TAKEN_PIPE = rf"(?U)(\|{SPACE}*+({_names()}){SPACE}*+\|{SPACE}*+)(?=\2{SPACE}*+\|)"
 
 
-def section_entries(content: Column) -> Column:
+def section_entries(content: Column, cleaned: Column | None = None) -> Column:
     """All sections as (header, text), in text order, bad lengths left out. Headers
     whose left pipe is far away, or taken by the same header before, get a mark that
-    does not count as text."""
-    marked = F.regexp_replace(content, _TAKEN_PIPE, f"$1{_TAKEN}")
-    marked = F.regexp_replace(marked, _WIDE_GAP, f"$0{_FAR}")
-    marked = F.regexp_replace(marked, _START, f"$0{_SPLIT}{_HEADER}{_NAME_END}")
-    pieces = F.slice(F.split(F.translate(marked, _FAR + _TAKEN, ""), _SPLIT), 2, 1 << 30)
-    entries = F.transform(
-        pieces,
-        lambda piece: F.struct(
-            F.substring_index(piece, _NAME_END, 1).alias("header"),
-            F.regexp_replace(strip(F.substring_index(piece, _NAME_END, -1)), r"\A[| \n\t]+", "").alias("text"),
-        ),
-    )
-    kept = F.filter(entries, lambda e: (F.length(e["text"]) > 50) & (F.length(e["text"]) < 20000))
-    return F.transform(
-        kept, lambda e: F.struct(e["header"].alias("header"), clean_text(e["text"]).alias("text"))
-    )
+    does not count as text. Where `cleaned` says that the content went through clean_text,
+    its parts need only repairs, and no white space is looked for again."""
+
+    def piped(c: Column) -> Column:
+        taken = F.regexp_replace(c, _TAKEN_PIPE, f"$1{_TAKEN}")
+        return F.when(F.contains(c, F.lit("|")), F.regexp_replace(taken, _WIDE_GAP, f"$0{_FAR}")).otherwise(c)
+
+    def entries(marked: Column) -> Column:
+        marks = F.contains(marked, F.lit(_FAR)) | F.contains(marked, F.lit(_TAKEN))
+        text = F.when(marks, F.translate(marked, _FAR + _TAKEN, "")).otherwise(marked)
+        pieces = F.slice(F.split(text, _SPLIT), 2, 1 << 30)
+        found = F.transform(
+            pieces,
+            lambda piece: F.struct(
+                F.substring_index(piece, _NAME_END, 1).alias("header"),
+                F.ltrim(strip(F.substring_index(piece, _NAME_END, -1)), F.lit("| \n\t")).alias("text"),
+            ),
+        )
+        kept = F.filter(found, lambda e: (F.length(e["text"]) > 50) & (F.length(e["text"]) < 20000))
+
+        def with_text(use) -> Column:
+            return F.transform(kept, lambda e: F.struct(e["header"].alias("header"), use(e["text"]).alias("text")))
+
+        if cleaned is None:
+            return with_text(clean_text)
+        return F.when(cleaned & ~marks, with_text(lambda t: F.trim(repaired(t)))).otherwise(with_text(clean_text))
+
+    return let(F.regexp_replace(let(content, piped), _START, f"$0{_SPLIT}{_HEADER}{_NAME_END}"), entries)
 
 
 def section_map(entries: Column) -> Column:

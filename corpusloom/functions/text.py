@@ -14,6 +14,8 @@ from corpusloom.functions import fixed
 
 # Unicode white space including the four ASCII separators U+001C..U+001F.
 SPACE = r"[\s\x1c-\x1f]"
+# the same, character by character
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _col(c: Column | str) -> Column:
@@ -28,18 +30,31 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(_col(c), rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(_col(c), F.lit(_SPACES))
+
+
+def repaired(c: Column | str, repairs=fixed.TEXT_REPAIRS) -> Column:
+    """Known broken words replaced. Looking for one is cheaper than replacing, and few
+    texts have any."""
+
+    def replaced(out: Column) -> Column:
+        found = F.lit(False)
+        for wrong, _ in repairs:
+            found = found | F.contains(out, F.lit(wrong))
+        new = out
+        for wrong, right in repairs:
+            new = F.replace(new, F.lit(wrong), F.lit(right))
+        return F.when(found, new).otherwise(out)
+
+    return let(_col(c), replaced)
 
 
 def clean_text(c: Column | str, repairs=fixed.TEXT_REPAIRS) -> Column:
     """Repair known broken words, turn pipes into spaces, squeeze white space,
     drop it before punctuation and trim. NULL gives ''."""
-    out = F.coalesce(_col(c), F.lit(""))
-    for wrong, right in repairs:
-        out = F.replace(out, F.lit(wrong), F.lit(right))
-    out = F.replace(out, F.lit("|"), F.lit(" "))
-    # runs that are not one plain space already
-    out = F.regexp_replace(out, rf"(?U)[\s\x1c-\x1f&&[^ ]]{SPACE}*| {SPACE}+", " ")
+    out = repaired(F.coalesce(_col(c), F.lit("")), repairs)
+    # pipes, and runs of white space that are not one plain space already
+    out = F.regexp_replace(out, r"(?U)[\s\x1c-\x1f|](?:[\s\x1c-\x1f|]++|(?<! ))", " ")
     return F.trim(F.regexp_replace(out, " ([.,;:!?])", "$1"))
 
 

@@ -180,3 +180,38 @@ def test_wide_gaps_and_repeated_headers(spark):
     got = rows.select("i", article.section_map(article.section_entries(F.col("t"))).alias("m")).collect()
     for r in got:
         assert list(r.m.items()) == list(dict(sections_of(texts[r.i])).items()), r.i
+
+
+def test_strip_removes_every_kind_of_white_space(spark):
+    rows = [(chr(i),) for i in range(1, 0x3100)]
+    marked = spark.createDataFrame(rows, "c string").select("c", strip(F.concat("c", F.lit(" x"), "c", F.lit("y "), "c")).alias("s"))
+    for r in marked.collect():
+        space = bool(re.fullmatch(r"\s", r.c))  # Python's is Unicode white space and U+001C to U+001F
+        assert r.s == (f"x{r.c}y" if space else f"{r.c} x{r.c}y {r.c}"), hex(ord(r.c))
+
+
+def test_cleaned_text_is_not_cleaned_again(spark):
+    text = "một hai v i ba bốn năm sáu bảy ớn lạnh tám chín mười , xyz . "
+    raw = ["A Căn nguyên  " + "B" + text + "|\n\t Điều trị | " + text + "Tiên lượng C" + text, "Căn nguyên A" + text + "﷒ b ﷓ c", "", None]
+    docs = spark.createDataFrame([(t,) for t in raw], "t string").select(clean_text("t").alias("c")).cache()
+    cleaned = article.section_entries(F.col("c"), F.lit(True))
+    got = docs.select(cleaned.alias("a"), article.section_entries(F.col("c")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and [len(r.a) for r in got] == [2, 1, 0, 0]
+    wide = spark.createDataFrame([("Căn nguyên A" + "  b" * 30,)], "t string").select(article.section_entries(F.col("t"), F.lit(True)).alias("a"))
+    assert wide.first().a[0].text == "A" + "  b" * 30
+
+
+def test_header_lines_line_by_line(spark):
+    lines = ["Theo x", " Thg 7", "\t", "", "v_vi 😀", "😀 text ", "  ", "University", "end\r", "a  b"]
+    texts = ["\n".join(lines[i:j]) for i in range(len(lines)) for j in range(i, len(lines) + 1)]
+
+    def direct(text):
+        kept = [x for x in map(str.strip, text.split("\n")) if x]
+        first = next((i for i, x in enumerate(kept) if not any(w in x for w in fixed.HEADER_WORDS)), len(kept))
+        return " ".join(kept[first:])
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(article.after_header_lines(F.col("t"))).collect()] == [direct(t) for t in texts]
+    revised = [f"a{fixed.REVISION_LEAD}b{fixed.REVISION_LEAD} v1 v23_vi😀 c v4_vi", f"{fixed.REVISION_LEAD}v_vi", "v1_vi", f"v1_vi{fixed.REVISION_LEAD}v2_vi"]
+    got = spark.createDataFrame([(t,) for t in revised], "t string").select(article.after_revision(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["😀 c v4_vi", None, None, ""]
